@@ -203,12 +203,12 @@ def e11(v):
     f"""with {LABELLED_SQL}, {split_sql('labelled')},
         means as (select site, avg(ec) as m from marked where split = 'train' group by site)
         select l.sample_id, l.split, round(coalesce(means.m,
-               (select avg(ec) from marked where split = 'train')), 5) as loc_mean_cond
+               (select avg(ec) from marked where split = 'train')), 7) as loc_mean_cond
         from marked l left join means on means.site = l.site""",
 )
 def e12(v):
     rows = prep.location_mean(marked(v), ["site"], "ec", "loc_mean_cond")
-    return rows.select("sample_id", "split", F.round("loc_mean_cond", 5).alias("loc_mean_cond"))
+    return rows.select("sample_id", "split", F.round("loc_mean_cond", 7).alias("loc_mean_cond"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillspark.catalog import query
+from rillspark.catalog.series import INTERPOLATED_SQL
 from rillspark.plans.evaluation import monthly_sequences
 from rillspark.sources import io, schemas
 from rillspark.streaming.incremental import process_new_files
@@ -106,7 +107,13 @@ def s6_incremental(v):
     return io.read_table(v.spark, f"{folder}/out")
 
 
-@query("s8_sequence_table")
+@query(
+    "s8_sequence_table",
+    f"""with {INTERPOLATED_SQL}
+        select loc, ts, cast(3 as int) as steps, oldest, y from (
+          select loc, ts, pos, round(lag(value, 3) over (partition by loc order by ts), 6) as oldest,
+                 round(value, 6) as y from regular) where pos > 3""",
+)
 def s8(v):
     path = io.working_folder(v.spark) + "/sequences"
     io.write_sequences(monthly_sequences(v.obs(), ["loc"], "ts", ["flow"], "value", 3, "day"), path)
