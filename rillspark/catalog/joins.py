@@ -138,8 +138,7 @@ def j6(v):
         "loc", "scene_id", F.col("ts").alias("scene_ts")
     )
     return nearest.nearest_in_time(
-        v.obs().select("obs_id", "loc", "ts"), clear, ["loc"], "ts", "scene_ts", "scene_id",
-        chunk="day",
+        v.obs().select("obs_id", "loc", "ts"), clear, ["loc"], "ts", "scene_ts", "scene_id"
     )
 
 
@@ -187,7 +186,7 @@ def scene_per_sample(v):
         F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("d") % 30)
         .cast("timestamp_ntz").alias("at"),
     )
-    found = enrichment.scene_per_sample(samples, v.scenes(), "at", chunk="week")
+    found = enrichment.scene_per_sample(samples, v.scenes(), "at")
     return found.select("sample_id", "at", "scene_id")
 
 

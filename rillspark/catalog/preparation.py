@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rillspark.catalog import query
 from rillspark.operators import prep, split
+from rillspark.session import durable
 
 FEATURES = ["red", "green", "swir22"]
 
@@ -87,7 +88,7 @@ def e4(v):
         from marked l, m""",
 )
 def e5(v):
-    rows = marked(v)
+    rows = durable(marked(v))
     return prep.fit_on(rows, FEATURES).impute(rows).select("sample_id", "split", *FEATURES)
 
 
@@ -101,7 +102,7 @@ def e5(v):
         from labelled l, m""",
 )
 def e6(v):
-    rows = labelled(v)
+    rows = durable(labelled(v))
     return prep.fit_on(rows, FEATURES, "all").impute(rows).select("sample_id", *FEATURES)
 
 
@@ -121,7 +122,7 @@ def e6(v):
                round((f.swir22 - s.mw) / s.sw, 7) as swir22 from filled f, s""",
 )
 def e7(v):
-    rows = marked(v)
+    rows = durable(marked(v))
     scaled = prep.fit_on(rows, FEATURES).transform(rows)
     return scaled.select("sample_id", "split", *(F.round(c, 7).alias(c) for c in FEATURES))
 

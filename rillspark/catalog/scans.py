@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from rillspark.catalog import query
 from rillspark.catalog.series import INTERPOLATED_SQL
 from rillspark.plans.evaluation import monthly_sequences
+from rillspark.session import working_folder
 from rillspark.sources import io, schemas
 from rillspark.streaming.incremental import process_new_files
 
@@ -29,18 +30,16 @@ def _sample_file(v):
                drp as "Dissolved Reactive Phosphorus" from samples""",
 )
 def s1(v):
-    path = io.working_folder(v.spark) + "/samples_csv"
+    path = working_folder(v.spark) + "/samples_csv"
     io.write_csv(_sample_file(v), path)
     return io.read_csv(v.spark, path, schemas.SAMPLES)
 
 
 @query("s2_table_sink", "select sample_id, d, ta, cast(year(d) as int) as year from samples")
 def s2(v):
-    path = io.working_folder(v.spark) + "/samples_by_year"
+    path = working_folder(v.spark) + "/samples_by_year"
     rows = v.samples().select("sample_id", "d", "ta", F.year("d").alias("year"))
-    # One writer per year and digest part, so a busy year is not one task's work.
-    spread = rows.repartition("year", F.pmod(F.xxhash64("sample_id"), F.lit(4)))
-    io.write_table(spread, path, ["year"])
+    io.write_table(rows, path, ["year"])
     return io.read_table(v.spark, path)
 
 
@@ -80,7 +79,7 @@ def s6(v):
 
 @query("s6_resumed_run", "select sample_id, ta / 2 as half from samples")
 def s6_resumed(v):
-    path = io.working_folder(v.spark) + "/extracted"
+    path = working_folder(v.spark) + "/extracted"
     samples = v.samples()
 
     def extract(rows):
@@ -94,7 +93,7 @@ def s6_resumed(v):
 
 @query("s6_incremental_run", "select sample_id, ta / 2 as half from samples")
 def s6_incremental(v):
-    folder = io.working_folder(v.spark)
+    folder = working_folder(v.spark)
     samples = v.samples().select("sample_id", "ta", "status")
     schema = T.StructType(samples.schema.fields[:2])
     for done in (True, False):
@@ -115,7 +114,7 @@ def s6_incremental(v):
                  round(value, 6) as y from regular) where pos > 3""",
 )
 def s8(v):
-    path = io.working_folder(v.spark) + "/sequences"
+    path = working_folder(v.spark) + "/sequences"
     io.write_sequences(monthly_sequences(v.obs(), ["loc"], "ts", ["flow"], "value", 3, "day"), path)
     return io.read_table(v.spark, path).select(
         "loc", "ts", F.size("x").alias("steps"),

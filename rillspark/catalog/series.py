@@ -121,7 +121,7 @@ def w3_w4(v):
 )
 def w4(v):
     obs = v.obs().select("obs_id", "loc", "ts", "value", "flow")
-    return series.fill_forward_back(obs, ["loc"], ["ts", "obs_id"], ["value", "flow"], "week")
+    return series.fill_forward_back(obs, ["loc"], ["ts", "obs_id"], ["value", "flow"])
 
 
 @query(
@@ -134,7 +134,7 @@ def w4(v):
               down as (partition by loc order by ts, obs_id rows between current row and unbounded following)""",
 )
 def forecasting(v):
-    return evaluation.forecasting_frame(v.obs(), "loc", "ts", "value", "obs_id", ["flow"], "week")
+    return evaluation.forecasting_frame(v.obs(), "loc", "ts", "value", "obs_id", ["flow"])
 
 
 @query(

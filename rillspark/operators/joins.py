@@ -72,7 +72,7 @@ def unprocessed_months(
     """Distinct (place, month) pairs with coordinates at 6 decimals that are not processed yet."""
     keys = [rounded(F.col(lat)).alias(lat), rounded(F.col(lon)).alias(lon), "month"]
     wanted = samples.withColumn("month", month_start(F.col(date))).select(*keys).distinct()
-    return wanted.join(processed.select(*keys).distinct(), [lat, lon, "month"], "left_anti")
+    return wanted.join(processed.select(*keys), [lat, lon, "month"], "left_anti")
 
 
 def lookup_unique(

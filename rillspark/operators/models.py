@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from rillspark.functions.numeric import clip_at_zero
 from rillspark.operators.columns import pick_features, require
 from rillspark.operators.metrics import regression_metrics
-from rillspark.operators.prep import Preprocessor, fit_on
+from rillspark.operators.prep import Preprocessor, fit_on, fit_scaler
+from rillspark.operators.quantiles import column_quantiles
 from rillspark.session import durable
 
 # Boosting and forest parameters by their usual names, and what Spark calls them.
@@ -161,7 +162,8 @@ def prepare(
 
     ``df`` has a ``split`` column. Features without any value on the fitting side are left out.
     """
-    labelled = require(df, [target])
+    names = dict.fromkeys([*keep, *features, target, "split"])
+    labelled = durable(require(df, [target]).select(*names))
     prep = fit_on(labelled, features, fit_rows)
     used = [f for f in features if prep.medians[f] is not None]
     prep = Preprocessor(*({f: d[f] for f in used} for d in (prep.medians, prep.means, prep.stds)))
@@ -295,15 +297,14 @@ def score_submission(
     followed by the targets. The predictions of the targets are columns of one pass over the
     template, so its rows are neither joined nor matched by position.
     """
-    everything = train.withColumn("split", F.lit("train"))
-    medians = fit_on(everything, features, "all").medians
+    medians = {f: q[0] for f, q in column_quantiles(train, features, [0.5]).items()}
     used = [f for f in features if medians[f] is not None]
     medians = {f: medians[f] for f in used}
-    imputed = Preprocessor(medians, {}, {}).impute(everything)
+    imputed = Preprocessor(medians, {}, {}).impute(train)
     scored = Preprocessor(medians, {}, {}).impute(template).select(*row_id, *used)
     for target in targets:
         labelled = require(imputed, [target])
-        own = fit_on(labelled, used, "all")
+        own = fit_scaler(labelled, medians)
         vectors = assemble(own.scale(labelled), used).select(
             F.col(target).cast("double").alias("y"), "features"
         )

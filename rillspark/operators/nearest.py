@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.dates import micros, month_start
+from rillspark.operators.chunks import chunk_of, chunk_unit
 from rillspark.session import durable
 
 TIES = ("earlier", "later")
@@ -21,77 +22,94 @@ def nearest_in_time(
     left_ts: str,
     right_ts: str,
     right_id: str,
-    chunk: str = "month",
+    chunk: str | None = None,
     tie: str = "earlier",
 ) -> DataFrame:
     """For each left row, the right row of the same key that is closest in time.
 
     ``tie`` says which of two equally distant rows wins; among right rows of one instant the
-    smallest ``right_id`` does. A left row without any partner gets NULLs.
+    smallest ``right_id`` does, which is unique there. A left row without any partner gets NULLs.
 
-    Both sides are first reduced to one row per (key, instant). A series is then searched in
-    chunks of time: windows run over (key, chunk), and the last and first instant of the other
-    chunks come from a summary with one row per chunk. So the rows of a key that holds a large
-    share of the data spread over as many tasks as it has chunks.
+    The search itself sees only distinct (key, instant) pairs of both sides. A series is searched
+    in chunks of time (a unit found by counting, unless ``chunk`` names one): windows run over
+    (key, chunk), and the closest instants of other chunks come from a summary with one row per
+    chunk. So a key that holds a large share of the data spreads over many tasks.
     """
     if tie not in TIES:
         raise ValueError(f"tie must be one of {TIES}")
     keys = list(keys)
     payload = [c for c in right.columns if c not in keys]
-    by_key = [F.col(k) for k in keys]
+    clash = set(payload) & set(left.columns)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+
+    def instants(df: DataFrame, ts: str, wanted: bool, found) -> DataFrame:
+        return df.filter(F.col(ts).isNotNull()).select(
+            *keys, micros(F.col(ts)).alias("_us"), F.lit(wanted).alias("_wanted"),
+            F.lit(not wanted).alias("_seen"), found.alias("_id"),
+        )
 
-    scenes = (
-        right.filter(F.col(right_ts).isNotNull())
-        .groupBy(*by_key, F.col(right_ts).alias("_ts"))
-        .agg(F.min_by(F.struct(*payload), F.col(right_id)).alias("_hit"))
-        .withColumn("_wanted", F.lit(False))
-    )
-    asked = (
-        left.filter(F.col(left_ts).isNotNull())
-        .select(*by_key, F.col(left_ts).alias("_ts"))
-        .distinct()
-        .withColumn("_wanted", F.lit(True))
-    )
+    id_type = right.schema[right_id].dataType
     both = (
-        scenes.unionByName(asked, allowMissingColumns=True)
-        .withColumn("_us", micros(F.col("_ts")))
-        .withColumn("_chunk", F.date_trunc(chunk, F.col("_ts")))
-        .withColumn("_seen", F.when(F.col("_hit").isNotNull(), F.struct("_us", "_hit")))
+        instants(left, left_ts, True, F.lit(None).cast(id_type))
+        .unionByName(instants(right, right_ts, False, F.col(right_id)))
+        .dropna(subset=keys)
+        .groupBy(*keys, "_us")
+        .agg(
+            F.bool_or("_wanted").alias("_wanted"),
+            F.bool_or("_seen").alias("_seen"),
+            F.min("_id").alias("_id"),
+        )
     )
+    unit = chunk or chunk_unit(both, keys, F.col("_us"))
+    cut = both.withColumn("_chunk", chunk_of(F.col("_us"), unit)).filter("_chunk is not null")
+    seen_us = F.when(F.col("_seen"), F.col("_us"))
+    seen = F.when(F.col("_seen"), F.struct("_us", "_id"))
     part = Window.partitionBy(*keys, "_chunk")
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    # Right rows come first among equal instants, in both directions.
-    asc = part.orderBy(F.col("_us").asc(), F.col("_wanted").asc()).rowsBetween(*so_far)
-    desc = part.orderBy(F.col("_us").desc(), F.col("_wanted").asc()).rowsBetween(*so_far)
-    local = both.select(
-        *keys, "_chunk", "_ts", "_us", "_wanted",
-        F.last("_seen", ignorenulls=True).over(asc).alias("_before"),
-        F.last("_seen", ignorenulls=True).over(desc).alias("_after"),
+    asc = part.orderBy(F.col("_us").asc()).rowsBetween(*so_far)
+    desc = part.orderBy(F.col("_us").desc()).rowsBetween(*so_far)
+    local = cut.select(
+        *keys, "_chunk", "_us", "_wanted",
+        F.last(seen, ignorenulls=True).over(asc).alias("_before"),
+        F.last(seen, ignorenulls=True).over(desc).alias("_after"),
     ).filter("_wanted")
 
-    when_seen = F.when(F.col("_seen").isNotNull(), F.col("_us"))
-    chunks = both.groupBy(*keys, "_chunk").agg(
-        F.min_by("_seen", when_seen).alias("_first"), F.max_by("_seen", when_seen).alias("_last")
+    chunks = cut.groupBy(*keys, "_chunk").agg(
+        F.bool_or("_wanted").alias("_wanted"),
+        F.min(seen_us).alias("_first_us"), F.min_by("_id", seen_us).alias("_first_id"),
+        F.max(seen_us).alias("_last_us"), F.max_by("_id", seen_us).alias("_last_id"),
     )
     series = Window.partitionBy(*keys)
     earlier = series.orderBy(F.col("_chunk").asc()).rowsBetween(Window.unboundedPreceding, -1)
     later = series.orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def end(side: str):
+        us, rid = F.col(f"_{side}_us"), F.col(f"_{side}_id")
+        return F.when(us.isNotNull(), F.struct(us.alias("_us"), rid.alias("_id")))
+
     carried = chunks.select(
-        *keys, "_chunk",
-        F.last("_last", ignorenulls=True).over(earlier).alias("_carry_before"),
-        F.last("_first", ignorenulls=True).over(later).alias("_carry_after"),
-    )
+        *keys, "_chunk", "_wanted",
+        F.last(end("last"), ignorenulls=True).over(earlier).alias("_carry_before"),
+        F.last(end("first"), ignorenulls=True).over(later).alias("_carry_after"),
+    ).filter("_wanted").drop("_wanted")
     before = F.coalesce("_before", "_carry_before")
     after = F.coalesce("_after", "_carry_after")
     to_before, to_after = F.col("_us") - before["_us"], after["_us"] - F.col("_us")
     closer = to_before <= to_after if tie == "earlier" else to_before < to_after
     found = local.join(carried, [*keys, "_chunk"]).select(
-        *keys,
-        F.col("_ts").alias(left_ts),
-        F.when(after.isNull() | closer, before).otherwise(after)["_hit"].alias("_hit"),
+        *keys, "_us", F.when(after.isNull() | closer, before).otherwise(after).alias("_hit")
     )
-    return left.join(found, [*keys, left_ts], "left").select(
-        *left.columns, *(F.col("_hit")[c].alias(c) for c in payload)
+    hits = found.select(*keys, "_us", F.col("_hit._us").alias("_hit_us"),
+                        F.col("_hit._id").alias("_hit_id")).dropna(subset=["_hit_us"])
+    matched = hits.join(
+        right.withColumns({"_hit_us": micros(F.col(right_ts)), "_hit_id": F.col(right_id)}),
+        [*keys, "_hit_us", "_hit_id"],
+    ).select(*keys, "_us", *payload)
+    return (
+        left.withColumn("_us", micros(F.col(left_ts)))
+        .join(matched, [*keys, "_us"], "left")
+        .select(*left.columns, *payload)
     )
 
 
@@ -219,15 +237,20 @@ def nearest_point(
             for c, o in (("_py", edge["y0"]), ("_px", edge["x0"]))
         ) if edge["side"] is not None else (F.lit(0), F.lit(0))
 
-    level = START_LEVEL
-    levels = [level]
-    while level < DEEPEST_LEVEL:
-        iy, ix = at_level(level)
-        fullest = unique.groupBy(iy, ix).count().agg(F.max("count")).first()[0] or 0
-        if fullest <= leaf_rows:
-            break
-        level += LEVELS_PER_STEP
-        levels.append(level)
+    candidates = list(range(START_LEVEL, DEEPEST_LEVEL + 1, LEVELS_PER_STEP))
+    cells = F.array(
+        *(
+            F.struct(F.lit(n).alias("level"), iy.alias("iy"), ix.alias("ix"))
+            for n, (iy, ix) in ((n, at_level(n)) for n in candidates)
+        )
+    )
+    fullest = dict(
+        unique.select(F.inline(cells)).groupBy("level", "iy", "ix").count()
+        .groupBy("level").agg(F.max("count")).collect()
+    )
+    deep_enough = [n for n in candidates if fullest.get(n, 0) <= leaf_rows]
+    deepest = deep_enough[0] if deep_enough else DEEPEST_LEVEL
+    levels = [n for n in candidates if n <= deepest]
 
     def cells_of(level: int) -> DataFrame:
         iy, ix = at_level(level)
@@ -286,7 +309,7 @@ def nearest_point(
         .agg(F.min(F.struct(squared.alias("d2"), F.col(plat), F.col(plon))).alias("_win"))
         .select(lat, lon, f"_win.{plat}", f"_win.{plon}", F.sqrt("_win.d2").alias("distance"))
     )
-    return places.join(winners, [lat, lon], "left").select(
+    return places.join(durable(winners), [lat, lon], "left").select(
         *places.columns, plat, plon, "distance"
     )
 
@@ -299,7 +322,7 @@ def nearest_point_and_time(
     climate_date: str,
     place_cols: tuple[str, str] = ("lat", "lon"),
     point_cols: tuple[str, str] = ("plat", "plon"),
-    chunk: str = "year",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Value of the nearest point at its nearest time; of two equal times the earlier."""
     placed = nearest_point(samples, climate, place_cols, point_cols)

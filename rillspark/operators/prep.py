@@ -48,7 +48,7 @@ def _numbered(values: DataFrame, order: str, name: str) -> DataFrame:
     tasks and written down; each row then gets its place in its part plus the rows of the
     parts before.
     """
-    if values.limit(ONE_TASK_VALUES + 1).count() <= ONE_TASK_VALUES:
+    if values.count() <= ONE_TASK_VALUES:
         return values.withColumn(
             name, F.row_number().over(Window.orderBy(order)).cast("long") - 1
         )
@@ -146,17 +146,24 @@ class Preprocessor:
 
 
 def fit_preprocessor(df: DataFrame, features: Sequence[str]) -> Preprocessor:
-    """Medians of the features, then mean and std of the imputed ones: two passes in all."""
+    """Medians of the features, then mean and std of the imputed ones.
+
+    Takes several passes over ``df``: hand in a table that is cheap to read.
+    """
     medians = {c: q[0] for c, q in column_quantiles(df, features, [0.5]).items()}
-    unscaled = Preprocessor(medians, {}, {})
-    stats = unscaled.impute(df).agg(
-        *(F.avg(c).alias(f"m_{c}") for c in features),
-        *(F.stddev_pop(c).alias(f"s_{c}") for c in features),
+    return fit_scaler(Preprocessor(medians, {}, {}).impute(df), medians)
+
+
+def fit_scaler(imputed: DataFrame, medians: dict[str, float | None]) -> Preprocessor:
+    """Mean and std of features that are imputed already; one pass."""
+    stats = imputed.agg(
+        *(F.avg(c).alias(f"m_{c}") for c in medians),
+        *(F.stddev_pop(c).alias(f"s_{c}") for c in medians),
     ).first()
     return Preprocessor(
         medians,
-        {c: stats[f"m_{c}"] for c in features},
-        {c: stats[f"s_{c}"] for c in features},
+        {c: stats[f"m_{c}"] for c in medians},
+        {c: stats[f"s_{c}"] for c in medians},
     )
 
 

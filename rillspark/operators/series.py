@@ -13,6 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.functions.dates import micros
+from rillspark.operators.chunks import chunk_of, chunk_unit
+
 # step name -> (truncation unit, interval between steps)
 STEPS = {
     "day": ("day", "interval 1 day"),
@@ -92,15 +95,18 @@ def fill_forward_back(
     series: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    chunk: str = "month",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Fill gaps of raw observations with the last value before, else the first one after.
 
     ``order`` starts with the time column and must be a total order within a series. A series is
-    cut into chunks of time, so that a long one spreads over many tasks.
+    cut into chunks of time (a unit found by counting, unless ``chunk`` names one), so that a
+    long one spreads over many tasks.
     """
     series, order, values = list(series), list(order), list(values)
-    cut = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order[0])))
+    us = micros(F.col(order[0]))
+    unit = chunk or chunk_unit(df, series, us)
+    cut = df.withColumn("_chunk", chunk_of(us, unit))
     part = Window.partitionBy(*series, "_chunk")
     so_far = (Window.unboundedPreceding, Window.currentRow)
     asc = part.orderBy(*(F.col(o).asc() for o in order)).rowsBetween(*so_far)

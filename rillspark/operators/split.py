@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.operators.quantiles import order_statistics
+from rillspark.session import durable
 
 HEX_DIGITS = 4  # 65,536 ranges of digests
 SINGLE_GROUPS = 4096
@@ -94,7 +95,7 @@ def group_k_fold(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     Among equal sizes the smaller group comes first, among equal folds the lower number.
     """
     group = list(group)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    sizes = durable(df.groupBy(*group).agg(F.count("*").alias("_n")))
     largest = sizes.orderBy(F.col("_n").desc(), *group).limit(SINGLE_GROUPS)
     singles = largest.collect()
     totals = [0] * k

@@ -47,7 +47,7 @@ def feature_table(
 
 def scene_per_sample(
     samples: DataFrame, scenes: DataFrame, date: str, max_cloud: float = 10.0,
-    width: float = BAND_BOX_WIDTH, cell_size: float = 1.0, chunk: str = "month",
+    width: float = BAND_BOX_WIDTH, cell_size: float = 1.0, chunk: str | None = None,
 ) -> DataFrame:
     """For each sample the clear scene over its place that is nearest in time.
 

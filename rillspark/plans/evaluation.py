@@ -62,7 +62,7 @@ def monthly_sequences(
 
 def forecasting_frame(
     df: DataFrame, series: str, time: str, target: str, row_id: str, exogenous: Sequence[str],
-    chunk: str = "month",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Long frame (unique_id, ds, y, exogenous...) without gaps inside a series."""
     filled = fill_forward_back(df, [series], [time, row_id], [target, *exogenous], chunk)

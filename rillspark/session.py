@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,21 @@ def build_session(app: str = "rillspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder in the shared place that ``spark.checkpoint.dir`` names.
+
+    Only a session that names none (a test on one machine) gets a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="rillspark-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Write the rows down and go on from the written table.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``. Only a session that names
-    none (a test on one machine) gets a temporary folder.
+    Later passes then read only the columns they need, know the size of the table, and do not
+    depend on executors that held shuffle files or cached blocks.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rillspark-"))
-    return df.checkpoint(eager=True)
+    path = f"{working_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +21,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error"
 ) -> None:
-    """Parquet sink, optionally laid out by partition columns (year, coarse cell)."""
+    """Parquet sink, optionally laid out by partition columns (year, coarse cell).
+
+    Rows are brought together by those columns before they are written. Adaptive execution sizes
+    the writing tasks by their bytes, so a busy year gets many of them and quiet ones share one.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
@@ -70,7 +74,7 @@ def cube_to_records(
 
 def remaining(source: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``source`` whose key has not been processed yet."""
-    return source.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return source.join(done.select(*keys), list(keys), "left_anti")
 
 
 def resume_append(source: DataFrame, done_path: str, keys: Sequence[str], extract) -> None:
@@ -84,12 +88,6 @@ def resume_append(source: DataFrame, done_path: str, keys: Sequence[str], extrac
     extract(remaining(source, done, keys)).write.mode("append").parquet(done_path)
 
 
-def working_folder(spark: SparkSession) -> str:
-    """A new folder next to the shared checkpoints; on one machine, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="rillspark-")
-
-
 def write_sequences(sequences: DataFrame, path: str, mode: str = "error") -> None:
     """Sequences keep their steps as an array of structs, so nulls stay in place."""
     sequences.write.mode(mode).parquet(path)
