@@ -330,7 +330,7 @@ def r1(v):
 
 @query(
     "r2_highest_risk_places",
-    """with p as (select site, round(avg(ta), 4) as risk from samples group by site)
+    """with p as (select site, round(avg(ta), 6) as risk from samples group by site)
        select site, risk from p where risk >= (select quantile_cont(risk, 0.75) from p)""",
 )
 def r2(v):

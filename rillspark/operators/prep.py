@@ -5,17 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillspark.functions.dates import with_date_parts
 from rillspark.operators.columns import categorical_columns
+from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import column_quantiles
-from rillspark.session import durable
 
 MAX_ONE_HOT = 1000
-ONE_TASK_VALUES = 100_000
 
 
 def categories(df: DataFrame, column: str, limit: int = MAX_ONE_HOT) -> list[str]:
@@ -41,42 +40,6 @@ def one_hot(
     return df
 
 
-def _numbered(values: DataFrame, order: str, name: str) -> DataFrame:
-    """Number the rows of a table of distinct values from 0.
-
-    A table that is small by count is numbered in one task. A larger one is sorted over many
-    tasks and written down; each row then gets its place in its part plus the rows of the
-    parts before.
-    """
-    if values.count() <= ONE_TASK_VALUES:
-        return values.withColumn(
-            name, F.row_number().over(Window.orderBy(order)).cast("long") - 1
-        )
-    return numbered_over_tasks(values, order, name)
-
-
-def numbered_over_tasks(values: DataFrame, order: str, name: str) -> DataFrame:
-    serial = F.monotonically_increasing_id()
-    ordered = durable(values.orderBy(order).withColumn("_serial", serial))
-    part = F.shiftright("_serial", 33)
-    within = F.col("_serial") - F.shiftleft(part, 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    # One row per task of the sort.
-    offsets = sizes.select(
-        "_part",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    return (
-        ordered.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(name, F.col("_offset") + within)
-        .drop("_serial", "_part", "_offset")
-    )
-
-
 def factorize(df: DataFrame, column: str, order: str, name: str | None = None) -> DataFrame:
     """Codes in order of first appearance by ``order``; a missing value is -1."""
     name = name or f"{column}_code"
@@ -85,7 +48,7 @@ def factorize(df: DataFrame, column: str, order: str, name: str | None = None) -
         .groupBy(column)
         .agg(F.min(order).alias("_first"))
     )
-    codes = _numbered(seen, "_first", name).drop("_first")
+    codes = numbered(seen, ["_first"], name).drop("_first")
     return df.join(codes, column, "left").select(
         *df.columns, F.coalesce(name, F.lit(-1)).cast("long").alias(name)
     )
@@ -96,7 +59,7 @@ def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFra
     name = name or f"{column}_code"
     text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
     keyed = df.withColumn("_text", text)
-    codes = _numbered(keyed.select("_text").distinct(), "_text", name)
+    codes = numbered(keyed.select("_text").distinct(), ["_text"], name)
     return keyed.join(codes, "_text").select(*df.columns, name)
 
 

@@ -13,12 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import order_statistics
 from rillspark.session import durable
 
 HEX_DIGITS = 4  # 65,536 ranges of digests
-SINGLE_GROUPS = 4096
-BUNDLES = 4096
 
 
 def digest(keys: Sequence[Column], seed: int) -> Column:
@@ -86,45 +85,74 @@ def k_fold(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFra
     return df.withColumn("fold", (number.cast("long") % k).cast("int"))
 
 
+def _deal(classes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Deal groups to k folds, each to the lightest one (the lower number among equals).
+
+    ``classes`` lists (size, number of groups), largest size first. While groups of one size are
+    dealt, the folds that are lighter than the lightest one plus that size take turns, until the
+    next fold joins them. Returns these phases: (size, position of its first group in the size
+    class, folds in turn).
+    """
+    totals = [0] * k
+    phases = []
+    for size, count in classes:
+        dealt = 0
+        while dealt < count:
+            low = min(totals)
+            turn = sorted((f for f in range(k) if totals[f] < low + size),
+                          key=lambda f: (totals[f], f))
+            others = [t for t in totals if t >= low + size]
+            here = count - dealt
+            if others:
+                here = min(here, (min(others) - low) // size * len(turn))
+            phases.append((size, dealt, turn))
+            rounds, more = divmod(here, len(turn))
+            for i, fold in enumerate(turn):
+                totals[fold] += size * (rounds + (i < more))
+            dealt += here
+    return phases
+
+
 def group_k_fold(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     """Folds of whole groups with even sizes: the largest group left goes to the lightest fold.
 
-    Dealing groups out one by one needs all their sizes at once. The 4,096 largest groups
-    are dealt singly; of any further ones, bundles by digest are dealt after them. So a bounded
-    number of sizes reaches the driver, and with up to 4,096 groups the rule holds exactly.
-    Among equal sizes the smaller group comes first, among equal folds the lower number.
+    Among equal sizes the smaller group comes first. The deal itself depends only on how many
+    groups there are of each size; n rows make at most sqrt(2 n) different sizes, so that table
+    is small enough for the driver. Every group then finds its fold from its size and its position
+    among the groups of that size.
     """
     group = list(group)
-    sizes = durable(df.groupBy(*group).agg(F.count("*").alias("_n")))
-    largest = sizes.orderBy(F.col("_n").desc(), *group).limit(SINGLE_GROUPS)
-    singles = largest.collect()
-    totals = [0] * k
-
-    def deal(n: int) -> int:
-        fold = totals.index(min(totals))
-        totals[fold] += n
-        return fold
-
-    single_folds = [(*(row[g] for g in group), deal(row["_n"])) for row in singles]
-    bundle = F.conv(F.substring(digest([F.col(g) for g in group], 0), 1, 3), 16, 10).cast("int")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema.fields[:-1])
-    named = df.sparkSession.createDataFrame(single_folds, f"{schema}, fold int")
-    if len(singles) < SINGLE_GROUPS:
-        return df.join(named, group)
-    last = singles[-1]
-    key = F.struct((-F.col("_n")).alias("_n"), *group)
-    tail = sizes.filter(
-        key > F.struct(F.lit(-last["_n"]).alias("_n"), *(F.lit(last[g]).alias(g) for g in group))
+    sizes = durable(df.groupBy(*group).agg(F.count("*").alias("_size")))
+    classes = [
+        tuple(r)
+        for r in sizes.groupBy("_size").count().orderBy(F.col("_size").desc()).collect()
+    ]
+    ranked = numbered(sizes, [F.col("_size").desc(), *group], "_at")
+    rows, first = [], {}
+    position = 0
+    for size, count in classes:
+        first[size] = position
+        position += count
+    phases = _deal(classes, k)
+    for i, (size, start, turn) in enumerate(phases):
+        last = i + 1 == len(phases) or phases[i + 1][0] != size
+        end = None if last else first[size] + phases[i + 1][1]
+        rows.append((size, first[size] + start, end, turn))
+    turns = df.sparkSession.createDataFrame(
+        rows, "_size long, _start long, _end long, _turn array<int>"
     )
-    bundled = (
-        tail.groupBy(bundle.alias("_bundle")).agg(F.sum("_n").alias("_n"))
-        .orderBy(F.col("_n").desc(), "_bundle").collect()
-    )  # at most BUNDLES rows
-    by_bundle = {row["_bundle"]: deal(row["_n"]) for row in bundled}
-    rest = F.element_at(
-        F.array(*(F.lit(by_bundle.get(b, 0)) for b in range(BUNDLES))), bundle + 1
+    at = F.col("_at")
+    folds = (
+        ranked.join(turns, "_size")
+        .filter((at >= F.col("_start")) & (F.col("_end").isNull() | (at < F.col("_end"))))
+        .select(
+            *group,
+            F.element_at(
+                "_turn", ((at - F.col("_start")) % F.size("_turn") + 1).cast("int")
+            ).alias("fold"),
+        )
     )
-    return df.join(named, group, "left").withColumn("fold", F.coalesce("fold", rest))
+    return df.join(folds, group)
 
 
 def sequential_split(

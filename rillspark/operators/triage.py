@@ -30,6 +30,6 @@ def highest_risk_places(
     df: DataFrame, place: Sequence[str], score: str, share: float = 0.25
 ) -> DataFrame:
     """Places whose mean score is at or above the (1 - share) quantile of all places."""
-    places = df.groupBy(*place).agg(F.round(F.avg(score), 4).alias("risk"))
+    places = df.groupBy(*place).agg(F.round(F.avg(score), 6).alias("risk"))
     limit = column_quantiles(places, ["risk"], [1 - share])["risk"][0]
     return places.filter(F.col("risk") >= F.lit(limit).cast("double"))

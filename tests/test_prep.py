@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark.operators import columns, joins, metrics, prep
+from rillspark.operators import columns, joins, metrics, numbering, prep
 
 
 def test_one_hot_drops_first_and_zeroes_missing(spark):
@@ -32,9 +32,9 @@ def test_label_codes_follow_the_text(spark):
 
 
 def test_numbering_over_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(prep, "ONE_TASK_VALUES", 10)
+    monkeypatch.setattr(numbering, "ONE_TASK_ROWS", 10)
     values = spark.range(5000).select((F.col("id") * 37 % 5000).alias("v")).repartition(9)
-    out = prep._numbered(values, "v", "n")
+    out = numbering.numbered(values, ["v"], "n")
     assert out.filter("v <> n").count() == 0
     assert out.count() == 5000
 

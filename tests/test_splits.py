@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark.operators import split
+from rillspark.operators import numbering, split
 
 
 @pytest.fixture(scope="module")
@@ -71,13 +71,31 @@ def test_group_k_fold_deals_largest_first(rows):
     assert folds_of(rows) == want
 
 
-def test_group_k_fold_beyond_the_single_groups(rows, monkeypatch):
-    monkeypatch.setattr(split, "SINGLE_GROUPS", 5)
-    folds = folds_of(rows)
-    assert len(folds) == rows.select("site").distinct().count()
-    totals = rows.groupBy("site").count().collect()
-    by_fold = [sum(r["count"] for r in totals if folds[r["site"]] == f) for f in range(3)]
-    assert max(by_fold) - min(by_fold) < 60
+def test_group_k_fold_numbered_over_many_tasks(rows, monkeypatch):
+    want = folds_of(rows)
+    monkeypatch.setattr(numbering, "ONE_TASK_ROWS", 5)
+    assert folds_of(rows) == want
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_dealing_by_size_equals_dealing_one_by_one(k):
+    rng = random.Random(k)
+    for _ in range(200):
+        sizes = [rng.choice([1, 1, 2, 3, 5, 50]) for _ in range(rng.randint(1, 60))]
+        sizes = sorted([*sizes, rng.randint(1, 200)], reverse=True)
+        totals, want = [0] * k, []
+        for size in sizes:
+            fold = totals.index(min(totals))
+            totals[fold] += size
+            want.append(fold)
+        classes = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        phases = split._deal(classes, k)
+        got = []
+        for i, (size, start, turn) in enumerate(phases):
+            same = i + 1 < len(phases) and phases[i + 1][0] == size
+            end = phases[i + 1][1] if same else dict(classes)[size]
+            got += [turn[j % len(turn)] for j in range(end - start)]
+        assert got == want
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.5, 0.8, 1.0])
