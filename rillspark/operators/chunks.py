@@ -27,11 +27,13 @@ def chunk_unit(
 ) -> str:
     """The longest unit of time whose fullest chunk has at most ``rows`` rows.
 
-    A table of no more rows than that needs no cut. Otherwise one counting pass by hour answers
-    for all units down to the hour; finer ones are tried one by one.
+    Only series above that size need a cut. Their rows are counted by hour, which answers for all
+    units down to the hour; finer ones are tried one by one.
     """
-    if df.count() <= rows:
+    large = df.groupBy(*series).count().filter(F.col("count") > rows).select(*series)
+    if large.isEmpty():
         return UNITS[0]
+    df = df.join(large, list(series), "left_semi")
     hours = df.groupBy(*series, chunk_of(us, "hour").alias("_at")).agg(F.count("*").alias("_n"))
     coarse = UNITS[: UNITS.index("hour") + 1]
     units = F.array(

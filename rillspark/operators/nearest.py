@@ -102,10 +102,15 @@ def nearest_in_time(
     )
     hits = found.select(*keys, "_us", F.col("_hit._us").alias("_hit_us"),
                         F.col("_hit._id").alias("_hit_id")).dropna(subset=["_hit_us"])
-    matched = hits.join(
-        right.withColumns({"_hit_us": micros(F.col(right_ts)), "_hit_id": F.col(right_id)}),
-        [*keys, "_hit_us", "_hit_id"],
-    ).select(*keys, "_us", *payload)
+    if set(payload) <= {right_ts, right_id}:
+        instant = F.timestamp_micros("_hit_us").cast(right.schema[right_ts].dataType)
+        known = {right_ts: instant, right_id: F.col("_hit_id")}
+        matched = hits.select(*keys, "_us", *(known[c].alias(c) for c in payload))
+    else:
+        matched = hits.join(
+            right.withColumns({"_hit_us": micros(F.col(right_ts)), "_hit_id": F.col(right_id)}),
+            [*keys, "_hit_us", "_hit_id"],
+        ).select(*keys, "_us", *payload)
     return (
         left.withColumn("_us", micros(F.col(left_ts)))
         .join(matched, [*keys, "_us"], "left")
