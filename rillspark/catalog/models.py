@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillspark.catalog import query
 from rillspark.catalog.joins import enriched
+from rillspark.catalog.preparation import split_sql
 from rillspark.operators import metrics, models, prep, split
 from rillspark.operators.joins import append_frames
 from rillspark.plans import evaluation
@@ -71,6 +72,28 @@ def m3(v):
     return models.evaluate(models.ridge().fit(matrix.side("train")), matrix)
 
 
+@query(
+    "m3_line",
+    f"""with pairs as (select s.site, s.ec, b.red from samples s join bands b on b.sample_id = s.sample_id
+                       where s.ec is not null and b.red is not null),
+        {split_sql('pairs')},
+        line as (select regr_slope(ec, red) as a, regr_intercept(ec, red) as b from marked
+                 where split = 'train')
+        select split, count(*) as n, round(1 - avg((ec - a * red - b) * (ec - a * red - b)) / var_pop(ec), 7) as r2,
+               round(sqrt(avg((ec - a * red - b) * (ec - a * red - b))), 4) as rmse
+        from marked, line group by split""",
+)
+def m3_line(v):
+    pairs = v.samples().select("sample_id", "site", "ec").join(
+        v.bands().select("sample_id", "red"), "sample_id"
+    ).dropna()
+    matrix = models.prepare(split.group_split(pairs, ["site"]), ["red"], "ec")
+    scored = models.ridge(0.0).fit(matrix.side("train")).transform(matrix.df)
+    return metrics.regression_metrics(scored, ["split"]).select(
+        "split", "n", F.round("r2", 7).alias("r2"), F.round("rmse", 4).alias("rmse")
+    )
+
+
 def _with_group_folds(matrix, k=3):
     train = split.group_k_fold(matrix.side("train"), ["site"], k)
     return models.Matrix(durable(train), matrix.features)

@@ -153,10 +153,13 @@ def grouped_median(
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= in_memory_rows:
         return df.groupBy(*keys).agg(*(F.median(c).alias(c) for c in cols))
-    large = sizes.filter(F.col("count") > in_memory_rows).select(*keys)
+    # A key with a missing part matches nothing in a join, so it stays with the small groups.
+    large = sizes.filter(F.col("count") > in_memory_rows).select(*keys).dropna()
     small = df.join(large, keys, "left_anti")
+    narrowed = _narrowed_medians(df.join(large, keys, "left_semi"), keys, cols, in_memory_rows)
+    # A large group without any value has no median but stays in the result.
     return small.groupBy(*keys).agg(*(F.median(c).alias(c) for c in cols)).unionByName(
-        _narrowed_medians(df.join(large, keys, "left_semi"), keys, cols, in_memory_rows)
+        large.join(narrowed, keys, "left")
     )
 
 

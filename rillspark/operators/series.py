@@ -133,7 +133,7 @@ def fill_forward_back(
     local = cut.withColumns(
         {f"_fwd_{v}": F.last(v, True).over(asc) for v in values}
     ).withColumns({f"_back_{v}": F.last(v, True).over(desc) for v in values})
-    filled = local.join(carried, [*series, "_chunk"])
+    filled = local.join(carried, [*series, "_chunk"], "left")
     return filled.select(
         *(
             F.coalesce(f"_fwd_{c}", f"_prev_{c}", f"_back_{c}", f"_next_{c}").alias(c)
@@ -182,7 +182,7 @@ def hold_out_last(
         .agg(F.min(position).alias("_cut"))
     )
     return (
-        df.join(cuts, list(series))
+        df.join(cuts, list(series), "left")
         .withColumn("split", F.when(position >= F.col("_cut"), "test").otherwise("train"))
         .drop("_cut")
     )

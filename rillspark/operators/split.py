@@ -152,7 +152,9 @@ def group_k_fold(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
             ).alias("fold"),
         )
     )
-    return df.join(folds, group)
+    named = {g: f"_group_{i}" for i, g in enumerate(group)}
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in named.items()]
+    return df.join(folds.withColumnsRenamed(named), same).drop(*named.values())
 
 
 def sequential_split(

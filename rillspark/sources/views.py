@@ -31,9 +31,13 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # The files of a table are listed and its schema read once.
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def sites(self) -> DataFrame:
         site = F.col("c_custkey")

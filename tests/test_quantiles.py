@@ -52,7 +52,8 @@ def test_grouped_median_of_a_hot_group(spark, in_memory_rows):
     rng = random.Random(4)
     rows = [("hot", rng.gauss(0, 1e6), 5.0) for _ in range(301)]
     rows += [(f"g{i % 20}", rng.gauss(0, 1), None if i % 2 else float(i)) for i in range(200)]
-    rows += [("empty", None, None)]
+    rows += [("empty", None, None)] + [("hollow", None, None)] * 40
+    rows += [(None, 3.0, None)] * 30
     df = spark.createDataFrame(rows, "g string, x double, y double")
     got = {
         r["g"]: (r["x"], r["y"])

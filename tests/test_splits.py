@@ -71,6 +71,12 @@ def test_group_k_fold_deals_largest_first(rows):
     assert folds_of(rows) == want
 
 
+def test_group_k_fold_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "b")], "id int, site string")
+    got = {r["id"]: r["fold"] for r in split.group_k_fold(df, ["site"], 2).collect()}
+    assert got == {2: 0, 3: 0, 1: 1, 4: 1}
+
+
 def test_group_k_fold_numbered_over_many_tasks(rows, monkeypatch):
     want = folds_of(rows)
     monkeypatch.setattr(numbering, "ONE_TASK_ROWS", 5)
