@@ -24,6 +24,31 @@ def test_partitioned_sink_reads_back(spark, tmp_path):
     assert sorted(map(tuple, back.select("year", "x").collect())) == [(2011, 1.0), (2012, 2.0)]
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    places = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    for name, value in (("bucketed_samples", "x"), ("bucketed_bands", "y")):
+        io.write_bucketed(places.select("k", F.col("x").alias(value)), name, ["k"], 4, "overwrite")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_samples").join(spark.table("bucketed_bands"), ["k"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.filter("x = y").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_busy_partition_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(200_000).select((F.col("id") * 0).alias("year"), F.rand(1).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        io.write_table(df, str(tmp_path / "t"), ["year"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "year=0").glob("*.parquet"))) > 1
+
+
 def test_cube_bounds_are_inclusive(spark):
     rows = [(dt.date(2010, m, 1), float(y), 20.0, m) for m in (1, 2, 3) for y in (-21, -30, -36, -37)]
     cube = spark.createDataFrame(rows, "t date, lat double, lon double, ppt int")
