@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillspark.catalog import query
 from rillspark.catalog.preparation import LABELLED_SQL, marked, split_sql
 from rillspark.operators import metrics, prep, stats, triage, zonal
+from rillspark.session import durable
 
 BANDS = ["red", "green", "nir", "swir16"]
 COLUMNS = ["red", "green", "blue", "nir", "swir16", "swir22"]
@@ -94,7 +95,7 @@ def _per_column(select: str, source: str = "bands", columns=COLUMNS) -> str:
 
 @query("a7_column_medians", _per_column("count({c}) as count, median({c}) as median"))
 def a7(v):
-    return stats.column_medians(v.bands(), COLUMNS)
+    return stats.column_medians(durable(v.bands()), COLUMNS)
 
 
 @query(
@@ -114,7 +115,7 @@ def a8(v):
     ),
 )
 def a9(v):
-    return _rounded(stats.describe(v.bands(), COLUMNS), mean=4, std=4, q25=6, q50=6, q75=6)
+    return _rounded(stats.describe(durable(v.bands()), COLUMNS), mean=4, std=4, q25=6, q50=6, q75=6)
 
 
 CORRELATED = ["red", "green", "swir22"]

@@ -8,6 +8,7 @@ from rillspark.catalog import query
 from rillspark.functions.places import Box, box_around
 from rillspark.operators import columns, joins, nearest, ranges
 from rillspark.plans import enrichment
+from rillspark.session import durable
 from rillspark.sources import views
 
 LAT_AXIS = nearest.Axis(views.GRID_LAT0, views.GRID_LAT_STEP, views.GRID_ROWS)
@@ -235,8 +236,9 @@ def j9(v):
         qualify row_number() over (partition by s.sample_id order by abs(s.d - c.t), c.t) = 1""",
 )
 def j9_time(v):
+    series = durable(v.station_series())  # aggregated once, then read several times
     found = nearest.nearest_point_and_time(
-        v.samples().select("sample_id", "lat", "lon", "d"), v.station_series(), ["pet"], "d", "t"
+        v.samples().select("sample_id", "lat", "lon", "d"), series, ["pet"], "d", "t"
     )
     return found.select("sample_id", "plat", "plon", "t", "pet")
 
