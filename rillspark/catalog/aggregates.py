@@ -72,10 +72,10 @@ def a3(v):
 
 @query(
     "a4_region_mean",
-    "select t, round(avg(ppt), 6) as ppt, round(avg(pet), 4) as pet from grid group by t",
+    "select t, round(avg(ppt), 6) as ppt, round(avg(pet), 7) as pet from grid group by t",
 )
 def a4(v):
-    return _rounded(stats.region_mean(v.grid(), "t", ["ppt", "pet"]), ppt=6, pet=4)
+    return _rounded(stats.region_mean(v.grid(), "t", ["ppt", "pet"]), ppt=6, pet=7)
 
 
 @query(

@@ -110,13 +110,13 @@ def s6_incremental(v):
     "s8_sequence_table",
     f"""with {INTERPOLATED_SQL}
         select loc, ts, cast(3 as int) as steps, oldest, y from (
-          select loc, ts, pos, round(lag(value, 3) over (partition by loc order by ts), 6) as oldest,
-                 round(value, 6) as y from regular) where pos > 3""",
+          select loc, ts, pos, round(lag(value, 3) over (partition by loc order by ts), 9) as oldest,
+                 round(value, 9) as y from regular) where pos > 3""",
 )
 def s8(v):
     path = working_folder(v.spark) + "/sequences"
     io.write_sequences(monthly_sequences(v.obs(), ["loc"], "ts", ["flow"], "value", 3, "day"), path)
     return io.read_table(v.spark, path).select(
         "loc", "ts", F.size("x").alias("steps"),
-        F.round(F.col("x")[0]["value"], 6).alias("oldest"), F.round("y", 6).alias("y"),
+        F.round(F.col("x")[0]["value"], 9).alias("oldest"), F.round("y", 9).alias("y"),
     )

@@ -69,10 +69,10 @@ def w2(v):
 
 @query(
     "a5_resample_day",
-    f"with {DAILY_SQL} select loc, ts, round(value, 6) as value, round(flow, 6) as flow from daily",
+    f"with {DAILY_SQL} select loc, ts, round(value, 9) as value, round(flow, 9) as flow from daily",
 )
 def a5(v):
-    return _rounded(_daily(v), ["value", "flow"])
+    return _rounded(_daily(v), ["value", "flow"], 9)
 
 
 @query(
@@ -92,22 +92,22 @@ def a5_month(v):
 
 @query(
     "w3_interpolate",
-    f"""with {INTERPOLATED_SQL} select loc, ts, round(value, 6) as value, round(flow, 6) as flow
+    f"""with {INTERPOLATED_SQL} select loc, ts, round(value, 9) as value, round(flow, 9) as flow
         from interpolated""",
 )
 def w3(v):
     regular = series.interpolate(_daily(v), ["loc"], "ts", ["value", "flow"], fill=False)
-    return _rounded(regular, ["value", "flow"])
+    return _rounded(regular, ["value", "flow"], 9)
 
 
 @query(
     "w3_w4_interpolate_and_fill",
-    f"""with {INTERPOLATED_SQL} select loc, ts, round(value, 6) as value, round(flow, 6) as flow
+    f"""with {INTERPOLATED_SQL} select loc, ts, round(value, 9) as value, round(flow, 9) as flow
         from regular""",
 )
 def w3_w4(v):
     regular = series.interpolate(_daily(v), ["loc"], "ts", ["value", "flow"])
-    return _rounded(regular, ["value", "flow"])
+    return _rounded(regular, ["value", "flow"], 9)
 
 
 @query(
@@ -141,10 +141,10 @@ def forecasting(v):
     "w5_sequences",
     f"""with {INTERPOLATED_SQL}
         select * from (
-          select loc, ts, round(lag(value, 3) over w, 6) as value_lag3,
-                 round(lag(value, 2) over w, 6) as value_lag2, round(lag(value, 1) over w, 6) as value_lag1,
-                 round(lag(flow, 3) over w, 6) as flow_lag3, round(lag(flow, 1) over w, 6) as flow_lag1,
-                 round(value, 6) as y, pos
+          select loc, ts, round(lag(value, 3) over w, 9) as value_lag3,
+                 round(lag(value, 2) over w, 9) as value_lag2, round(lag(value, 1) over w, 9) as value_lag1,
+                 round(lag(flow, 3) over w, 9) as flow_lag3, round(lag(flow, 1) over w, 9) as flow_lag1,
+                 round(value, 9) as y, pos
           from regular window w as (partition by loc order by ts))
         where pos > 3""",
 )
@@ -155,12 +155,12 @@ def w5(v):
     x = F.col("x")
     return seq.select(
         "loc", "ts",
-        F.round(x[0]["value"], 6).alias("value_lag3"),
-        F.round(x[1]["value"], 6).alias("value_lag2"),
-        F.round(x[2]["value"], 6).alias("value_lag1"),
-        F.round(x[0]["flow"], 6).alias("flow_lag3"),
-        F.round(x[2]["flow"], 6).alias("flow_lag1"),
-        F.round("y", 6).alias("y"),
+        F.round(x[0]["value"], 9).alias("value_lag3"),
+        F.round(x[1]["value"], 9).alias("value_lag2"),
+        F.round(x[2]["value"], 9).alias("value_lag1"),
+        F.round(x[0]["flow"], 9).alias("flow_lag3"),
+        F.round(x[2]["flow"], 9).alias("flow_lag1"),
+        F.round("y", 9).alias("y"),
         (F.row_number().over(Window.partitionBy("loc").orderBy("ts")) + 3).cast("long").alias("pos"),
     )
 
