@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +35,44 @@ def build_session(app: str = "rillspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def working_folder(spark: SparkSession) -> str:
     """A new folder in the shared place that ``spark.checkpoint.dir`` names.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    A session that names none works beside its tables, under ``spark.sql.warehouse.dir``, which
+    driver and executors share as well. ``release`` removes the folders; so does the end of the
+    program where the session is still running by then.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="rillspark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_working"
+    )
+    if spark._jsc.sc().getCheckpointDir().isEmpty():
+        # Long chains of iterations cut their lineage there too.
+        spark.sparkContext.setCheckpointDir(shared)
+    folder = f"{shared}/{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, folder))
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the folders that this session made."""
+    conf = spark._jsc.hadoopConfiguration()
+    for entry in [e for e in _FOLDERS if e[0] is spark]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _FOLDERS.remove(entry)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _FOLDERS}.values():
+        try:
+            if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
+                release(spark)
+        except Exception:  # the JVM may already be gone; the folder then stays
+            pass
 
 
 def durable(df: DataFrame) -> DataFrame:
