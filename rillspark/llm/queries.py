@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import sharding
+from rillspark.llm import mixing, sharding
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
@@ -33,6 +33,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3, ... by source, no document more than 3 times."""
+    tune(spark)
+    dealt = mixing.dealt_copies(table(spark, sf_dir, "documents"))
+    return dealt.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        "source",
+        "copies",
+    )
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op7_mixing": op7_mixing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
