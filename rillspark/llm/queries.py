@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import mixing, sharding
+from rillspark.llm import fingerprints, mixing, sharding
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
@@ -48,9 +48,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot fingerprints of all documents and of their edited texts."""
+    tune(spark)
+    made = fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.array_join("spots", " ").alias("fingerprint"),
+        F.array_join("edited_spots", " ").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op7_mixing": op7_mixing,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
