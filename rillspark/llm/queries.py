@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import fingerprints, mixing, sharding
+from rillspark.llm import fingerprints, language, mixing, sharding
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
@@ -33,6 +33,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~language.held_out()))
+    made = language.identified(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, ... by source, no document more than 3 times."""
     tune(spark)
@@ -65,6 +74,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
 }
