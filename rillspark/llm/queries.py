@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import fingerprints, language, mixing, sharding
+from rillspark.llm import fingerprints, language, mixing, quality, sharding
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
@@ -42,6 +42,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from two thirds of the labels."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out())
+    made = quality.scored(docs, quality.fit(docs, labels))
+    return made.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, ... by source, no document more than 3 times."""
     tune(spark)
@@ -75,6 +89,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
 }
