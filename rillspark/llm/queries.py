@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import fingerprints, language, mixing, quality, sharding
+from rillspark.llm import fingerprints, language, mixing, quality, sharding, token_counts
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
 SHARDS = 8
+TOKEN_LIMIT = 1024
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in the byte-level vocabulary."""
+    tune(spark)
+    made = token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from two thirds of the labels."""
     tune(spark)
@@ -89,6 +102,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
