@@ -1,8 +1,8 @@
 """Merging adjacent symbols by rank, for many words at once.
 
 All words of one length form a matrix. In each round every word that still has a mergeable pair
-merges its best one (lowest rank, leftmost), so all remaining words stay equally long; finished
-ones leave. That is the order in which an agenda would process each word by itself.
+merges its best one (lowest rank, leftmost), which is the order in which an agenda would process
+each word by itself.
 """
 
 from __future__ import annotations
@@ -12,57 +12,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-NEVER = np.int32(2**31 - 1)
+NOTHING = np.int64(2**62)
 LONGEST = 48  # symbols; longer words go through an agenda one by one
+BLOCK = 1 << 17  # symbols merged at a time, so that the matrices stay in cache
 _EMPTY = np.uint64(2**64 - 1)
+_32 = np.uint64(32)
+_MERGED_AWAY = -2  # symbols are ids from 0, or -1 for one that never merges
 
 
 class PairTable:
-    """(left, right) -> (rank, merged) as an open hash table that answers for arrays."""
+    """(left, right) -> rank * 2**38 + merged, as an open hash table that answers for arrays.
+
+    With the column of the pair in the six bits between, the smallest value is the best merge.
+    """
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
         keys = self._keys(left, right)
-        self.shift = np.uint64(64 - max(4, int(4 * max(1, len(keys)) - 1).bit_length()))
-        self.mask = np.uint64((1 << (64 - int(self.shift))) - 1)
-        self.keys = np.full(int(self.mask) + 1, _EMPTY, np.uint64)
-        self.ranks = np.full(len(self.keys), NEVER, np.int32)
-        self.made = np.full(len(self.keys), -1, np.int32)
+        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.keys = np.full(1 << bits, _EMPTY, np.uint64)
+        self.values = np.full(1 << bits, NOTHING, np.int64)
+        values = (rank.astype(np.int64) << 38) | merged.astype(np.int64)
         slots, todo = self._slots(keys), np.arange(len(keys))
         while len(todo):
             free = self.keys[slots[todo]] == _EMPTY
             _, first = np.unique(slots[todo[free]], return_index=True)
             put = todo[free][first]
-            self.keys[slots[put]] = keys[put]
-            self.ranks[slots[put]], self.made[slots[put]] = rank[put], merged[put]
+            self.keys[slots[put]], self.values[slots[put]] = keys[put], values[put]
             todo = np.setdiff1d(todo, put)
             slots[todo] = (slots[todo] + np.uint64(1)) & self.mask
 
     @staticmethod
     def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint32).astype(np.uint64)
+        return (left.astype(np.uint64) << _32) | right.astype(np.uint32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged symbol of each pair; ``NEVER`` and -1 where there is none."""
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Value of each pair of two flat arrays; ``NOTHING`` where they do not merge."""
         keys = self._keys(left, right)
         slots = self._slots(keys)
         held = self.keys[slots]
-        rank, made = self.ranks[slots], self.made[slots]
-        other = held != keys
-        rank[other], made[other] = NEVER, -1
-        open_ = other & (held != _EMPTY)
-        while open_.any():
-            at = np.nonzero(open_)
-            again = (slots[at] + np.uint64(1)) & self.mask
-            slots[at] = again
-            held = self.keys[again]
+        value = self.values[slots]
+        at = np.flatnonzero(held != keys)
+        value[at] = NOTHING
+        at = at[held[at] != _EMPTY]
+        while len(at):
+            slots[at] = (slots[at] + np.uint64(1)) & self.mask
+            held = self.keys[slots[at]]
             hit = held == keys[at]
-            rank[at] = np.where(hit, self.ranks[again], NEVER)
-            made[at] = np.where(hit, self.made[again], -1)
-            open_[at] = ~hit & (held != _EMPTY)
-        return rank, made
+            value[at[hit]] = self.values[slots[at[hit]]]
+            at = at[~hit & (held != _EMPTY)]
+        return value
 
 
 # Says for arrays of (start, middle, end) which candidate merges are to be skipped.
@@ -76,55 +78,72 @@ def merged_words(
 
     Word i is ``symbols[starts[i] : starts[i] + lengths[i]]``.
     """
-    one = lengths == 1
-    yield starts[one], symbols[starts[one]]
-    for length in np.unique(lengths[~one]).tolist():
-        mine = starts[lengths == length]
-        if length > LONGEST:
+    order = np.argsort(lengths, kind="stable")
+    each, first = np.unique(lengths[order], return_index=True)
+    for length, a, b in zip(each.tolist(), first, [*first[1:], len(order)], strict=True):
+        mine = starts[order[a:b]]
+        if length == 1:
+            yield mine, symbols[mine]
+        elif length > LONGEST:
             for start in mine.tolist():
                 yield _by_agenda(symbols, start, start + length, table, skips)
         else:
-            yield from _lockstep(symbols, mine, length, table, skips)
-
-
-def _lockstep(symbols, starts, length, table, skips):
-    at = starts[:, None] + np.arange(length + 1)
-    ids = symbols[at[:, :-1]]
-
-    def ranked(left, right, start, middle, end):
-        rank, made = table.find(left, right)
-        if skips is not None:
-            could = np.nonzero(rank != NEVER)
-            gone = skips(start[could], middle[could], end[could])
-            rank[tuple(c[gone] for c in could)] = NEVER
-        return rank, made
-
-    rank, made = ranked(ids[:, :-1], ids[:, 1:], at[:, :-2], at[:, 1:-1], at[:, 2:])
-    while True:
-        best = rank.argmin(1)
-        rows = np.arange(len(best))
-        go = rank[rows, best] != NEVER
+            step = max(1, BLOCK // length)
+            for i in range(0, len(mine), step):
+                yield _lockstep(symbols, mine[i : i + step], length, table, skips)
+
+
+def _lockstep(symbols, starts, w, table, skips):
+    n = len(starts)
+    places = starts[:, None] + np.arange(w)
+    ids = symbols[places]
+    value = np.full((n, w), NOTHING)
+    value[:, :-1] = table.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, w - 1)
+    value[:, :-1] |= np.arange(w - 1) << 32
+    # Columns of the neighbours; flat views, addressed by row * w + column.
+    after = np.tile(np.arange(1, w + 1, dtype=np.int64), n)
+    before = np.tile(np.arange(-1, w - 1, dtype=np.int64), n)
+    ids, flat = ids.ravel(), value.ravel()
+
+    if skips is not None:
+        row, column = np.nonzero(value < NOTHING)
+        base = starts[row]
+        flat[(row * w + column)[skips(base + column, base + column + 1, base + column + 2)]] = NOTHING
+    rows = np.arange(n)
+    while len(rows):
+        best = value[rows].argmin(1) if len(rows) < n else value.argmin(1)
+        origin = rows * w
+        at = origin + best
+        found = flat[at]
+        go = found < NOTHING
         if not go.all():
-            yield at[~go, :-1].ravel(), ids[~go].ravel()
-            ids, at, rank, made, best = ids[go], at[go], rank[go], made[go], best[go]
-            rows = rows[: len(best)]
-        if not len(best):
-            return
-        ids[rows, best] = made[rows, best]
-        width = ids.shape[1] - 1
-        column = np.arange(width)
-        # Drop the right one of the pair, its position and the rank of the pair.
-        keep = column + (column > best[:, None])
-        ids = np.take_along_axis(ids, keep, 1)
-        at = np.take_along_axis(at, np.concatenate([keep, np.full((len(keep), 1), width + 1)], 1), 1)
-        if width == 1:
-            yield at[:, 0], ids[:, 0]
-            return
-        keep = column[:-1] + (column[:-1] >= best[:, None])
-        rank, made = np.take_along_axis(rank, keep, 1), np.take_along_axis(made, keep, 1)
-        for j, has in ((best - 1, best > 0), (best, best < width - 1)):
-            r, j = np.flatnonzero(has), j[has]
-            rank[r, j], made[r, j] = ranked(ids[r, j], ids[r, j + 1], at[r, j], at[r, j + 1], at[r, j + 2])
+            rows, best, origin, at, found = rows[go], best[go], origin[go], at[go], found[go]
+            if not len(rows):
+                break
+        right = after[at]
+        dead = origin + right
+        end = after[dead]
+        ids[at] = found & 0xFFFFFFFF
+        ids[dead], flat[dead], flat[at] = _MERGED_AWAY, NOTHING, NOTHING
+        after[at] = end
+        has = end < w
+        before[(origin + end)[has]] = best[has]
+        left = before[at]
+        # The pairs that have changed: with the one before and with the one behind.
+        back = np.flatnonzero(left >= 0)
+        ahead = np.flatnonzero(has)
+        r = np.concatenate([back, ahead])
+        a = np.concatenate([left[back], best[ahead]])
+        b = np.concatenate([best[back], end[ahead]])
+        at_a, at_b = origin[r] + a, origin[r] + b
+        new = table.find(ids[at_a], ids[at_b])
+        if skips is not None:
+            k = np.flatnonzero(new != NOTHING)
+            base = starts[rows[r[k]]]
+            new[k[skips(base + a[k], base + b[k], base + after[at_b[k]])]] = NOTHING
+        flat[at_a] = new | (a << 32)
+    alive = ids != _MERGED_AWAY
+    return places.ravel()[alive], ids[alive]
 
 
 def _by_agenda(symbols, start, end, table, skips):
@@ -139,13 +158,14 @@ def _by_agenda(symbols, start, end, table, skips):
         if not lefts:
             return
         rights = [after[i] for i in lefts]
-        rank, made = table.find(np.array([ids[i] for i in lefts]), np.array([ids[j] for j in rights]))
-        ok = rank != NEVER
+        value = table.find(np.array([ids[i] for i in lefts]), np.array([ids[j] for j in rights]))
+        ok = value != NOTHING
         if skips is not None and ok.any():
             place = [np.array(x, np.int64) + start for x in (lefts, rights, [after[j] for j in rights])]
             ok[ok] = ~skips(*[p[ok] for p in place])
         for k in np.flatnonzero(ok).tolist():
-            yield int(rank[k]), lefts[k], rights[k], after[rights[k]], int(made[k])
+            rank, made = divmod(int(value[k]), 1 << 38)
+            yield rank, lefts[k], rights[k], after[rights[k]], made
 
     heap = list(candidates(range(n - 1)))
     heapq.heapify(heap)

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.llm import fingerprints, language, mixing, quality, sharding, token_counts
+from rillspark.llm import (
+    fingerprints,
+    language,
+    mixing,
+    quality,
+    sentencepiece_dropout,
+    sharding,
+    token_counts,
+)
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
 
@@ -99,6 +107,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under one seed, and whether they decode to the text."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_dropout.encoded(docs).drop("text")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -106,6 +121,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
