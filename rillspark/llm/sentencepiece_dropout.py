@@ -20,7 +20,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from rillspark.llm.merging import PairTable, merged_words
 from rillspark.llm.tables import text_slices
@@ -175,7 +175,7 @@ def encoded(
                     [*(batch[c].slice(a, b - a) for c in kept), *made], names=[*kept, *names]
                 )
 
-    out = StructType(list(docs.schema.fields)).add("pieces", "array<int>").add("n_pieces", "int")
+    out = StructType(list(docs.schema.fields)).add("pieces", ArrayType(IntegerType())).add("n_pieces", "int")
     return keyed.mapInArrow(encode, out.add("lossless", "boolean") if check else out)
 
 
