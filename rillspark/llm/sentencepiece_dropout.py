@@ -175,7 +175,7 @@ def encoded(
                     [*(batch[c].slice(a, b - a) for c in kept), *made], names=[*kept, *names]
                 )
 
-    out = StructType(list(docs.schema.fields)).add("pieces", ArrayType(IntegerType())).add("n_pieces", "int")
+    out = StructType(list(docs.schema.fields)).add("pieces", ArrayType(IntegerType())).add("n_pieces", IntegerType())
     return keyed.mapInArrow(encode, out.add("lossless", "boolean") if check else out)
 
 
