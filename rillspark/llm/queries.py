@@ -9,6 +9,7 @@ from rillspark.llm import (
     fingerprints,
     language,
     mixing,
+    ngram_join,
     quality,
     sentencepiece_dropout,
     sharding,
@@ -51,6 +52,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates and number of links at Jaccard 0.8 on 5 words."""
+    tune(spark)
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document in the byte-level vocabulary."""
     tune(spark)
@@ -117,6 +124,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op4_ngram_join": op4_ngram_join,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
