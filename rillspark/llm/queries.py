@@ -9,6 +9,7 @@ from rillspark.llm import (
     fingerprints,
     language,
     mixing,
+    neighbours,
     ngram_join,
     quality,
     sentencepiece_dropout,
@@ -114,6 +115,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector, over shifted Hilbert curves."""
+    tune(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under one seed, and whether they decode to the text."""
     tune(spark)
@@ -129,6 +136,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_neighbours": op9_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
