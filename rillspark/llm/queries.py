@@ -15,6 +15,7 @@ from rillspark.llm import (
     sentencepiece_dropout,
     sharding,
     token_counts,
+    warc,
 )
 from rillspark.llm.tables import table
 from rillspark.session import tune, working_folder
@@ -53,6 +54,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives by byte ranges."""
+    tune(spark)
+    written = warc.write_archives(table(spark, sf_dir, "pages"), f"{working_folder(spark)}/warc")
+    found = warc.read_archives(written.select("path", "length"), with_payload=False)
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates and number of links at Jaccard 0.8 on 5 words."""
     tune(spark)
@@ -131,6 +142,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
