@@ -194,8 +194,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     rows count as ambiguous. Equal texts get equal predictions; other columns are not looked at.
     """
     names = ("lang_pred", "score", "ambiguous")
-    kept = [c for c in docs.columns if c not in names]
-    docs = docs.select(*kept)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

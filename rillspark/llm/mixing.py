@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.tables import digest_fraction, digest_number, told_apart
+from rillspark.llm.tables import digest_fraction, digest_number, packed, told_apart
 from rillspark.operators.numbering import numbered
 from rillspark.session import durable
 
@@ -247,22 +247,22 @@ def mixed(docs: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
             (F.col("_all") % F.col("_same")).cast("int").alias("_rest"),
         )
     )
-    text = F.col("text")
+    text = F.col("_doc.text")
     mine = [
-        F.col("doc_id").cast("long"),
-        F.col("source").cast("string"),
+        F.col("_doc.doc_id").cast("long"),
+        F.col("_doc.source").cast("string"),
         word_count(text),
         F.coalesce(F.crc32(text), F.lit(0)),
     ]
+    own = packed(docs)
 
     def repeated(found: DataFrame, times: str) -> DataFrame:
-        return found.filter(F.col(times) > 0).select(
-            *docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias("_")
-        ).drop("_")
+        each = F.explode(F.sequence(F.lit(1), F.col(times)))
+        return found.select("_doc", each.alias("_")).select("_doc.*")
 
     def of(taken: DataFrame) -> DataFrame:
         same = [m.eqNullSafe(F.col(f"_{c}")) for m, c in zip(mine, record, strict=True)]
-        return docs.join(taken, same)
+        return own.join(taken, same)
 
     out = repeated(of(dealt.filter("_each > 0")), "_each")
     rest = dealt.filter("_rest > 0")
@@ -270,11 +270,7 @@ def mixed(docs: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
         one = (
             of(rest)
             .groupBy(*[f"_{c}" for c in record])
-            .agg(
-                F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_doc"),
-                F.first("_rest").alias("_rest"),
-            )
-            .select("_doc.*", "_rest")
+            .agg(F.first("_doc").alias("_doc"), F.first("_rest").alias("_rest"))
         )
         out = out.unionByName(repeated(one, "_rest"))
     return out

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.components import components
+from rillspark.llm.tables import packed
 from rillspark.session import durable
 
 N = 5
@@ -358,3 +359,34 @@ def joined(docs: DataFrame, at_least: float = AT_LEAST, recall: float = RECALL,
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")
     )
     return signed.select("doc_id", "key").join(named, "key").drop("key").unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, at_least: float = AT_LEAST, recall: float = RECALL, n: int = N) -> DataFrame:
+    """The documents with one of each class of near-duplicates, all their columns kept.
+
+    The one with the smallest doc_id stays; of rows that share that doc_id and their words, one.
+    Texts without words are like no other and all stay. The join back is on words and doc_id, so
+    that the copies of a hot text do not meet in one task.
+    """
+    _, classes, units = _candidates(docs, at_least, recall, n)
+    lines = durable(
+        _by_unit(units).mapInArrow(_verified(at_least, False), "key binary, root binary, links long")
+    )
+    roots = components(lines.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    stays = (
+        classes.select("key", "first_id")
+        .join(roots.withColumnRenamed("node", "key"), "key", "left")
+        .groupBy(F.coalesce("root", "key").alias("root"))
+        # A null doc_id stays only where there is no other.
+        .agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("_one"))
+        .select(F.col("_one.key").alias("_key"), F.col("_one.first_id").alias("_id"))
+    )
+    plain = F.trim(F.regexp_replace(F.lower("_doc.text"), r"\s+", " "))
+    key = F.when(F.coalesce(plain, F.lit("")) != "", F.unhex(F.md5(plain)))
+    own = packed(docs).withColumn("_words", key)
+    kept = own.join(
+        stays,
+        (F.col("_words") == F.col("_key")) & F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_id")),
+    )
+    once = kept.groupBy("_words", "_id").agg(F.first("_doc").alias("_doc"))
+    return once.select("_doc.*").unionByName(own.filter("_words is null").select("_doc.*"))

@@ -177,7 +177,7 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
 
     Equal texts get equal scores; an existing column ``score`` is replaced.
     """
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -152,14 +152,15 @@ def encoded(
     """
     names = ["pieces", "n_pieces", *(["lossless"] if check else [])]
     arrays = model_arrays(path)
-    docs = docs.select(*[c for c in docs.columns if c not in (*names, "_key")])
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept = docs.columns
+    coin = "_key" + "_" * sum(c.startswith("_key") for c in kept)
+    keyed = docs.withColumn(coin, F.xxhash64(F.lit(seed), F.col("doc_id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(arrays)
         for batch in batches:
-            keys = batch["_key"].to_numpy().astype(np.uint64)
+            keys = batch[coin].to_numpy().astype(np.uint64)
             present = pc.is_valid(batch["text"])
             texts = pc.fill_null(batch["text"], "")
             for a, b in text_slices(texts, 1_000_000):

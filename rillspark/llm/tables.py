@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The whole row as ``_doc`` beside the columns that are worked on, so that no name clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *needed)
+
+
 def digest_number(*parts: Column, digits: int = 13) -> Column:
     """A number below 16**digits from the md5 of the parts; a missing part counts as ``~``.
 

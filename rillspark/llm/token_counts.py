@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillspark.llm.merging import PairTable, merged_words
@@ -239,7 +240,7 @@ def counted(docs: DataFrame, path: str | None = None, most_arcs: int = MOST_ARCS
     merges (one bounded table) go along with the tasks; existing columns of that name are replaced.
     """
     arrays, special = vocabulary(path)
-    docs = docs.select(*[c for c in docs.columns if c != "n_tokens"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(arrays, most_arcs)
