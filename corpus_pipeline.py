@@ -1,5 +1,69 @@
-"""Placeholder until its stages exist."""
-STAGES = []
+"""Documents from raw to tokens: filter, deduplicate, mix, encode.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. ``run`` writes each result down and goes on from the written table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillspark.llm import language, mixing, ngram_join, quality, sentencepiece_dropout
+from rillspark.llm.tables import packed, table
+from rillspark.session import durable, tune
+
+# Only what is clearly one or the other goes: both scores leave wide room around their cut.
+LEAST_QUALITY = 0.25
+LEAST_LANGUAGE = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking does not place clearly among the bad ones."""
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out())
+    scored = quality.scored(packed(docs, "text"), quality.fit(docs, labels))
+    return scored.filter(F.col("score") >= LEAST_QUALITY).select("_doc.*")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: not those without letters or like no language that was learned."""
+    model = language.fit(docs.filter(~language.held_out()))
+    known = language.identified(packed(docs, "text"), model)
+    wanted = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)
+    return known.filter(wanted).select("_doc.*")
+
+
+def deduplication_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces."""
+    return sentencepiece_dropout.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", deduplication_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
+
+# Fitted models and merges are not for SQL; tests compare the pipeline with a brute-force one.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
