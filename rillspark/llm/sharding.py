@@ -53,21 +53,27 @@ def edited_map(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 
     Slots are visited by falling size. One that fits under the mean load stays where it is; the
     others, and those of shards that are gone, go to the least loaded shard, again by falling
-    size. No shard ends above the mean by more than the largest slot that moved.
+    size. No shard ends above the mean by more than the largest slot that moved, but for one that
+    holds nothing else than a single slot above the mean.
     """
     largest_first = F.array_sort(
         F.collect_list(F.struct(-F.col("bytes"), F.col("slot"), F.col("shard"), F.col("version")))
     )
-    # The mean is a column of the aggregate: written into the lambda it would be summed per slot.
-    mean = F.floor(F.sum("bytes") / shards).alias("mean")
-    one = sizes.join(current, "slot").agg(largest_first.alias("s"), mean)
+    one = sizes.join(current, "slot").agg(largest_first.alias("s"), F.sum("bytes").alias("total"))
     loads = f"array_repeat(0L, {shards})"
     add = "transform(a.loads, (v, i) -> if(i = {to}, v - x.col1, v))"
+    # A slot above the mean fills a shard by itself and does not raise the mean of the others. The
+    # mean starts the fold: written into its lambda it would be worked out for every slot.
+    mean = f"""
+        aggregate(s, named_struct('bytes', total, 'shards', {shards}),
+            (a, x) -> if(a.shards > 1 and -x.col1 * a.shards > a.bytes,
+                named_struct('bytes', a.bytes + x.col1, 'shards', a.shards - 1), a),
+            a -> a.bytes div a.shards)"""
     keep = f"""
-        aggregate(s, named_struct('loads', {loads}, 'to', cast(array() as array<int>)),
-            (a, x) -> if(x.shard < {shards} and element_at(a.loads, least(x.shard + 1, {shards})) - x.col1 <= mean,
-                named_struct('loads', {add.format(to="x.shard")}, 'to', a.to || array(x.shard)),
-                named_struct('loads', a.loads, 'to', a.to || array(-1))))"""
+        aggregate(s, named_struct('mean', {mean}, 'loads', {loads}, 'to', cast(array() as array<int>)),
+            (a, x) -> if(x.shard < {shards} and element_at(a.loads, least(x.shard + 1, {shards})) - x.col1 <= a.mean,
+                named_struct('mean', a.mean, 'loads', {add.format(to="x.shard")}, 'to', a.to || array(x.shard)),
+                named_struct('mean', a.mean, 'loads', a.loads, 'to', a.to || array(-1))))"""
     least = "cast(array_position(a.loads, array_min(a.loads)) - 1 as int)"
     place = f"""
         aggregate(arrays_zip(s, kept.to), named_struct('loads', kept.loads, 'to', cast(array() as array<int>)),
