@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+
+from rillspark.llm.tables import mapped
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 512
@@ -193,20 +195,14 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned; such
     rows count as ambiguous. Equal texts get equal predictions; other columns are not looked at.
     """
-    names = ("lang_pred", "score", "ambiguous")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [model.predict(t.as_py()) for t in batch["text"]]
-            lang, score, unsure = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
-                names=[*batch.schema.names, *names],
-            )
-
-    out = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.mapInArrow(predict, out)
+
+    def predict(rows: pa.StructArray, _) -> list[pa.Array]:
+        made = [model.predict(t.as_py()) for t in rows.field("text")]
+        lang, score, unsure = zip(*made, strict=True) if made else ((), (), ())
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
+
+    added = StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return mapped(docs, predict, added)
 
 
 def held_out(doc_id: str = "doc_id"):

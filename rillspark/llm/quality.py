@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rillspark.llm.tables import digest_number
+from rillspark.llm.tables import digest_number, mapped
 
 MOST_LABELLED = 20_000
 PAIRS = 200_000
@@ -166,9 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
         .limit(most_labelled)
         .toArrow()
     )
-    vectors = np.array(found["vector"].to_pylist(), float).reshape(len(found), -1)
-    if not len(found):
-        vectors = np.zeros((0, len(features(""))))
+    vectors = np.array(found["vector"].to_pylist(), float).reshape(len(found), len(features("")))
     return rank(vectors, np.array(found["good"].to_pylist(), bool))
 
 
@@ -177,17 +175,12 @@ def scored(docs: DataFrame, model: Ranker) -> DataFrame:
 
     Equal texts get equal scores; an existing column ``score`` is replaced.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [features(t.as_py()) for t in batch["text"]]
-            score = model.score(np.array(made)) if made else []
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"]
-            )
+    def add(rows: pa.StructArray, _) -> list[pa.Array]:
+        made = [features(t.as_py()) for t in rows.field("text")]
+        return [pa.array(model.score(np.array(made)) if made else [], pa.float64())]
 
-    return docs.mapInArrow(add, StructType(list(docs.schema.fields)).add("score", "double"))
+    return mapped(docs, add, StructType().add("score", "double"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -11,8 +11,6 @@ and around characters that the model lacks; words are then merged many at a time
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from rillspark.llm.merging import PairTable, merged_words
-from rillspark.llm.tables import text_slices
+from rillspark.llm.tables import mapped, text_slices
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -77,6 +75,12 @@ def _hashed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spelled_out(ids: list[int], spelled: list[bytes]) -> str:
+    """The text that the pieces spell, without the space that encoding put before it."""
+    made = b"".join([spelled[i] for i in ids])
+    return made.removeprefix(b" ").decode("utf-8", "surrogatepass")
+
+
 class Encoder:
     def __init__(self, arrays: dict):
         self.table = PairTable(*arrays["pairs"])
@@ -131,10 +135,7 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids_all))
 
     def decode(self, ids: list[int]) -> str:
-        """The text that the pieces spell."""
-        spelled = self.spelled
-        made = b"".join([spelled[i] for i in ids])
-        return made[1:].decode("utf-8", "surrogatepass") if made.startswith(b" ") else made.decode()
+        return spelled_out(ids, self.spelled)
 
 
 def encoded(
@@ -150,47 +151,38 @@ def encoded(
     coins depend on seed, doc_id and place, not on partitions or neighbours; rows that share a
     doc_id share coins. Existing columns of these names are replaced, all others are kept.
     """
-    names = ["pieces", "n_pieces", *(["lossless"] if check else [])]
     arrays = model_arrays(path)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-    kept = docs.columns
-    coin = "_key" + "_" * sum(c.startswith("_key") for c in kept)
-    keyed = docs.withColumn(coin, F.xxhash64(F.lit(seed), F.col("doc_id")))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(arrays)
-        for batch in batches:
-            keys = batch[coin].to_numpy().astype(np.uint64)
-            present = pc.is_valid(batch["text"])
-            texts = pc.fill_null(batch["text"], "")
-            for a, b in text_slices(texts, 1_000_000):
-                part = texts[a:b].to_pylist()
-                pieces = encoder.encode(part, keys[a:b], dropout)
-                made = [pieces, pc.list_value_length(pieces)]
-                if check:
-                    same = [encoder.decode(p) == t for p, t in zip(pieces.to_pylist(), part, strict=True)]
-                    made.append(pa.array(same, pa.bool_()))
-                there = present.slice(a, b - a)
-                made = [pc.if_else(there, m, pa.scalar(None, m.type)) for m in made]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(a, b - a) for c in kept), *made], names=[*kept, *names]
-                )
-
-    out = StructType(list(docs.schema.fields)).add("pieces", ArrayType(IntegerType())).add("n_pieces", IntegerType())
-    return keyed.mapInArrow(encode, out.add("lossless", "boolean") if check else out)
+    kept: list[Encoder] = []
+
+    def encode(rows: pa.StructArray, batch: pa.RecordBatch) -> list[pa.Array]:
+        if not kept:
+            kept.append(Encoder(arrays))
+        keys = batch["coins"].to_numpy().astype(np.uint64)
+        texts = pc.fill_null(rows.field("text"), "")
+        pieces, same = [pa.array([], pa.list_(pa.int32()))], []
+        for a, b in text_slices(texts, 1_000_000):
+            part = texts[a:b].to_pylist()
+            pieces.append(kept[0].encode(part, keys[a:b], dropout))
+            if check:
+                lists = pieces[-1].to_pylist()
+                same += [kept[0].decode(p) == t for p, t in zip(lists, part, strict=True)]
+        all_of_it = pa.concat_arrays(pieces)
+        made = [all_of_it, pc.list_value_length(all_of_it), *([pa.array(same, pa.bool_())] if check else [])]
+        there = pc.is_valid(rows.field("text"))
+        return [pc.if_else(there, m, pa.scalar(None, m.type)) for m in made]
+
+    added = StructType().add("pieces", ArrayType(IntegerType())).add("n_pieces", IntegerType())
+    if check:
+        added = added.add("lossless", "boolean")
+    return mapped(docs, encode, added, coins=F.xxhash64(F.lit(seed), F.col("doc_id")))
 
 
 def decoded(pieces: DataFrame, path: str | None = None) -> DataFrame:
     """Add ``decoded``, the text that the column ``pieces`` spells; null for null."""
-    arrays = model_arrays(path)
-    pieces = pieces.select(*[c for c in pieces.columns if c != "decoded"])
+    spelled = model_arrays(path)["spelled"]
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(arrays)
-        for batch in batches:
-            made = [None if p is None else encoder.decode(p) for p in batch["pieces"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "decoded"]
-            )
+    def decode(rows: pa.StructArray, _) -> list[pa.Array]:
+        made = [None if p is None else spelled_out(p, spelled) for p in rows.field("pieces").to_pylist()]
+        return [pa.array(made, pa.string())]
 
-    return pieces.mapInArrow(decode, StructType(list(pieces.schema.fields)).add("decoded", "string"))
+    return mapped(pieces, decode, StructType().add("decoded", "string"))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(docs: DataFrame, *needed: str) -> DataFrame:
+def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:
     """The whole row as ``_doc`` beside the columns that are worked on, so that no name clashes."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *needed)
 
@@ -48,6 +49,30 @@ def told_apart(df: DataFrame, columns: Sequence[str], copy: str) -> DataFrame:
     return one_row_per_copy(counted, "_copies", copy)
 
 
+def mapped(
+    docs: DataFrame,
+    work: Callable[[pa.StructArray, pa.RecordBatch], list[pa.Array]],
+    added: StructType,
+    **extras: Column,
+) -> DataFrame:
+    """The rows with columns that ``work`` makes of an Arrow batch of them, whatever their names.
+
+    ``work`` gets the rows as one struct array, and the batch with the ``extras`` that it asks for;
+    it returns an array per field of ``added``. Existing columns of those names are replaced.
+    """
+    names = added.names
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    rows = packed(kept, *[c.alias(n) for n, c in extras.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = work(batch["_doc"], batch)
+            yield pa.RecordBatch.from_arrays([batch["_doc"], *made], names=["_doc", *names])
+
+    schema = StructType([rows.schema["_doc"], *added.fields])
+    return rows.mapInArrow(run, schema).select("_doc.*", *names)
+
+
 def text_slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about so many bytes of text; a longer text makes a range of its own."""
     start = size = 0

@@ -20,18 +20,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillspark.llm.merging import PairTable, merged_words
-from rillspark.llm.tables import text_slices
+from rillspark.llm.tables import mapped, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
 MOST_ARCS = 400_000
@@ -240,16 +238,13 @@ def counted(docs: DataFrame, path: str | None = None, most_arcs: int = MOST_ARCS
     merges (one bounded table) go along with the tasks; existing columns of that name are replaced.
     """
     arrays, special = vocabulary(path)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_tokens"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(arrays, most_arcs)
-        for batch in batches:
-            texts = pc.fill_null(batch["text"], "")
-            made = [counts_of(texts[a:b], merges, special) for a, b in text_slices(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(made) if made else [], pa.int64())],
-                names=[*batch.schema.names, "n_tokens"],
-            )
-
-    return docs.mapInArrow(count, StructType(list(docs.schema.fields)).add("n_tokens", "long"))
+    kept: list[Merges] = []
+
+    def count(rows: pa.StructArray, _) -> list[pa.Array]:
+        if not kept:
+            kept.append(Merges(arrays, most_arcs))
+        texts = pc.fill_null(rows.field("text"), "")
+        made = [counts_of(texts[a:b], kept[0], special) for a, b in text_slices(texts)]
+        return [pa.array(np.concatenate(made) if made else [], pa.int64())]
+
+    return mapped(docs, count, StructType().add("n_tokens", "long"))
