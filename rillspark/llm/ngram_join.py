@@ -42,7 +42,10 @@ def bands_for(at_least: float = AT_LEAST, recall: float = RECALL, most: int = MO
     """(bands, rows): most rows, so fewest chance candidates, that reach ``recall`` at ``at_least``."""
     best = None
     for rows in range(1, most + 1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - at_least**rows)))
+        agree = at_least**rows
+        if agree < 1 / most**2:  # far too rare for so few hashes
+            break
+        bands = int(np.ceil(np.log(1 - recall) / np.log1p(-agree))) if agree < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:
