@@ -1,9 +1,10 @@
 """Exact quantiles that hold no large group in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task. That is fine
-up to a bound; beyond it the quantile is found by narrowing: count the values per slice of the
-range, go on with the slice that holds the wanted rank, and so on. Each round is one aggregation
-with map-side combining, and its outcome is bounded by the number of slices.
+up to a bound; beyond it the quantile is found by narrowing: approximate quantiles of the values
+still in question cut them by order, the values between the cuts are counted, and the search goes
+on between the two cuts that hold the wanted rank. A cut is a value of the table and is itself
+counted, so every round gets smaller whatever the values are, infinities included. NaN is missing.
 """
 
 from __future__ import annotations
@@ -13,94 +14,115 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillspark.session import durable
 
 IN_MEMORY_ROWS = 250_000
-SLICES = 1024
+CUTS = [i / 32 for i in range(1, 32)]
+ACCURACY = 10_000
 
 
-def _slice(x: Column, low: Column, high: Column) -> Column:
-    """Slice number of x in [low, high]; monotone in x. Halved first, so it cannot overflow."""
-    part = F.try_divide(x / 2.0 - low / 2.0, high / 2.0 - low / 2.0)
-    return F.least(F.floor(F.coalesce(part, F.lit(0.0)) * SLICES), F.lit(SLICES - 1)).cast("int")
+def _clean(df: DataFrame, c: str) -> Column:
+    """A numeric column in its own kind: whole numbers as they are, others as double without NaN."""
+    x = F.col(f"`{c}`")
+    if isinstance(df.schema[c].dataType, T.IntegralType):
+        return x.cast("long")
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _part(x: Column, cuts: Column) -> Column:
+    """2 i between cuts i-1 and i, 2 i + 1 on cut i."""
+    below = F.size(F.filter(cuts, lambda c: c < x))
+    return 2 * below + F.array_contains(cuts, x).cast("int")
+
+
+def _inside(x: Column, low, high) -> Column:
+    """Strictly between two bounds; a bound that is None is no bound."""
+    inside = x.isNotNull()
+    if low is not None:
+        inside = inside & (x > F.lit(low))
+    return inside if high is None else inside & (x < F.lit(high))
 
 
 def order_statistics(
     df: DataFrame, wanted: dict[str, Sequence[int]], in_memory_rows: int = IN_MEMORY_ROWS
 ) -> dict[tuple[str, int], float]:
-    """The k-th smallest non-null values (k from 0) of several numeric columns, exactly.
+    """The k-th smallest non-missing values (k from 0) of several numeric columns, exactly.
 
-    All columns and ranks share each pass over the table.
+    Whole numbers stay whole. All columns of a kind and their ranks share each pass over the
+    table, and every (column, rank) is a group of its own.
     """
-    names = list(wanted)
-    spans = df.agg(
-        *(
-            F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"),
-                     F.count(c).alias("n")).alias(f"_{i}")
-            for i, c in enumerate(names)
-        )
-    ).first()
+    kinds: dict[bool, list[str]] = {}
+    for c in wanted:
+        kinds.setdefault(isinstance(df.schema[c].dataType, T.IntegralType), []).append(c)
+    found = {}
+    for names in kinds.values():
+        values = df.select(*(_clean(df, c).alias(f"_{i}") for i, c in enumerate(names)))
+        found |= _narrowed(values, names, wanted, in_memory_rows)
+    return found
+
+
+def _narrowed(values: DataFrame, names: list[str], wanted, in_memory_rows: int) -> dict:
+    counts = values.agg(*(F.count(c).alias(c) for c in values.columns)).first()
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> low end, high end, rank inside, values inside
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
+    # (column, rank) -> column of ``values``, bounds, rank and number of values between them
+    open_: dict[tuple[str, int], tuple] = {}
     for i, c in enumerate(names):
         for k in set(wanted[c]):
-            if not 0 <= k < spans[i]["n"]:
-                raise ValueError(f"rank {k} of {c}: there are {spans[i]['n']} values")
-            open_[c, k] = (spans[i]["lo"], spans[i]["hi"], k, spans[i]["n"])
+            if not 0 <= k < counts[i]:
+                raise ValueError(f"rank {k} of {c}: there are {counts[i]} values")
+            open_[c, k] = (f"_{i}", None, None, k, counts[i])
+
+    def rows(slots: dict, cuts: dict | None = None) -> DataFrame:
+        """slot and value (and its part) of what is still in question."""
+        entries = []
+        for slot, (key, (x, low, high, _, _)) in enumerate(slots.items()):
+            fields = [F.lit(slot).alias("slot"), F.col(x).alias("x")]
+            if cuts:
+                fields.append(_part(F.col(x), F.array(*map(F.lit, cuts[key]))).alias("part"))
+            entries.append(F.when(_inside(F.col(x), low, high), F.struct(*fields)))
+        return values.select(F.inline(F.array_compact(F.array(*entries))))
+
     while open_:
-        for key, (lo, hi, _, _) in list(open_.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_[key]
-        small = {key: s for key, s in open_.items() if s[3] <= in_memory_rows}
+        small = {key: s for key, s in open_.items() if s[4] <= in_memory_rows}
         if small:
-            picked = df.agg(
-                *(
-                    F.element_at(
-                        F.sort_array(
-                            F.collect_list(
-                                F.when(F.col(c).between(lo, hi), F.col(c).cast("double"))
-                            )
-                        ),
-                        F.lit(k + 1),
-                    ).alias(f"_{i}")
-                    for i, ((c, _), (lo, hi, k, _)) in enumerate(small.items())
-                )
-            ).first()
-            for i, key in enumerate(small):
-                found[key] = picked[i]
+            ranks = F.array(*(F.lit(s[3] + 1) for s in small.values()))
+            at = F.element_at(ranks, F.col("slot") + 1)
+            picked = (
+                rows(small).groupBy("slot").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+                .select("slot", F.element_at("xs", at.cast("int")).alias("x")).collect()
+            )
+            for row in picked:
+                key = list(small)[row["slot"]]
+                found[key] = row["x"]
                 del open_[key]
         if not open_:
             break
-        slots = list(open_.items())
-        values = F.array(
-            *(
-                F.when(
-                    F.col(c).between(lo, hi),
-                    F.struct(
-                        F.lit(i).alias("slot"),
-                        F.col(c).cast("double").alias("x"),
-                        _slice(F.col(c).cast("double"), F.lit(lo), F.lit(hi)).alias("part"),
-                    ),
-                )
-                for i, ((c, _), (lo, hi, _, _)) in enumerate(slots)
-            )
+        keys = list(open_)
+        cut_rows = rows(open_).groupBy("slot").agg(
+            F.percentile_approx("x", CUTS, ACCURACY).alias("cuts")
         )
-        parts = (
-            df.select(F.explode(F.array_compact(values)).alias("v"))
-            .groupBy("v.slot", "v.part")
-            .agg(F.min("v.x").alias("lo"), F.max("v.x").alias("hi"), F.count("*").alias("n"))
-            .orderBy("slot", "part")
-            .collect()
-        )  # at most SLICES rows per wanted rank
-        for i, (key, (_, _, k, _)) in enumerate(slots):
-            for part in (p for p in parts if p["slot"] == i):
-                if k < part["n"]:
-                    open_[key] = (part["lo"], part["hi"], k, part["n"])
+        cuts = {keys[r["slot"]]: sorted(set(r["cuts"])) for r in cut_rows.collect()}
+        parts: dict[int, list] = {}
+        # At most twice the number of cuts per wanted rank.
+        for r in rows(open_, cuts).groupBy("slot", "part").count().orderBy("slot", "part").collect():
+            parts.setdefault(r["slot"], []).append((r["part"], r["count"]))
+        for slot, key in enumerate(keys):
+            x, low, high, k, _ = open_[key]
+            for part, n in parts[slot]:
+                if k < n:
                     break
-                k -= part["n"]
+                k -= n
+            at = part // 2
+            if part % 2:
+                found[key] = cuts[key][at]
+                del open_[key]
+            else:
+                low = cuts[key][at - 1] if at else low
+                high = cuts[key][at] if at < len(cuts[key]) else high
+                open_[key] = (x, low, high, k, n)
     return found
 
 
@@ -111,12 +133,18 @@ def column_quantiles(
     in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns with linear interpolation; missing values are skipped."""
-    counts = df.agg(*(F.count(c).alias(c) for c in cols)).first()
-    if max(counts, default=0) <= in_memory_rows:
+    if not cols:
+        return {}
+    counted = df.agg(*(F.count(_clean(df, c)) for c in cols)).first()
+    if max(counted) <= in_memory_rows:
         row = df.agg(
-            *(F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in cols)
+            *(F.percentile(_clean(df, c), F.array(*map(F.lit, probs))) for c in cols)
         ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
+        return {
+            c: list(x) if x is not None else [None] * len(probs)
+            for c, x in zip(cols, row, strict=True)
+        }
+    counts = dict(zip(cols, counted, strict=True))
     places = {
         c: [p * (counts[c] - 1) for p in probs] for c in cols if counts[c]
     }
@@ -128,8 +156,8 @@ def column_quantiles(
 
     def between(c: str, at: float) -> float:
         low, high = math.floor(at), math.ceil(at)
-        if low == high:
-            return values[c, low]
+        if low == high or values[c, low] == values[c, high]:
+            return float(values[c, low])
         return (high - at) * values[c, low] + (at - low) * values[c, high]
 
     return {
@@ -149,6 +177,7 @@ def grouped_median(
     One aggregation while every group is within the bound. Larger groups are narrowed down.
     """
     keys, cols = list(keys), list(cols)
+    df = df.select(*keys, *(_clean(df, c).alias(c) for c in cols if c not in keys))
     sizes = df.groupBy(*keys).count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= in_memory_rows:
@@ -180,42 +209,58 @@ def _narrowed_medians(
         .filter(F.col("_x").isNotNull())
     )
     slot = [*keys, "_col"]
-    start = long.groupBy(*slot).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    )
+    counted = long.groupBy(*slot).agg(F.count("*").alias("_n"))
     # The two middle ranks; the same one twice for an odd number of values.
+    middle = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    nothing = F.lit(None).cast("double")
     state = durable(
-        start.select(
-            *slot,
-            F.posexplode(
-                F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
-            ).alias("_which", "_k"),
-            "_n", "_lo", "_hi",
-        )
+        counted.select(*slot, F.posexplode(middle).alias("_which", "_k"), "_n")
+        .withColumns({"_lo": nothing, "_hi": nothing, "_found": nothing})
     )
-    while (state.filter("_lo < _hi").agg(F.max("_n")).first()[0] or 0) > in_memory_rows:
-        inside = long.join(state, slot).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-        parts = inside.groupBy(
-            *slot, "_which", "_k", _slice(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_part")
-        ).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        running = F.sum("_n").over(
-            Window.partitionBy(*slot, "_which").orderBy("_part")
-        )  # at most SLICES rows per wanted rank
-        state = durable(
-            parts.withColumn("_to", running)
-            .filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_n")))
-            .withColumn("_k", F.col("_k") - (F.col("_to") - F.col("_n")))
-            .select(*slot, "_which", "_k", "_n", "_lo", "_hi")
+    one = [*slot, "_which"]
+
+    def inside(of: DataFrame) -> DataFrame:
+        after = F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))
+        before = F.col("_hi").isNull() | (F.col("_x") < F.col("_hi"))
+        return long.join(of, slot).filter(after & before)
+
+    while (state.filter("_found is null").agg(F.max("_n")).first()[0] or 0) > in_memory_rows:
+        large = state.filter((F.col("_found").isNull()) & (F.col("_n") > in_memory_rows))
+        cuts = inside(large).groupBy(*one).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_x", CUTS, ACCURACY))).alias("_cuts")
+        )
+        large = durable(large.join(cuts, one))
+        parts = (
+            inside(large)
+            .groupBy(*one, _part(F.col("_x"), F.col("_cuts")).alias("_part"))
+            .agg(F.count("*").alias("_in"))
+        )
+        # At most twice the number of cuts per wanted rank.
+        upto = F.sum("_in").over(Window.partitionBy(*one).orderBy("_part"))
+        at = F.floor(F.col("_part") / 2).cast("int")
+        narrowed = (
+            parts.withColumn("_to", upto)
+            .join(large, one)
+            .filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_in")))
+            .select(
+                *one,
+                (F.col("_k") - (F.col("_to") - F.col("_in"))).alias("_k"),
+                F.col("_in").alias("_n"),
+                F.when(at > 0, F.try_element_at("_cuts", F.greatest(at, F.lit(1)))).otherwise(F.col("_lo")).alias("_lo"),
+                F.coalesce(F.try_element_at("_cuts", at + 1), F.col("_hi")).alias("_hi"),
+                F.when(F.col("_part") % 2 == 1, F.try_element_at("_cuts", at + 1)).alias("_found"),
+            )
         )
-    rest = (
-        long.join(state.filter("_lo < _hi"), slot)
-        .filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*slot, "_which", "_k")
+        rest = state.filter((F.col("_found").isNotNull()) | (F.col("_n") <= in_memory_rows))
+        state = durable(rest.unionByName(narrowed))
+    picked = (
+        inside(state.filter("_found is null"))
+        .groupBy(*one, "_k")
         .agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
         .select(*slot, F.element_at("_xs", (F.col("_k") + 1).cast("int")).alias("_x"))
     )
-    middles = rest.unionByName(
-        state.filter("_lo = _hi").select(*slot, F.col("_lo").alias("_x"))
+    middles = picked.unionByName(
+        state.filter("_found is not null").select(*slot, F.col("_found").alias("_x"))
     )
     return (
         middles.groupBy(*keys)

@@ -125,3 +125,20 @@ def test_correlation_skips_absent_columns(spark):
     )
     got = {(r["a"], r["b"]): r["r"] for r in stats.correlations(df, ["a", "b", "c"]).collect()}
     assert len(got) == 4 and got["a", "b"] == got["b", "a"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("in_memory_rows", [5, 10**6])
+def test_infinities_nan_and_large_whole_numbers(spark, in_memory_rows):
+    inf, nan = float("inf"), float("nan")
+    xs = [float(i) for i in range(45)] + [inf, inf, -inf, nan, nan, None]
+    rows = [(i, x, 2**53 + i) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "i int, x double, big long")
+    kept = sorted(x for x in xs if x is not None and x == x)
+    wanted = {"x": [0, 1, 20, 46, 47], "big": [1, 25, 50]}
+    got = quantiles.order_statistics(df, wanted, in_memory_rows)
+    assert got == {("x", k): kept[k] for k in wanted["x"]} | {
+        ("big", k): 2**53 + k for k in wanted["big"]
+    }
+    assert quantiles.column_quantiles(df, ["x"], [0.5, 1.0], in_memory_rows)["x"] == [22.5, inf]
+    grouped = df.withColumn("g", F.lit("one"))
+    assert quantiles.grouped_median(grouped, ["g"], ["x"], in_memory_rows).first()["x"] == 22.5
