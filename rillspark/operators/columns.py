@@ -45,8 +45,8 @@ def pick_features(df: DataFrame, wanted: Sequence[str]) -> tuple[list[str], list
 
 def null_columns(df: DataFrame) -> list[str]:
     """Columns without any value, found in one pass."""
-    counts = df.agg(*(F.count(c).alias(c) for c in df.columns)).first().asDict()
-    return [c for c in df.columns if counts[c] == 0]
+    counts = df.agg(*(F.count(F.col(f"`{c}`")) for c in df.columns)).first()
+    return [c for c, n in zip(df.columns, counts, strict=True) if n == 0]
 
 
 def drop_null_columns(df: DataFrame) -> DataFrame:

@@ -72,7 +72,14 @@ def unprocessed_months(
     """Distinct (place, month) pairs with coordinates at 6 decimals that are not processed yet."""
     keys = [rounded(F.col(lat)).alias(lat), rounded(F.col(lon)).alias(lon), "month"]
     wanted = samples.withColumn("month", month_start(F.col(date))).select(*keys).distinct()
-    return wanted.join(processed.select(*keys), [lat, lon, "month"], "left_anti")
+    return null_safe_anti(wanted, processed.select(*keys), [lat, lon, "month"])
+
+
+def null_safe_anti(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not in ``done``; a missing part of a key equals a missing part."""
+    other = done.select(*(F.col(f"`{k}`").alias(f"_done_{i}") for i, k in enumerate(keys)))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_done_{i}")) for i, k in enumerate(keys)]
+    return df.join(other, same, "left_anti")
 
 
 def lookup_unique(

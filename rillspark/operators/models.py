@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -33,16 +34,19 @@ BOOSTED_NAMES = {
     "subsample": "subsamplingRate",
     "colsample_bytree": "featureSubsetStrategy",
     "min_child_weight": "minInstancesPerNode",
-    "gamma": "minInfoGain",
+    "random_state": "seed",
 }
 FOREST_NAMES = {
     "n_estimators": "numTrees",
     "max_depth": "maxDepth",
     "max_features": "featureSubsetStrategy",
-    "min_samples_split": "minInstancesPerNode",
+    "random_state": "seed",
 }
-# Penalties on leaf weights have no counterpart in Spark's trees.
-WITHOUT_COUNTERPART = ("reg_lambda", "reg_alpha", "random_state")
+# Ignored, as Spark's trees have no counterpart: penalties on leaf weights, a bound on the summed
+# gain of a split (Spark bounds the gain per row), and a least size of a node that is split
+# (Spark bounds the size of its children).
+WITHOUT_COUNTERPART = ("reg_lambda", "reg_alpha", "gamma", "min_samples_split")
+# Spark's own ceiling; a tree without a limit grows to it, with a warning.
 DEEPEST_TREE = 30
 
 
@@ -55,33 +59,49 @@ def _translated(params: Mapping, names: Mapping[str, str]) -> dict:
             raise ValueError(f"unknown parameter: {name}")
         target = names[name]
         if target == "maxDepth":
-            value = DEEPEST_TREE if value is None else value
+            if value is None:
+                warnings.warn(f"trees grow to depth {DEEPEST_TREE} at most", stacklevel=3)
+                value = DEEPEST_TREE
         elif target == "featureSubsetStrategy":
             value = "all" if value in (None, 1.0) else str(value)
-        elif name == "min_samples_split":
-            # A node of m rows splits into two of at least m / 2.
-            value = max(1, value // 2)
         out[target] = value
     return out
 
 
 def boosted_trees(seed: int = 42, **params):
     return GBTRegressor(
-        labelCol="y", featuresCol="features", seed=seed, checkpointInterval=10,
-        **_translated(params, BOOSTED_NAMES),
+        labelCol="y", featuresCol="features", checkpointInterval=10,
+        **{"seed": seed, **_translated(params, BOOSTED_NAMES)},
     )
 
 
 def random_forest(seed: int = 42, **params):
     return RandomForestRegressor(
-        labelCol="y", featuresCol="features", seed=seed, **_translated(params, FOREST_NAMES)
+        labelCol="y", featuresCol="features",
+        **{"seed": seed, **_translated(params, FOREST_NAMES)},
     )
 
 
-def ridge(alpha: float = 1.0):
-    return LinearRegression(
-        labelCol="y", featuresCol="features", elasticNetParam=0.0, regParam=alpha
-    )
+@dataclass(frozen=True)
+class Ridge:
+    """Least squares plus alpha times the squared coefficients, intercept aside.
+
+    Spark minimises the mean squared error of a label in units of its spread, so its penalty is
+    alpha times that spread over the number of rows; one pass finds both.
+    """
+
+    alpha: float = 1.0
+
+    def fit(self, df: DataFrame):
+        n, spread = df.agg(F.count("y"), F.stddev_pop("y")).first()
+        return LinearRegression(
+            labelCol="y", featuresCol="features", elasticNetParam=0.0, standardization=False,
+            regParam=self.alpha * (spread or 0.0) / n if n else 0.0,
+        ).fit(df)
+
+
+def ridge(alpha: float = 1.0) -> Ridge:
+    return Ridge(alpha)
 
 
 MODELS = {"boosted_trees": boosted_trees, "random_forest": random_forest, "ridge": ridge}
@@ -145,9 +165,12 @@ class Matrix:
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(
-        inputCols=list(features), outputCol="features", handleInvalid="error"
-    ).transform(df)
+    """Add the feature vector. Names may hold dots, which the assembler takes for paths."""
+    plain = {f"_feature_{i}": F.col(f"`{c}`") for i, c in enumerate(features)}
+    assembler = VectorAssembler(
+        inputCols=list(plain), outputCol="features", handleInvalid="error"
+    )
+    return assembler.transform(df.withColumns(plain)).drop(*plain)
 
 
 def prepare(
@@ -163,7 +186,7 @@ def prepare(
     ``df`` has a ``split`` column. Features without any value on the fitting side are left out.
     """
     names = dict.fromkeys([*keep, *features, target, "split"])
-    labelled = durable(require(df, [target]).select(*names))
+    labelled = durable(require(df, [target]).select(*(F.col(f"`{c}`") for c in names)))
     prep = fit_on(labelled, features, fit_rows)
     used = [f for f in features if prep.medians[f] is not None]
     prep = Preprocessor(*({f: d[f] for f in used} for d in (prep.medians, prep.means, prep.stds)))

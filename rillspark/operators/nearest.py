@@ -329,9 +329,18 @@ def nearest_point_and_time(
     point_cols: tuple[str, str] = ("plat", "plon"),
     chunk: str | None = None,
 ) -> DataFrame:
-    """Value of the nearest point at its nearest time; of two equal times the earlier."""
+    """Value of the nearest point at its nearest time; of two equal times the earlier.
+
+    Of several climate rows of one point and time the one with the smallest values, compared in
+    the order of ``variables``, counts. Rows without a time are no match.
+    """
     placed = nearest_point(samples, climate, place_cols, point_cols)
-    series = climate.select(*point_cols, climate_date, *variables)
+    series = (
+        climate.filter(F.col(climate_date).isNotNull())
+        .groupBy(*point_cols, climate_date)
+        .agg(F.min(F.struct(*variables)).alias("_one"))
+        .select(*point_cols, climate_date, *(F.col(f"_one.{v}").alias(v) for v in variables))
+    )
     return nearest_in_time(
         placed, series, point_cols, date, climate_date, right_id=climate_date, chunk=chunk
     )

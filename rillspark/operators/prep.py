@@ -14,13 +14,16 @@ from rillspark.operators.columns import categorical_columns
 from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import column_quantiles
 
-MAX_ONE_HOT = 1000
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def categories(df: DataFrame, column: str, limit: int = MAX_ONE_HOT) -> list[str]:
-    """Sorted distinct values. More than ``limit`` is an error: they become columns."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+
+def categories(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+    """Sorted distinct values; more than a caller's ``limit`` is an error. They become columns."""
+    values = df.select(_quoted(column)).filter(_quoted(column).isNotNull()).distinct()
+    rows = (values if limit is None else values.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} categories")
     return sorted(row[0] for row in rows)
 
@@ -30,25 +33,24 @@ def one_hot(
 ) -> DataFrame:
     """0/1 column per category but the first; a missing value is all zeros."""
     columns = categorical_columns(df) if columns is None else list(columns)
+    flags = {}
     for column in columns:
         known = values[column] if values else categories(df, column)
-        flags = {
-            f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0))
-            for v in known[1:]
-        }
-        df = (df.withColumns(flags) if flags else df).drop(column)
-    return df
+        for v in known[1:]:
+            flags[f"{column}_{v}"] = F.coalesce((_quoted(column) == v).cast("int"), F.lit(0))
+    kept = [_quoted(c) for c in df.columns if c not in columns and c not in flags]
+    return df.select(*kept, *(flag.alias(name) for name, flag in flags.items()))
 
 
 def factorize(df: DataFrame, column: str, order: str, name: str | None = None) -> DataFrame:
-    """Codes in order of first appearance by ``order``; a missing value is -1."""
+    """Codes in order of first appearance by ``order``, then of the value; a missing one is -1."""
     name = name or f"{column}_code"
     seen = (
         df.filter(F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.min(order).alias("_first"))
     )
-    codes = numbered(seen, ["_first"], name).drop("_first")
+    codes = numbered(seen, ["_first", column], name).drop("_first")
     return df.join(codes, column, "left").select(
         *df.columns, F.coalesce(name, F.lit(-1)).cast("long").alias(name)
     )
@@ -81,6 +83,11 @@ def encode_all(df: DataFrame, targets: Sequence[str] = ()) -> DataFrame:
     return df
 
 
+def _replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns by name in their places, whatever the names contain."""
+    return df.select(*(columns.get(c, _quoted(c)).alias(c) for c in df.columns))
+
+
 @dataclass(frozen=True)
 class Preprocessor:
     """Fitted statistics: one median, mean and population std per feature."""
@@ -91,18 +98,18 @@ class Preprocessor:
 
     def _filled(self, name: str) -> Column:
         median = self.medians[name]
-        return F.col(name) if median is None else F.coalesce(name, F.lit(float(median)))
+        return _quoted(name) if median is None else F.coalesce(_quoted(name), F.lit(float(median)))
 
     def impute(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self._filled(c) for c in self.medians})
+        return _replaced(df, {c: self._filled(c) for c in self.medians})
 
     def scale(self, df: DataFrame) -> DataFrame:
         """Standardise imputed features; a constant feature is only centred."""
         made = {}
         for c, mean in self.means.items():
             if mean is not None:
-                made[c] = (F.col(c) - F.lit(mean)) / F.lit(self.stds[c] or 1.0)
-        return df.withColumns(made)
+                made[c] = (_quoted(c) - F.lit(mean)) / F.lit(self.stds[c] or 1.0)
+        return _replaced(df, made)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.scale(self.impute(df))
@@ -120,8 +127,8 @@ def fit_preprocessor(df: DataFrame, features: Sequence[str]) -> Preprocessor:
 def fit_scaler(imputed: DataFrame, medians: dict[str, float | None]) -> Preprocessor:
     """Mean and std of features that are imputed already; one pass."""
     stats = imputed.agg(
-        *(F.avg(c).alias(f"m_{c}") for c in medians),
-        *(F.stddev_pop(c).alias(f"s_{c}") for c in medians),
+        *(F.avg(_quoted(c)).alias(f"m_{c}") for c in medians),
+        *(F.stddev_pop(_quoted(c)).alias(f"s_{c}") for c in medians),
     ).first()
     return Preprocessor(
         medians,

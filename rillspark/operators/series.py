@@ -133,7 +133,11 @@ def fill_forward_back(
     local = cut.withColumns(
         {f"_fwd_{v}": F.last(v, True).over(asc) for v in values}
     ).withColumns({f"_back_{v}": F.last(v, True).over(desc) for v in values})
-    filled = local.join(carried, [*series, "_chunk"], "left")
+    # A missing series or time is a key like any other.
+    keys = [*series, "_chunk"]
+    renamed = carried.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    filled = local.join(renamed, same, "left")
     return filled.select(
         *(
             F.coalesce(f"_fwd_{c}", f"_prev_{c}", f"_back_{c}", f"_next_{c}").alias(c)

@@ -74,16 +74,22 @@ def class_counts(pixels: DataFrame, keys: Sequence[str], code: str = "class") ->
 
 
 def _gradient(value: str, window, step: str):
-    """Central difference, one-sided at the edges; NULL for a single pixel."""
-    here, before, after = (
-        F.col(value), F.lag(value).over(window), F.lead(value).over(window)
-    )
-    has_before = F.lag(step).over(window).isNotNull()
-    has_after = F.lead(step).over(window).isNotNull()
+    """Central difference, one-sided at the edges of the line; NULL for a single pixel.
+
+    Where a pixel inside the line is absent its neighbours have no gradient, as if it were there
+    without a value.
+    """
+    here, at = F.col(value), F.col(step)
+    beside = {
+        side: F.when(of(step).over(window) == at + way, of(value).over(window))
+        for side, of, way in (("before", F.lag, -1), ("after", F.lead, 1))
+    }
+    first, last = F.lag(step).over(window).isNull(), F.lead(step).over(window).isNull()
     return (
-        F.when(has_before & has_after, (after - before) / 2.0)
-        .when(has_after, after - here)
-        .when(has_before, here - before)
+        F.when(first & last, None)
+        .when(first, beside["after"] - here)
+        .when(last, here - beside["before"])
+        .otherwise((beside["after"] - beside["before"]) / 2.0)
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rillspark.operators.joins import null_safe_anti
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Headered CSV under a declared schema, matched by the order of its columns."""
@@ -87,15 +89,15 @@ def cube_to_records(
 
 
 def remaining(source: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``source`` whose key has not been processed yet."""
-    return source.join(done.select(*keys), list(keys), "left_anti")
+    """Rows of ``source`` whose key has not been processed yet; missing keys are keys as well."""
+    return null_safe_anti(source, done, keys)
 
 
 def resume_append(source: DataFrame, done_path: str, keys: Sequence[str], extract) -> None:
     """Run ``extract`` over the unprocessed rows and append the outcome to the table of results.
 
-    A run cut short leaves no half-written result: the append commits as a whole, and the next
-    run picks up whatever is still missing.
+    The file committer moves finished tasks into place one by one, so a run cut short may leave
+    some of its rows behind; they count as done, and the next run picks up whatever is missing.
     """
     spark = source.sparkSession
     done = spark.read.parquet(done_path)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rillspark.operators import models, split
+from rillspark.operators import models, prep, split
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,11 @@ def test_parameters_are_translated():
     )
     assert (gbt.getMaxIter(), gbt.getStepSize(), gbt.getMaxDepth()) == (7, 0.03, 6)
     assert (gbt.getSubsamplingRate(), gbt.getFeatureSubsetStrategy()) == (0.8, "0.8")
-    assert (gbt.getMinInstancesPerNode(), gbt.getMinInfoGain()) == (5, 0.5)
+    # gamma bounds a summed gain and has no counterpart: Spark's bound is per row.
+    assert (gbt.getMinInstancesPerNode(), gbt.getMinInfoGain()) == (5, 0.0)
+    assert models.boosted_trees(random_state=7).getSeed() == 7
+    forest = models.random_forest(min_samples_split=5)
+    assert forest.getMinInstancesPerNode() == 1
     assert models.random_forest(max_depth=None).getMaxDepth() == models.DEEPEST_TREE
     with pytest.raises(ValueError):
         models.boosted_trees(leaves=3)
@@ -84,3 +88,28 @@ def test_submission_contract(planted):
     assert sorted(r["row_id"] for r in rows) == list(range(50))
     assert min(r["y0"] for r in rows) >= 0 and {r["y1"] for r in rows} == {0.0}
     assert max(r["y0"] for r in rows) > 0
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0, 50.0])
+def test_ridge_is_the_closed_form(spark, alpha):
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(200, 2)) * [1.0, 3.0]
+    y = 46 * x[:, 0] - 5 * x[:, 1] + draw.normal(size=200) * 20 + 7
+    rows = [(float(a), float(b), float(t)) for (a, b), t in zip(x, y, strict=True)]
+    df = models.assemble(spark.createDataFrame(rows, "`a.b` double, c double, y double"), ["a.b", "c"])
+    z = x - x.mean(0)
+    want = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
+    fitted = models.ridge(alpha).fit(df)
+    assert fitted.coefficients.toArray() == pytest.approx(want, rel=1e-9)
+
+
+def test_many_categories_with_dots_go_all_the_way(spark):
+    rows = [(i, f"v.{i % 300}", float(i % 7), float(i), "train") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, k string, x double, y double, split string")
+    encoded = prep.one_hot(df, ["k"])
+    flags = [c for c in encoded.columns if c.startswith("k_")]
+    assert len(flags) == 299 and "k_v.1" in flags
+    matrix = models.prepare(encoded, ["x", *flags[:20]], "y")
+    assert models.ridge().fit(matrix.side("train")).numFeatures == 21
