@@ -61,6 +61,8 @@ def nearest_in_time(
             F.min("_id").alias("_id"),
         )
     )
+    # Counted for the chunks and then searched: worked out once.
+    both = durable(both)
     unit = chunk or chunk_unit(both, keys, F.col("_us"))
     cut = both.withColumn("_chunk", chunk_of(F.col("_us"), unit)).filter("_chunk is not null")
     seen_us = F.when(F.col("_seen"), F.col("_us"))

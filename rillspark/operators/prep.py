@@ -70,17 +70,31 @@ def encode_all(df: DataFrame, targets: Sequence[str] = ()) -> DataFrame:
 
     Dates become year, month and day; text becomes label codes; what cannot be encoded goes.
     """
+    texts, gone = [], []
     for field in df.schema.fields:
         name, kind = field.name, field.dataType
         if name in targets or isinstance(kind, T.NumericType | T.BooleanType):
             continue
+        if isinstance(kind, T.StringType):
+            texts.append(name)
+            continue
+        gone.append(name)
         if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
-            df = with_date_parts(df, name).drop(name)
-        elif isinstance(kind, T.StringType):
-            df = label_encode(df, name, "_code").drop(name).withColumnRenamed("_code", name)
-        else:
-            df = df.drop(name)
-    return df
+            df = with_date_parts(df, name)
+    # Codes come from the input itself, so no column's codes wait for the join of another's.
+    codes = {
+        name: numbered(
+            df.select(F.coalesce(_quoted(name), F.lit("nan")).alias(f"_text_{i}")).distinct(),
+            [f"_text_{i}"],
+            f"_code_{i}",
+        )
+        for i, name in enumerate(texts)
+    }
+    order = [c for c in df.columns if c not in gone and c not in texts] + texts
+    for i, name in enumerate(texts):
+        df = df.join(codes[name], F.coalesce(_quoted(name), F.lit("nan")) == F.col(f"_text_{i}"))
+    coded = {name: F.col(f"_code_{i}") for i, name in enumerate(texts)}
+    return df.select(*(coded.get(c, _quoted(c)).alias(c) for c in order))
 
 
 def _replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.functions.places import Box, boxes_overlap
+from rillspark.session import durable
 
+PAIRS_PER_TASK = 50_000_000
 
 def _cell(edge: Column, size: float) -> Column:
     return F.floor(edge / F.lit(size))
@@ -38,26 +40,40 @@ def overlap_join(
     right: DataFrame,
     right_box: Box,
     cell_size: float,
-    salts: int = 1,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """All pairs of rows whose boxes overlap, edges included.
 
     Both sides are spread over the grid cells they touch and joined on the cell. A pair that
     shares several cells is kept in one of them only, the one with the south-west corner of the
     shared area, so nothing has to be made distinct afterwards. Give ``cell_size`` about the
-    size of the larger boxes. With ``salts`` the right rows of every cell are dealt over that many
-    tasks and the left rows are copied to each, for cells that hold a large share of the rows.
+    size of the larger boxes. Rows of both sides are counted per cell first: where their product
+    is above ``pairs_per_task`` the right rows of the cell are dealt over as many tasks as it
+    takes, and the left rows are copied to each.
     """
     shared = set(left.columns) & set(right.columns)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
     a = _covered(left, left_box, cell_size, "_l_")
     b = _covered(right, right_box, cell_size, "_r_")
-    keys = ["_cy", "_cx"]
-    if salts > 1:
-        a = a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        b = b.withColumn("_salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int"))
-        keys.append("_salt")
+    cell = ["_cy", "_cx"]
+    counted = a.groupBy(*cell).agg(F.count("*").alias("_l")).join(
+        b.groupBy(*cell).agg(F.count("*").alias("_r")), cell
+    )
+    salts = F.least(F.ceil(F.col("_l").cast("double") * F.col("_r") / pairs_per_task), F.col("_r"))
+    crowded = durable(
+        counted.filter(F.col("_l").cast("double") * F.col("_r") > pairs_per_task).select(
+            *cell, salts.cast("int").alias("_salts")
+        )
+    )
+    keys = [*cell, "_salt"]
+    times = F.coalesce("_salts", F.lit(1))
+    a = a.join(crowded, cell, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), times - 1))
+    )
+    b = b.join(crowded, cell, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*right.columns), times).cast("int")
+    )
     l_box = Box(*(F.col(f"_l_{s}") for s in ("south", "north", "west", "east")))
     r_box = Box(*(F.col(f"_r_{s}") for s in ("south", "north", "west", "east")))
     first_shared = (

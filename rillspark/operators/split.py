@@ -17,7 +17,9 @@ from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import order_statistics
 from rillspark.session import durable
 
-HEX_DIGITS = 4  # 65,536 ranges of digests
+# Digests are counted by this many more hex digits in each round: 65,536 ranges.
+HEX_DIGITS = 4
+ROUNDS = 3
 
 
 def digest(keys: Sequence[Column], seed: int) -> Column:
@@ -27,23 +29,26 @@ def digest(keys: Sequence[Column], seed: int) -> Column:
 def _digest_at(units: DataFrame, size: Column) -> DataFrame:
     """One row, one column: the digest of the ``size``-th unit in digest order.
 
-    Counts per digest range say in which range it lies; only that range is ranked.
+    Counts per digest range say in which range it lies; that range is cut further, and only what
+    shares all digits of the last round is ranked.
     """
-    ranged = units.withColumn("_range", F.substring("_digest", 1, HEX_DIGITS))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
-    # At most 16 ** HEX_DIGITS rows.
-    summed = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_range"))).withColumn(
-        "size", size
-    )
-    crossing = summed.filter(
-        (F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("n") < F.col("size"))
-    ).select(
-        F.struct("_range", (F.col("size") - (F.col("upto") - F.col("n"))).alias("rank"))
-    ).scalar()
-    ranked = ranged.filter(F.col("_range") == crossing["_range"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_digest"))
-    )
-    return ranked.filter(F.col("_rank") == crossing["rank"]).select("_digest")
+    inside, rank = units, size
+    for round_ in range(1, ROUNDS + 1):
+        ranged = inside.withColumn("_range", F.substring("_digest", 1, HEX_DIGITS * round_))
+        counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+        # At most 16 ** HEX_DIGITS rows.
+        summed = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_range"))).withColumn(
+            "size", rank
+        )
+        crossing = summed.filter(
+            (F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("n") < F.col("size"))
+        ).select(
+            F.struct("_range", (F.col("size") - (F.col("upto") - F.col("n"))).alias("rank"))
+        ).scalar()
+        inside = ranged.filter(F.col("_range") == crossing["_range"]).select(*units.columns)
+        rank = crossing["rank"]
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.orderBy("_digest")))
+    return ranked.filter(F.col("_rank") == rank).select("_digest")
 
 
 def _split(df: DataFrame, keys: Sequence[str], units: DataFrame, fraction: float, seed: int,
