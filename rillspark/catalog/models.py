@@ -24,8 +24,12 @@ SMALL = {"n_estimators": 5, "max_depth": 3}
 TARGETS = ("ta", "ec", "drp")
 
 
+def _enriched(v):
+    return v.once("enriched", lambda: enriched(v))
+
+
 def _matrix(v, target="ec", features=FEATURES, **options):
-    rows = split.group_split(enriched(v).filter(F.col(target).isNotNull()), ["site"])
+    rows = split.group_split(_enriched(v).filter(F.col(target).isNotNull()), ["site"])
     return models.prepare(rows, features, target, keep=["sample_id", "site"], **options)
 
 
@@ -43,7 +47,7 @@ def m1(v):
 
 @query("m1_spatial_evaluation")
 def m1_spatial(v):
-    rows = durable(enriched(v))
+    rows = _enriched(v)
     return evaluation.evaluate_targets(
         rows, FEATURES, ["ta", "ec", "drp"], models.boosted_trees(**SMALL, learning_rate=0.05),
         place=["site"], categorical=["cat"],
@@ -52,7 +56,7 @@ def m1_spatial(v):
 
 @query("m1_random_evaluation")
 def m1_random(v):
-    rows = durable(enriched(v))
+    rows = _enriched(v)
     return evaluation.evaluate_targets(
         rows, ["lat", "lon", *FEATURES], list(TARGETS), models.boosted_trees(**SMALL),
         row_key=["sample_id"], categorical=["cat"],
@@ -176,7 +180,7 @@ def m7(v):
 
 @query("m8_submission")
 def m8(v):
-    rows = durable(enriched(v))
+    rows = _enriched(v)
     features = [f for f in models.SUBMISSION_FEATURES if f in rows.columns]
     # The samples without a category stand for the template.
     return models.score_submission(
@@ -188,7 +192,7 @@ def m8(v):
 
 @query("m9_specialised")
 def m9(v):
-    rows = split.group_split(durable(enriched(v)), ["site"])
+    rows = split.group_split(_enriched(v), ["site"])
     tables = []
     for target, column in zip(models.SPECIALISED, ("ta", "ec", "drp")):
         present, missing, params = models.specialised_features(rows, target)
@@ -205,7 +209,7 @@ def m9(v):
 
 @query("m10_ablation")
 def m10(v):
-    rows = split.group_split(enriched(v).filter("ec is not null"), ["site"])
+    rows = split.group_split(_enriched(v).filter("ec is not null"), ["site"])
     rows = durable(prep.location_mean(rows, ["site"], "ec", "loc_mean_cond"))
     return models.ablation(
         rows, [*FEATURES, "loc_mean_cond"], models.LOCATION_MEANS, "ec",
@@ -235,7 +239,7 @@ def m14(v):
 @query("m15_benchmark_features")
 def m15(v):
     rows = split.random_split(
-        enriched(v).filter("ec is not null"), ["sample_id"], test_fraction=0.3
+        _enriched(v).filter("ec is not null"), ["sample_id"], test_fraction=0.3
     )
     matrix = models.prepare(rows, models.BENCHMARK_FEATURES, "ec")
     forest = models.random_forest(n_estimators=5, max_depth=5).fit(matrix.side("train"))

@@ -7,11 +7,12 @@ oracle queries put in front of their own text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillspark.session import tune
+from rillspark.session import durable, tune
 
 # Extent of the monthly cube below: 25 cells, 3 degrees by 4 degrees apart.
 GRID_LAT0, GRID_LAT_STEP, GRID_ROWS = -22.05, -3.0, 5
@@ -32,6 +33,13 @@ class Views:
         self.spark = tune(spark)
         self.dir = sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several steps read: written down when it is first asked for."""
+        if name not in self._made:
+            self._made[name] = durable(make())
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         # The files of a table are listed and its schema read once.
