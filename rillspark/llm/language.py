@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rillspark.llm.tables import mapped
+from rillspark.llm.tables import mapped, small_batches
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 512
@@ -145,6 +145,7 @@ def fit(labelled: DataFrame) -> Model:
     Up to ``MOST_LANGUAGES`` languages, as each is one vector of counts on the driver; more is an
     error and not a cut.
     """
+    small_batches(labelled.sparkSession)
     pairs = labelled.select("text", "lang").filter("text is not null and lang is not null")
     sums = (
         pairs.mapInArrow(_language_sums, "lang string, slot int, n long")

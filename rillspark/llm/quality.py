@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rillspark.llm.tables import digest_number, mapped
+from rillspark.llm.tables import digest_number, mapped, small_batches
 
 MOST_LABELLED = 20_000
 PAIRS = 200_000
+AT_A_TIME = 10_000
 PENALTY = 1e-3
 LENGTHS = 12
 
@@ -113,12 +114,15 @@ def rank(vectors: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int =
     z = np.clip((vectors - center) / scale, -8, 8)
     draw = np.random.default_rng(seed)
     n = min(pairs, len(yes) * len(no))
-    x = z[draw.choice(yes, n)] - z[draw.choice(no, n)]
+    first, second = draw.choice(yes, n), draw.choice(no, n)
     weights = np.zeros(d)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
-        slope = x.T @ (1 - p) / n - PENALTY * weights
-        bend = (x * (p * (1 - p))[:, None]).T @ x / n + PENALTY * np.eye(d)
+        slope, bend = -PENALTY * weights, PENALTY * np.eye(d)
+        for i in range(0, n, AT_A_TIME):  # differences are made as they are needed
+            x = z[first[i : i + AT_A_TIME]] - z[second[i : i + AT_A_TIME]]
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
+            slope += x.T @ (1 - p) / n
+            bend += (x * (p * (1 - p))[:, None]).T @ x / n
         step = np.linalg.solve(bend, slope)
         step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
         weights += step
@@ -148,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     At most ``most_labelled`` labels are used, by md5 of their doc_id, and as many documents;
     that bounds the broadcast and what reaches the driver. Null ids and labels teach nothing.
     """
+    small_batches(docs.sparkSession)
     order = digest_number(F.col("doc_id"), F.col("quality"))
     used = (
         labels.select("doc_id", "quality")
@@ -166,8 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
         .limit(most_labelled)
         .toArrow()
     )
-    vectors = np.array(found["vector"].to_pylist(), float).reshape(len(found), len(features("")))
-    return rank(vectors, np.array(found["good"].to_pylist(), bool))
+    flat = found["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return rank(flat.reshape(len(found), len(features(""))), np.array(found["good"].to_pylist(), bool))
 
 
 def scored(docs: DataFrame, model: Ranker) -> DataFrame:

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python tasks a few megabytes at a time; a worker holds several such batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def packed(docs: DataFrame, *needed: str | Column) -> DataFrame:
     """The whole row as ``_doc`` beside the columns that are worked on, so that no name clashes."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *needed)
@@ -60,6 +66,7 @@ def mapped(
     ``work`` gets the rows as one struct array, and the batch with the ``extras`` that it asks for;
     it returns an array per field of ``added``. Existing columns of those names are replaced.
     """
+    small_batches(docs.sparkSession)
     names = added.names
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     rows = packed(kept, *[c.alias(n) for n, c in extras.items()])

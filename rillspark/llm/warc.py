@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.llm.tables import small_batches
 from rillspark.session import durable
 
 MAGIC = b"\x1f\x8b\x08"
@@ -99,6 +100,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = _DATE, archive_byt
     A null html is an empty payload; payloads of 0 bytes are equal like any others.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     folder = qualified(spark, folder)
