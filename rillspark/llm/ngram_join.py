@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.llm.components import components
-from rillspark.llm.tables import packed
+from rillspark.llm.tables import packed, small_batches
 from rillspark.session import durable
 
 N = 5
@@ -248,6 +248,7 @@ def _verified(at_least: float, as_pairs: bool):
 
 def _candidates(docs: DataFrame, at_least: float, recall: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with keys, classes of equal texts, and the rows of all units with their sets."""
+    small_batches(docs.sparkSession)
     bands, rows = bands_for(at_least, recall)
     own = keyed(docs)
     with_words = own.filter("key is not null").select("doc_id", "key", _words(F.col("text")).alias("words"))
@@ -348,7 +349,8 @@ def joined(docs: DataFrame, at_least: float = AT_LEAST, recall: float = RECALL,
         roots.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("root", F.coalesce("root", "key"))
     names = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = (
+    # Written down, so that the last join stands alone and a text with many copies can be split.
+    named = durable(
         linked.join(names, "root")
         .join(links, "key", "left")
         .select(
