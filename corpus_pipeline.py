@@ -13,9 +13,10 @@ from rillspark.llm import language, mixing, ngram_join, quality, sentencepiece_d
 from rillspark.llm.tables import packed, table
 from rillspark.session import durable, tune
 
-# Only what is clearly one or the other goes: both scores leave wide room around their cut.
+# Only what is clearly bad goes: the score leaves wide room around its cut.
 LEAST_QUALITY = 0.25
-LEAST_LANGUAGE = 0.3
+# Below it a text is between two languages.
+LEAST_LANGUAGE = language.AMBIGUOUS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: not those without letters or like no language that was learned."""
-    model = language.fit(docs.filter(~language.held_out()))
+    """Documents in a language: not those without letters, between two, or like none that was learned."""
+    learned = docs.filter(~language.held_out())
+    model = language.fit(learned)
+    limit = language.distance_limit(learned, model)
     known = language.identified(packed(docs, "text"), model)
     wanted = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)
+    wanted &= F.col("distance") <= F.lit(limit)
     return known.filter(wanted).select("_doc.*")
 
 

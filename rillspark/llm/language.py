@@ -5,6 +5,11 @@ character n-grams tells the languages with a 1 from those with a 0. A text is gi
 whose codeword loses least against all bits, each weighted by how well its classifier tells the
 two sides apart; wrong bits are outvoted. A text whose two best codewords are close is ambiguous.
 
+Bits only say which side a text is nearer to, so a text like neither side may lose nothing. How
+far it is from everything learned is its ``distance``: the nats that an n-gram of the text costs
+under the profile of a language, over what one of that language costs on average, least of all
+languages; short texts count less. ``distance_limit`` takes from the learned rows how far a text may be.
+
 Training is one distributed sum: n-gram counts per language over all labelled rows, whole texts,
 no sample. What reaches the driver is one vector of ``BUCKETS`` counts per language.
 """
@@ -14,6 +19,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillspark.llm.tables import mapped, small_batches
+from rillspark.operators.quantiles import column_quantiles
+from rillspark.session import durable
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 512
 SMOOTHING = 0.5
 AMBIGUOUS = 0.6
+# The limit of the distance lies so many times as far above the median as the quantile does.
+FAR_QUANTILE = 0.99
+FAR_TIMES = 6
+# So many n-grams are full evidence.
+ENOUGH = 300
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SPACE = np.uint32(32)
 
@@ -95,23 +109,59 @@ def codewords(languages: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weights`` has a column per bit: log odds of the n-grams; ``trust`` weighs the bits."""
+    """``weights`` has a column per bit: log odds of the n-grams; ``trust`` weighs the bits.
+
+    ``counts`` are the learned n-grams, a row per language.
+    """
 
     languages: list[str]
     codes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    counts: np.ndarray
     ambiguous: float = AMBIGUOUS
 
+    @cached_property
+    def usual(self) -> np.ndarray:
+        """Nats that an n-gram of each language costs on average under the language's own profile."""
+        shares = _shares(self.counts)
+        return -(shares * np.log(shares)).sum(1)
+
+    @cached_property
+    def totals(self) -> np.ndarray:
+        return self.counts.sum(1)
+
+    def distance(self, counts: np.ndarray | None, lang: str | None = None) -> float:
+        """How many nats an n-gram costs over the usual under the language where that is least.
+
+        ``lang`` names the language that learned from this very text; it then counts as not learned.
+        """
+        if counts is None or not self.languages:
+            return float("inf")
+        used = np.flatnonzero(counts)
+        own = counts[used]
+        learned, total = self.counts[:, used], self.totals.copy()
+        if lang in self.languages:
+            at = self.languages.index(lang)
+            learned[at] -= own
+            total[at] -= own.sum()
+        shares = (learned + SMOOTHING) / (total + SMOOTHING * BUCKETS)[:, None]
+        least = (-np.log(shares) @ own / own.sum() - self.usual).min()
+        # The mean over few n-grams varies with the root of their number.
+        return float(least * np.sqrt(min(own.sum(), ENOUGH) / ENOUGH))
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in [0, 1] and whether the decision is ambiguous."""
-        counts = ngram_counts(text)
+        return self.decided(ngram_counts(text))
+
+    def decided(self, counts: np.ndarray | None) -> tuple[str, float, bool]:
+        """``predict`` for the n-grams of a text."""
         if counts is None or not self.languages:
             return "und", 0.0, True
         # Evidence grows with the text, but neighbouring n-grams say the same: count them less.
         used = counts.sum()
-        margins = (counts @ self.weights) / used * min(used, 300) / 10 + self.bias
+        margins = (counts @ self.weights) / used * min(used, ENOUGH) / 10 + self.bias
         loss = np.logaddexp(0, -self.codes * margins) @ self.trust
         low = np.exp(loss.min() - loss)
         share = low / low.sum()
@@ -171,12 +221,16 @@ def fit(labelled: DataFrame) -> Model:
     return _model(languages, counts, rows)
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+
+
 def _model(languages: list[str], counts: np.ndarray, rows: np.ndarray) -> Model:
     codes = codewords(len(languages))
     if len(languages) < 2:
-        return Model(languages, codes, np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
+        return Model(languages, codes, np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1), counts)
     # Every language counts the same inside a bit, however many rows it has.
-    shares = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+    shares = _shares(counts)
     plus, minus = codes > 0, codes < 0
     ones = shares.T @ plus / plus.sum(0)
     zeros = shares.T @ minus / minus.sum(0)
@@ -187,22 +241,53 @@ def _model(languages: list[str], counts: np.ndarray, rows: np.ndarray) -> Model:
     highest = np.where(minus, means, -np.inf).max(0)
     bias = -(lowest + highest) / 2
     gap = np.maximum(lowest - highest, 1e-3)
-    return Model(languages, codes, weights + bias, np.zeros(codes.shape[1]), gap / gap.sum() * len(gap))
+    return Model(languages, codes, weights + bias, np.zeros(codes.shape[1]), gap / gap.sum() * len(gap), counts)
+
+
+def distance_limit(labelled: DataFrame, model: Model) -> float | None:
+    """The largest distance of a text that is like what was learned, from all rows learned from.
+
+    Each row is held against the model without it. The limit lies ``FAR_TIMES`` as far above the
+    median as the ``FAR_QUANTILE`` does, both exact, so clean rows stay and up to one odd row in a
+    hundred does not move it much. None where nothing was learned.
+    """
+    small_batches(labelled.sparkSession)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch["text"], batch["lang"].to_pylist(), strict=True)
+            made = ((ngram_counts(text.as_py()), lang) for text, lang in pairs)
+            far = [model.distance(counts, lang) for counts, lang in made if counts is not None]
+            yield pa.record_batch({"distance": pa.array(far, pa.float64())})
+
+    pairs = labelled.select("text", "lang").filter("text is not null and lang is not null")
+    far = durable(pairs.mapInArrow(distances, "distance double"))
+    middle, high = column_quantiles(far, ["distance"], [0.5, FAR_QUANTILE])["distance"]
+    return None if middle is None else middle + FAR_TIMES * (high - middle)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred, score and ambiguous to every row.
+    """Add lang_pred, score, ambiguous and distance to every row.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned; such
-    rows count as ambiguous. Equal texts get equal predictions; other columns are not looked at.
+    rows count as ambiguous and are infinitely far. Equal texts get equal predictions; other columns are not looked at.
     """
 
     def predict(rows: pa.StructArray, _) -> list[pa.Array]:
-        made = [model.predict(t.as_py()) for t in rows.field("text")]
-        lang, score, unsure = zip(*made, strict=True) if made else ((), (), ())
-        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
+        made = []
+        for t in rows.field("text"):
+            counts = ngram_counts(t.as_py())
+            made.append((*model.decided(counts), model.distance(counts)))
+        lang, score, unsure, far = zip(*made, strict=True) if made else ((), (), (), ())
+        return [
+            pa.array(lang, pa.string()),
+            pa.array(score, pa.float64()),
+            pa.array(unsure, pa.bool_()),
+            pa.array(far, pa.float64()),
+        ]
 
     added = StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    added = added.add("distance", "double")
     return mapped(docs, predict, added)
 
 

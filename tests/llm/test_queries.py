@@ -1,6 +1,7 @@
 """The registered queries and the pipeline over a small folder of tables, against plain Python."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from rillspark.llm import language, mixing, quality, sentencepiece_dropout
-from tests.llm.fixtures import clashing, documents, frame
+from tests.llm.fixtures import clashing, documents, frame, prose
 from tests.llm.test_native import spots, targets, words
 from tests.llm.test_search import PAGES, VECTORS, brute_force, exact, expected, near_copies, pages, vectors
 
@@ -201,3 +202,16 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_what_was_never_learned(spark):
+    draw = random.Random(5)
+    # Russian stands for a script, noise for letters without a language; neither is in the labels.
+    rows = [(i, prose(draw, "en de fr".split()[i % 3], draw.randint(20, 60)), "en de fr".split()[i % 3], "s", 1) for i in range(300)]
+    spell = lambda letters: " ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(40))
+    rows += [(5 * i + 10_000, spell("абвгдежзийклмнопрстуфхцчшщыьэюя"), None, "s", 1) for i in range(20)]
+    rows += [(5 * i + 20_000, spell("abcdefghijklmnopqrstuvwxyz"), None, "s", 1) for i in range(20)]
+    made = corpus_pipeline.language_stage(spark, frame(spark, rows), "")
+    kept = {r.doc_id for r in made.collect()}
+    assert {i for i in kept if i < 10_000} == set(range(300))
+    assert not {i for i in kept if 10_000 <= i < 30_000}
