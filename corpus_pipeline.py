@@ -13,14 +13,14 @@ from rillspark.llm import language, mixing, ngram_join, quality, sentencepiece_d
 from rillspark.llm.tables import packed, table
 from rillspark.session import durable, tune
 
-# Only what is clearly bad goes: the score leaves wide room around its cut.
-LEAST_QUALITY = 0.25
+# The ranking's own cut, a quantile of the scores: as large a share passes as the labels call good.
+LEAST_QUALITY = quality.PASSES
 # Below it a text is between two languages.
 LEAST_LANGUAGE = language.AMBIGUOUS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking does not place clearly among the bad ones."""
+    """Documents that the ranking places above its quantile cut."""
     labels = table(spark, sf_dir, "labels").filter(~quality.held_out())
     scored = quality.scored(packed(docs, "text"), quality.fit(docs, labels))
     return scored.filter(F.col("score") >= LEAST_QUALITY).select("_doc.*")

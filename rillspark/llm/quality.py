@@ -26,6 +26,8 @@ from rillspark.llm.tables import digest_number, mapped, small_batches
 
 MOST_LABELLED = 20_000
 PAIRS = 200_000
+# The score at the cut.
+PASSES = 0.5
 AT_A_TIME = 10_000
 PENALTY = 1e-3
 LENGTHS = 12

@@ -93,7 +93,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         quality.held_out().alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= quality.PASSES).cast("int").alias("predicted"),
     )
 
 

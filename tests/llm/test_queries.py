@@ -215,3 +215,19 @@ def test_language_stage_rejects_what_was_never_learned(spark):
     kept = {r.doc_id for r in made.collect()}
     assert {i for i in kept if i < 10_000} == set(range(300))
     assert not {i for i in kept if 10_000 <= i < 30_000}
+
+
+def test_quality_stage_cuts_at_the_quantile(spark, tmp_path):
+    # Weak features: no score is far from the cut, so a fixed low score would reject next to nothing.
+    draw = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        good = draw.random() < 0.6
+        shouted = draw.random() * (0.9 if good else 1.0)
+        text = " ".join(w.upper() if draw.random() < shouted else w for w in prose(draw, "en", 40).split())
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, int(good), 0))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    learned = [(i, g) for i, g, _ in labels if crc(i) % 3 != 1]
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert len(kept & {i for i, _ in learned}) == sum(g for _, g in learned)
