@@ -5,8 +5,9 @@ of the difference of their scores. Scores are linear in features of the text, so
 logistic loss on feature differences of (preferred, other) pairs and has no intercept. The cut is
 a quantile of the scores: as large a share passes as the labels call good.
 
-The fit takes a bounded sample of labelled rows (``most_labelled``), the smallest md5 first;
-scoring takes every document, whole. Features come from the text alone.
+The weights are fitted on a bounded sample of labelled rows (``most_labelled``), the smallest md5
+first; the cut is the exact quantile over all of them, and scoring takes every document, whole.
+Features come from the text alone.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rillspark.llm.tables import digest_number, mapped, small_batches
+from rillspark.operators.quantiles import order_statistics
+from rillspark.session import durable
 
 MOST_LABELLED = 20_000
 PAIRS = 200_000
@@ -95,7 +98,8 @@ class Ranker:
     cut: float
 
     def raw(self, vectors: np.ndarray) -> np.ndarray:
-        return np.clip((vectors - self.center) / self.scale, -8, 8) @ self.weights
+        # Row by row, so that a row's last bit does not depend on its batch: equal texts stay equal.
+        return (np.clip((vectors - self.center) / self.scale, -8, 8) * self.weights).sum(1)
 
     def score(self, vectors: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(vectors) - self.cut, -500, 500)))
@@ -151,15 +155,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Ranker:
     """Learn from docs (doc_id, text) and labels (doc_id, quality 0 or 1).
 
-    At most ``most_labelled`` labels are used, by md5 of their doc_id, and as many documents;
-    that bounds the broadcast and what reaches the driver. Null ids and labels teach nothing.
+    The weights use at most ``most_labelled`` labels, by md5 of their doc_id, and as many documents;
+    that bounds the broadcast and what reaches the driver. Where there are more, the cut is taken
+    over the scores of all labelled rows. Null ids and labels teach nothing.
     """
     small_batches(docs.sparkSession)
     order = digest_number(F.col("doc_id"), F.col("quality"))
+    usable = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)")
     used = (
-        labels.select("doc_id", "quality")
-        .filter("doc_id is not null and quality in (0, 1)")
-        .withColumn("key", order)
+        usable.withColumn("key", order)
         .orderBy("key", "doc_id")
         .limit(most_labelled)
         .select("doc_id", "key", (F.col("quality") == 1).alias("good"))
@@ -174,7 +178,33 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
         .toArrow()
     )
     flat = found["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return rank(flat.reshape(len(found), len(features(""))), np.array(found["good"].to_pylist(), bool))
+    model = rank(flat.reshape(len(found), len(features(""))), np.array(found["good"].to_pylist(), bool))
+    if model.weights.any() and (len(found) == most_labelled or usable.count() > most_labelled):
+        model.cut = cut_of_all(docs, usable, model)
+    return model
+
+
+def cut_of_all(docs: DataFrame, labels: DataFrame, model: Ranker) -> float:
+    """The cut that lets as many of all labelled rows pass as are good, exactly.
+
+    Texts become scores before the join, so only ids and scores are shuffled, whatever the number
+    of labels.
+    """
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([features(t.as_py()) for t in batch["text"]])
+            scores = model.raw(made) if len(made) else []
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "raw"]
+            )
+
+    texts = docs.select("doc_id", "text").filter("doc_id is not null")
+    schema = StructType([texts.schema["doc_id"]]).add("raw", "double")
+    rows = durable(texts.mapInArrow(raw, schema).join(labels, "doc_id").select("raw", "quality"))
+    bad = rows.filter("quality = 0").count()
+    at = order_statistics(rows, {"raw": [bad - 1, bad]}, MOST_LABELLED)
+    return (at["raw", bad - 1] + at["raw", bad]) / 2
 
 
 def scored(docs: DataFrame, model: Ranker) -> DataFrame:

@@ -128,6 +128,24 @@ def test_cut_passes_as_many_as_are_good():
     assert np.sign(model.weights[[0, 3]]).tolist() == [1, -1]
 
 
+def test_cut_is_taken_over_all_labelled_rows(spark):
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        good = draw.random() < 0.6
+        # The kinds overlap: some words of both are shouted.
+        shouted = draw.random() * (0.7 if good else 1.0)
+        text = " ".join(w.upper() if draw.random() < shouted else w for w in prose(draw, "en", 40).split())
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, int(good)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    few = quality.fit(docs, marks, most_labelled=50)
+    made = [r.score for r in quality.scored(docs, few).collect()]
+    assert sum(s >= quality.PASSES for s in made) == sum(g for _, g in labels)
+    whole = quality.fit(docs, marks)
+    assert quality.cut_of_all(docs, marks, whole) == pytest.approx(whole.cut, abs=1e-12)
+
+
 def test_rank_by_gradient_is_the_optimum():
     draw = np.random.default_rng(1)
     good = np.arange(60) % 2 == 0
