@@ -1,18 +1,15 @@
-"""Token counts of a byte-level BPE vocabulary by compiled finite-state machines.
+"""Token counts of a byte-level BPE vocabulary: a finite-state word splitter, then the merges.
 
-Two deterministic transducers work one behind the other.
-
-The first cuts a text into words. Its alphabet is the class of a character (letter, number,
+A deterministic transducer cuts a text into words. Its alphabet is the class of a character (letter, number,
 apostrophe that starts a contraction, space or other blank with or without a non-blank behind it,
 anything else), so it needs no look-ahead of its own; a transition says whether a word starts here.
 A long run of text is cut into chunks that do not know their entry state: a chunk is first run
 from all states at once, which gives its state map; the maps are composed by a parallel prefix
 scan; only then is the chunk run from the one state it is really entered in.
 
-The second reads the bytes of a word and emits, on the transition that ends it, how many tokens
-the merges leave. Its arcs are compiled when a word is first met, by the merges themselves, and
-kept up to ``MOST_ARCS``; past that words are counted without being kept, so memory stays bounded
-and counts stay exact.
+How many tokens a word has is not worked out by a machine over its bytes: the merges run on each
+word when it is first met, and the count is kept by word, up to ``MOST_ARCS``; past that words are
+counted without being kept, so memory stays bounded and counts stay exact.
 """
 
 from __future__ import annotations
@@ -153,7 +150,7 @@ class Merges:
         self.arcs: dict[bytes, int] = {}
 
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word; the words that are new are compiled together."""
+        """Tokens of each word; the words that are new are merged together."""
         found = list(map(self.arcs.get, words))
         new = [i for i, n in enumerate(found) if n is None]
         out = np.array([n or 0 for n in found], np.int64)
