@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rillspark.llm.fingerprints import ANCHORS, CHAIN, REACH
+from rillspark.llm.url_filters import LOWER, RULES, UPPER
 
 # The 4-bit patterns of hex digits and the alphabet of base 32.
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
@@ -99,3 +100,80 @@ JOIN u a ON a.doc_id = e.doc_id AND a.kind = 'own'
 JOIN u b ON b.doc_id = e.doc_id AND b.kind = 'edited'
 JOIN u c ON c.doc_id = e.next_id AND c.kind = 'own'
 """
+
+# CRC-32 bit by bit, with its usual polynomial.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+# Nodes as strings of turn digests; subtrees by comparing beginnings, for the tables of tests.
+OP11_PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list({{'key': md5(length(role) || ':' || role || text), 'chars': length(text)}}
+    ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY conv_id),
+s AS (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM o),
+h AS (SELECT conv_id, own, {_CRC32} % 6 AS h FROM s),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own, [])[1 : h.h], h.own[h.h + 1 :]) AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+n AS (
+  SELECT array_to_string(list_transform(turns[1 : depth], lambda x: x.key), '') AS name, depth,
+    min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(turns[depth].chars), 0) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+c AS (
+  SELECT a.name, count(b.name) AS n_children FROM n a
+  LEFT JOIN n b ON b.depth = a.depth + 1 AND starts_with(b.name, a.name) GROUP BY a.name),
+m AS (SELECT n.*, n_children FROM n JOIN c USING (name)),
+u AS (
+  SELECT a.name, count(*) FILTER (b.n_children = 0) AS n_leaves,
+    CAST(sum((b.n_convs - 1) * b.chars) AS BIGINT) AS saved_tokens
+  FROM m a JOIN m b ON starts_with(b.name, a.name) GROUP BY a.name)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN u USING (name)
+LEFT JOIN m q ON m.depth > 0 AND q.name = left(m.name, 32 * (m.depth - 1)) AND q.depth = m.depth - 1
+"""
+
+OP12_FILL_IN_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+    CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+    CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (
+  SELECT *, array_to_string(units[1 : a], '') AS prefix, array_to_string(units[a + 1 : b], '') AS middle,
+    array_to_string(units[b + 1 :], '') AS suffix FROM c)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM x
+"""
+
+OP13_URL_FILTERS = f"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(map(str, RULES))}),
+b AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS behind FROM pages),
+h AS (SELECT page_id, behind, regexp_extract(behind, '^[^/?#]*') AS raw FROM b),
+u AS (
+  SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(substr(behind, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, u.host, u.path, r.rule, coalesce(r.verdict, 'allow') AS verdict
+FROM u LEFT JOIN LATERAL (
+  SELECT rules.host || rules.path AS rule, verdict FROM rules
+  WHERE (u.host = rules.host OR ends_with(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path)
+  ORDER BY length(rules.host || rules.path) DESC LIMIT 1) r ON true
+"""

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.llm import (
+    fill_in_middle,
     fingerprints,
     language,
     mixing,
     neighbours,
     ngram_join,
     oracles,
+    prefix_trie,
     quality,
     sentencepiece_dropout,
     sharding,
     token_counts,
+    url_filters,
     warc,
 )
 from rillspark.llm.tables import table
@@ -140,6 +143,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_dropout.encoded(docs).drop("text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations: a row per node."""
+    tune(spark)
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at two unit ranks and put together anew, and taken apart again."""
+    tune(spark)
+    made = fill_in_middle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each page's url, and what it says; urls without a rule are allowed."""
+    tune(spark)
+    rules = url_filters.write_rules(url_filters.rules_table(spark), f"{working_folder(spark)}/rules")
+    made = url_filters.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return made.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -151,6 +184,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_filters": op13_url_filters,
 }
 
 # The others are beyond SQL (fitted models, tokenizers, a reduction tree, an approximate index);
@@ -159,4 +195,7 @@ ORACLE_SQL = {
     "op3_warc": oracles.OP3_WARC,
     "op4_ngram_join": oracles.OP4_NGRAM_JOIN,
     "op8_fingerprints": oracles.OP8_FINGERPRINTS,
+    "op11_prefix_trie": oracles.OP11_PREFIX_TRIE,
+    "op12_fill_in_middle": oracles.OP12_FILL_IN_MIDDLE,
+    "op13_url_filters": oracles.OP13_URL_FILTERS,
 }

@@ -13,6 +13,7 @@ import corpus_pipeline
 from rillspark.llm import language, mixing, quality, sentencepiece_dropout
 from tests.llm.fixtures import clashing, documents, frame, prose
 from tests.llm.test_native import spots, targets, words
+from tests.llm.test_documents_and_trees import CONVS, conversations
 from tests.llm.test_search import PAGES, VECTORS, brute_force, exact, expected, near_copies, pages, vectors
 
 ROWS = documents(60) + [(500 + r[0], r[1], r[2], f"s{r[0] % 5}", r[4]) for r in near_copies(60)]
@@ -26,6 +27,7 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     spark.createDataFrame(pages(), PAGES).write.parquet(f"{where}/pages.parquet")
     spark.createDataFrame(vectors(300), VECTORS).write.parquet(f"{where}/embeddings.parquet")
+    clashing(spark.createDataFrame(conversations(), CONVS)).write.parquet(f"{where}/conversations.parquet")
     return where
 
 
@@ -40,7 +42,7 @@ def crc(value):
 
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
