@@ -18,7 +18,7 @@ Draws come from md5 of seed, level and document, so reruns agree whatever the pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.llm.tables import digest_fraction, digest_number, packed, told_apart
@@ -94,7 +94,7 @@ def _fold(items: Column) -> Column:
         )
 
     start = F.struct(F.element_at(items, 1).alias("open"), F.slice(items, 1, 0).alias("done"))
-    return F.aggregate(F.slice(items, 2, GROUP * GROUP * GROUP), start, meet)
+    return F.aggregate(F.slice(items, F.lit(2), F.size(items)), start, meet)
 
 
 def _settled(done: Column, last: Column) -> Column:
@@ -230,21 +230,45 @@ def dealt_copies(docs: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> Dat
     )
 
 
+def _numbered_equals(rows: DataFrame, same: list[str]) -> DataFrame:
+    """Add ``_number``: from 0 among rows that agree in ``same``.
+
+    Rows are numbered within the task that wrote them, after those of the tasks before, so rows that
+    agree without end are never one task's work.
+    """
+    written = durable(rows.withColumn("_serial", F.monotonically_increasing_id()))
+    written = written.withColumn("_task", F.shiftright("_serial", 33))
+    by_task = written.groupBy(*same, "_task").agg(F.count(F.lit(1)).alias("_here"))
+    before = Window.partitionBy(*same).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_task.select(
+        *[F.col(c).alias(f"{c}_") for c in same],
+        F.col("_task").alias("_task_"),
+        F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_offset"),
+    )
+    within = F.row_number().over(Window.partitionBy(*same, "_task").orderBy("_serial"))
+    met = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*same, "_task"]]
+    placed = written.withColumn("_within", within).join(offsets, met)
+    return placed.withColumn("_number", F.col("_offset") + F.col("_within") - 1)
+
+
 def mixed(docs: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their columns.
 
-    Rows that agree in doc_id, source and text share what was dealt to them evenly; a remainder
-    goes to one of them. Documents without words are taken by the whole part of the rate.
+    What was dealt to rows that agree in doc_id, source and text goes to them one by one, as dealt: none comes more
+    than ``most`` times. Documents without words are taken by the whole part of the rate.
     """
     record = ["doc_id", "source", "size", "text_crc32"]
+    names = [f"_{c}" for c in record]
     dealt = durable(
         dealt_copies(docs, seed, most)
         .groupBy(*record)
-        .agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_same"))
+        # Equal rows differ by one copy at most.
+        .agg(F.min("copies").alias("_each"), F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_same"))
         .select(
-            *[F.col(c).alias(f"_{c}") for c in record],
-            F.floor(F.col("_all") / F.col("_same")).cast("int").alias("_each"),
-            (F.col("_all") % F.col("_same")).cast("int").alias("_rest"),
+            *[F.col(c).alias(n) for c, n in zip(record, names, strict=True)],
+            F.col("_each").cast("int").alias("_each"),
+            (F.col("_all") - F.col("_each") * F.col("_same")).alias("_more"),
+            "_same",
         )
     )
     text = F.col("_doc.text")
@@ -254,23 +278,19 @@ def mixed(docs: DataFrame, seed: int = 7, most: int = MOST_COPIES) -> DataFrame:
         word_count(text),
         F.coalesce(F.crc32(text), F.lit(0)),
     ]
-    own = packed(docs)
 
-    def repeated(found: DataFrame, times: str) -> DataFrame:
-        each = F.explode(F.sequence(F.lit(1), F.col(times)))
+    def of(taken: DataFrame) -> DataFrame:
+        same = [m.eqNullSafe(F.col(n)) for m, n in zip(mine, names, strict=True)]
+        return packed(docs).join(taken, same)
+
+    def repeated(found: DataFrame, more: Column) -> DataFrame:
+        times = F.col("_each") + more.cast("int")
+        each = F.explode(F.array_repeat(F.lit(0), times))
         return found.select("_doc", each.alias("_")).select("_doc.*")
 
-    def of(taken: DataFrame) -> DataFrame:
-        same = [m.eqNullSafe(F.col(f"_{c}")) for m, c in zip(mine, record, strict=True)]
-        return own.join(taken, same)
-
-    out = repeated(of(dealt.filter("_each > 0")), "_each")
-    rest = dealt.filter("_rest > 0")
-    if not rest.isEmpty():
-        one = (
-            of(rest)
-            .groupBy(*[f"_{c}" for c in record])
-            .agg(F.first("_doc").alias("_doc"), F.first("_rest").alias("_rest"))
-        )
-        out = out.unionByName(repeated(one, "_rest"))
+    out = repeated(of(dealt.filter("_same = 1 and _each + _more > 0")), F.col("_more"))
+    equal = dealt.filter("_same > 1 and _each + _more > 0")
+    if not equal.isEmpty():
+        numbered_rows = _numbered_equals(of(equal), names)
+        out = out.unionByName(repeated(numbered_rows, F.col("_number") < F.col("_more")))
     return out

@@ -40,10 +40,20 @@ def digest_fraction(*parts: Column) -> Column:
     return digest_number(*parts) / F.lit(float(16**13))
 
 
-def one_row_per_copy(df: DataFrame, copies: str, copy: str) -> DataFrame:
-    """As many rows as the column ``copies`` says, told apart by ``copy`` from 0."""
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))
-    return df.withColumn(copy, each).drop(copies)
+def one_row_per_copy(df: DataFrame, copies: str, copy: str, block: int = 4096) -> DataFrame:
+    """As many rows as the column ``copies`` says, told apart by ``copy`` from 0.
+
+    More than a block of copies are first cut into blocks, which then spread over tasks.
+    """
+
+    def rows(few: DataFrame, first: Column, behind: Column) -> DataFrame:
+        return few.withColumn(copy, F.explode(F.sequence(first, behind - 1))).drop(copies)
+
+    n, zero = F.col(copies), F.lit(0).cast("long")
+    start = f"{copy}_block"
+    many = df.filter(n > block).withColumn(start, F.explode(F.sequence(zero, n - 1, F.lit(block).cast("long"))))
+    many = rows(many.repartition(*df.columns, start), F.col(start), F.least(F.col(start) + block, n)).drop(start)
+    return rows(df.filter((n > 0) & (n <= block)), zero, n).unionByName(many)
 
 
 def told_apart(df: DataFrame, columns: Sequence[str], copy: str) -> DataFrame:

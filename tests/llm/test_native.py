@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from rillspark.llm import fingerprints, mixing, sharding
+from rillspark.llm import fingerprints, mixing, sharding, tables
 from tests.llm.fixtures import clashing, documents, frame
 
 
@@ -149,6 +149,26 @@ def test_mixed_rows_follow_the_copies(spark, docs):
     assert mixing.dealt_copies(frame(spark, [])).count() == 0
 
 
+def test_equal_rows_get_their_own_copies(spark):
+    equal = [(1, "w " * 10, f"lang {i}", "a", i) for i in range(50)]
+    rows = equal + [(i, "w " * 10, "en", "b", 1) for i in range(2, 40)] + [(100, "w w", "en", "c", 1)] * 7
+    dealt = mixing.dealt_copies(frame(spark, rows)).collect()
+    made = mixing.mixed(frame(spark, rows).repartition(5)).collect()
+    mine = Counter(r.n_chars for r in made if r.doc_id == 1)
+    want = Counter(r.copies for r in dealt if r.doc_id == 1)
+    assert Counter(mine[i] for i in range(50)) == want and max(want) <= 3 and len(want) == 2
+    per_id = Counter()
+    for r in dealt:
+        per_id[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in made) == Counter({k: n for k, n in per_id.items() if n})
+
+
+def test_copies_in_blocks(spark):
+    counted = spark.createDataFrame([("a", 1), ("b", 10), ("c", 3), ("d", 0), ("e", 9), (None, 4)], "k string, n long")
+    made = tables.one_row_per_copy(counted, "n", "copy", block=4)
+    assert Counter(map(tuple, made.collect())) == Counter((r.k, i) for r in counted.collect() for i in range(r.n))
+
+
 # Fingerprints
 
 
