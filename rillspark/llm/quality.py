@@ -203,7 +203,7 @@ def cut_of_all(docs: DataFrame, labels: DataFrame, model: Ranker) -> float:
     schema = StructType([texts.schema["doc_id"]]).add("raw", "double")
     rows = durable(texts.mapInArrow(raw, schema).join(labels, "doc_id").select("raw", "quality"))
     bad = rows.filter("quality = 0").count()
-    at = order_statistics(rows, {"raw": [bad - 1, bad]}, MOST_LABELLED)
+    at = order_statistics(rows, {"raw": [bad - 1, bad]})
     return (at["raw", bad - 1] + at["raw", bad]) / 2
 
 
