@@ -1,16 +1,18 @@
 """Exact quantiles that hold no large group in one task.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task. That is fine
-up to a bound; beyond it the quantile is found by narrowing: approximate quantiles of the values
-still in question cut them by order, the values between the cuts are counted, and the search goes
-on between the two cuts that hold the wanted rank. A cut is a value of the table and is itself
-counted, so every round gets smaller whatever the values are, infinities included. NaN is missing.
+The table is read once: equal values of a group (a column, or a key and a column) are counted, with partial
+counts before the shuffle, and the counts are written down. A group of few different values, however many rows it
+has, is put in order as it is. Values of the others get two whole numbers that keep their order: the place among
+``OCTAVE`` steps between powers of two, and among ``FINER`` steps within one of those. Counts per first
+number tell in which step a wanted rank lies, counts per second number where in that step, and only values
+that share both are put in order. So a crowded group's work spreads over its steps. Infinities are values,
+NaN is missing, whole numbers stay whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,141 +20,147 @@ from pyspark.sql import types as T
 
 from rillspark.session import durable
 
-IN_MEMORY_ROWS = 250_000
-CUTS = [i / 32 for i in range(1, 32)]
-ACCURACY = 10_000
+# Different values of a group that one task puts in order.
+ORDERED_VALUES = 250_000
+OCTAVE = 2**12
+FINER = 2**24
+# Larger than any exponent of a double, so that steps of magnitudes are positive.
+_SHIFT = 1100
 
 
-def _clean(df: DataFrame, c: str) -> Column:
-    """A numeric column in its own kind: whole numbers as they are, others as double without NaN."""
-    x = F.col(f"`{c}`")
-    if isinstance(df.schema[c].dataType, T.IntegralType):
-        return x.cast("long")
-    x = x.cast("double")
-    return F.when(~F.isnan(x), x)
+def _whole(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.IntegralType)
 
 
-def _part(x: Column, cuts: Column) -> Column:
-    """2 i between cuts i-1 and i, 2 i + 1 on cut i."""
-    below = F.size(F.filter(cuts, lambda c: c < x))
-    return 2 * below + F.array_contains(cuts, x).cast("int")
+def _value(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """A numeric column as x (double, NaN is missing) and y, which tells whole numbers of one x apart."""
+    x = F.col(f"`{c}`").cast("double")
+    if _whole(df, c):
+        return x, F.col(f"`{c}`").cast("long")
+    return F.when(~F.isnan(x), x), F.lit(0).cast("long")
 
 
-def _inside(x: Column, low, high) -> Column:
-    """Strictly between two bounds; a bound that is None is no bound."""
-    inside = x.isNotNull()
-    if low is not None:
-        inside = inside & (x > F.lit(low))
-    return inside if high is None else inside & (x < F.lit(high))
+def _with_steps(counted: DataFrame) -> DataFrame:
+    """Add step and finer, whole numbers in the order of x."""
+    a, e, part = F.abs("x"), F.col("_e"), F.col("_part")
+    guess = F.floor(F.log2(F.when((a > 0) & (a < math.inf), a).otherwise(1.0)))
+    p = F.pow(F.lit(2.0), F.col("_e").cast("double"))
+    sign = F.signum("x").cast("long")
+    return (
+        counted.withColumn("_e", guess)
+        # A logarithm may be off by a rounding next to a power of two.
+        .withColumn("_e", e - (a < p).cast("long") + (a >= 2 * p).cast("long"))
+        .withColumn("_part", (a / p - 1) * OCTAVE)
+        .withColumns(
+            {
+                "step": F.when(a == math.inf, sign * (2 * _SHIFT * OCTAVE)).otherwise(
+                    sign * ((e + _SHIFT) * OCTAVE + F.floor(part))
+                ),
+                "finer": F.when((a == math.inf) | (a == 0), F.lit(0)).otherwise(
+                    sign * F.floor((part - F.floor(part)) * FINER)
+                ),
+            }
+        )
+        .drop("_e", "_part")
+    )
+
+
+def _counted(values: DataFrame) -> DataFrame:
+    """The values g, x, y with the rows n of each, written down; a missing x stays."""
+    return durable(values.groupBy("g", "x", "y").agg(F.count("*").alias("n")))
+
+
+def _upto(by: list[str], order: list[str], n: str = "n") -> Column:
+    return F.sum(n).over(Window.partitionBy(*by).orderBy(*order))
+
+
+def _picked(counted: DataFrame, ranks: Callable[[Column, Column], Column]) -> DataFrame:
+    """g, total, at, x, y: the values at the ranks (from 0) that ``ranks`` makes of g and its total."""
+    known = counted.filter(F.col("x").isNotNull())
+    crowded = known.groupBy("g").count().filter(F.col("count") > ORDERED_VALUES).select("g")
+    crowded = durable(crowded)
+    if crowded.isEmpty():
+        return _ordered(known, ranks)
+    few = _ordered(known.join(crowded, "g", "left_anti"), ranks)
+    return few.unionByName(_stepwise(known.join(crowded, "g", "left_semi"), ranks))
+
 
+def _between(ranks: Column, n: str) -> Column:
+    """Those of the ranks that fall into the n rows up to ``upto``."""
+    return F.filter(F.array_distinct(ranks), lambda r: (r >= F.col("upto") - F.col(n)) & (r < F.col("upto")))
 
-def order_statistics(
-    df: DataFrame, wanted: dict[str, Sequence[int]], in_memory_rows: int = IN_MEMORY_ROWS
-) -> dict[tuple[str, int], float]:
+
+def _ordered(known: DataFrame, ranks: Callable[[Column, Column], Column]) -> DataFrame:
+    total = F.sum("n").over(Window.partitionBy("g"))
+    placed = known.select("g", "x", "y", "n", _upto(["g"], ["x", "y"]).alias("upto"), total.alias("total"))
+    here = _between(ranks(F.col("g"), F.col("total")), "n")
+    return placed.select("g", "total", F.explode(here).alias("at"), "x", "y")
+
+
+def _stepwise(known: DataFrame, ranks: Callable[[Column, Column], Column]) -> DataFrame:
+    known = _with_steps(known)
+    steps = known.groupBy("g", "step").agg(F.sum("n").alias("m"))
+    total = F.sum("m").over(Window.partitionBy("g"))
+    steps = steps.select("g", "step", "m", _upto(["g"], ["step"], "m").alias("upto"), total.alias("total"))
+    here = _between(ranks(F.col("g"), F.col("total")), "m")
+    steps = steps.select("g", "step", "total", (F.col("upto") - F.col("m")).alias("before"), F.explode(here).alias("at"))
+    steps = durable(steps.select("g", "step", "total", "at", (F.col("at") - F.col("before")).alias("left")))
+
+    def inside(n: str) -> Column:
+        return (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col(n))
+
+    finer = known.join(steps.select("g", "step").distinct(), ["g", "step"], "left_semi")
+    finer = finer.groupBy("g", "step", "finer").agg(F.sum("n").alias("m"))
+    finer = finer.select("*", _upto(["g", "step"], ["finer"], "m").alias("upto"))
+    finer = finer.join(steps, ["g", "step"]).filter(inside("m"))
+    finer = finer.select("g", "step", "finer", "total", "at", (F.col("left") - (F.col("upto") - F.col("m"))).alias("left"))
+    last = known.join(finer, ["g", "step", "finer"])
+    last = last.select("*", _upto(["g", "step", "finer", "at"], ["x", "y"]).alias("upto"))
+    return last.filter(inside("n")).select("g", "total", "at", "x", "y")
+
+
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns one below the other: g (place among ``cols``), x and y."""
+    entries = [F.struct(F.lit(i).alias("g"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(_value(df, c) for c in cols)]
+    return df.select(F.inline(F.array(*entries))).filter(F.col("x").isNotNull())
+
+
+def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]]) -> dict[tuple[str, int], float]:
     """The k-th smallest non-missing values (k from 0) of several numeric columns, exactly.
 
-    Whole numbers stay whole. All columns of a kind and their ranks share each pass over the
-    table, and every (column, rank) is a group of its own.
+    Whole numbers stay whole. All columns and ranks share one pass over the table.
     """
-    kinds: dict[bool, list[str]] = {}
-    for c in wanted:
-        kinds.setdefault(isinstance(df.schema[c].dataType, T.IntegralType), []).append(c)
+    cols = list(wanted)
+    ranks = F.array(*(F.array(*(F.lit(k).cast("long") for k in wanted[c])) for c in cols))
     found = {}
-    for names in kinds.values():
-        values = df.select(*(_clean(df, c).alias(f"_{i}") for i, c in enumerate(names)))
-        found |= _narrowed(values, names, wanted, in_memory_rows)
-    return found
-
-
-def _narrowed(values: DataFrame, names: list[str], wanted, in_memory_rows: int) -> dict:
-    counts = values.agg(*(F.count(c).alias(c) for c in values.columns)).first()
-    found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> column of ``values``, bounds, rank and number of values between them
-    open_: dict[tuple[str, int], tuple] = {}
-    for i, c in enumerate(names):
-        for k in set(wanted[c]):
-            if not 0 <= k < counts[i]:
-                raise ValueError(f"rank {k} of {c}: there are {counts[i]} values")
-            open_[c, k] = (f"_{i}", None, None, k, counts[i])
-
-    def rows(slots: dict, cuts: dict | None = None) -> DataFrame:
-        """slot and value (and its part) of what is still in question."""
-        entries = []
-        for slot, (key, (x, low, high, _, _)) in enumerate(slots.items()):
-            fields = [F.lit(slot).alias("slot"), F.col(x).alias("x")]
-            if cuts:
-                fields.append(_part(F.col(x), F.array(*map(F.lit, cuts[key]))).alias("part"))
-            entries.append(F.when(_inside(F.col(x), low, high), F.struct(*fields)))
-        return values.select(F.inline(F.array_compact(F.array(*entries))))
-
-    while open_:
-        small = {key: s for key, s in open_.items() if s[4] <= in_memory_rows}
-        if small:
-            ranks = F.array(*(F.lit(s[3] + 1) for s in small.values()))
-            at = F.element_at(ranks, F.col("slot") + 1)
-            picked = (
-                rows(small).groupBy("slot").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-                .select("slot", F.element_at("xs", at.cast("int")).alias("x")).collect()
-            )
-            for row in picked:
-                key = list(small)[row["slot"]]
-                found[key] = row["x"]
-                del open_[key]
-        if not open_:
-            break
-        keys = list(open_)
-        cut_rows = rows(open_).groupBy("slot").agg(
-            F.percentile_approx("x", CUTS, ACCURACY).alias("cuts")
-        )
-        cuts = {keys[r["slot"]]: sorted(set(r["cuts"])) for r in cut_rows.collect()}
-        parts: dict[int, list] = {}
-        # At most twice the number of cuts per wanted rank.
-        for r in rows(open_, cuts).groupBy("slot", "part").count().orderBy("slot", "part").collect():
-            parts.setdefault(r["slot"], []).append((r["part"], r["count"]))
-        for slot, key in enumerate(keys):
-            x, low, high, k, _ = open_[key]
-            for part, n in parts[slot]:
-                if k < n:
-                    break
-                k -= n
-            at = part // 2
-            if part % 2:
-                found[key] = cuts[key][at]
-                del open_[key]
-            else:
-                low = cuts[key][at - 1] if at else low
-                high = cuts[key][at] if at < len(cuts[key]) else high
-                open_[key] = (x, low, high, k, n)
+    for r in _picked(_counted(_long(df, cols)), lambda g, _: F.element_at(ranks, g + 1)).collect():
+        c = cols[r["g"]]
+        found[c, r["at"]] = r["y"] if _whole(df, c) else r["x"]
+    for c in cols:
+        for k in wanted[c]:
+            if (c, k) not in found:
+                raise ValueError(f"rank {k} of {c}: there are fewer values")
     return found
 
 
 def column_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns with linear interpolation; missing values are skipped."""
+    cols = list(cols)
     if not cols:
         return {}
-    counted = df.agg(*(F.count(_clean(df, c)) for c in cols)).first()
-    if max(counted) <= in_memory_rows:
-        row = df.agg(
-            *(F.percentile(_clean(df, c), F.array(*map(F.lit, probs))) for c in cols)
-        ).first()
-        return {
-            c: list(x) if x is not None else [None] * len(probs)
-            for c, x in zip(cols, row, strict=True)
-        }
-    counts = dict(zip(cols, counted, strict=True))
-    places = {
-        c: [p * (counts[c] - 1) for p in probs] for c in cols if counts[c]
-    }
-    ranks = {
-        c: sorted({r for at in ats for r in (math.floor(at), math.ceil(at))})
-        for c, ats in places.items()
-    }
-    values = order_statistics(df, ranks, in_memory_rows)
+    places = [lambda total, p=p: F.lit(float(p)) * (total - 1) for p in probs]
+
+    def ranks(_: Column, total: Column) -> Column:
+        return F.array(*(f(place(total)).cast("long") for place in places for f in (F.floor, F.ceil)))
+
+    totals: dict[str, int] = {}
+    values: dict[tuple[str, int], float] = {}
+    for r in _picked(_counted(_long(df, cols)), ranks).collect():
+        c = cols[r["g"]]
+        totals[c] = r["total"]
+        values[c, r["at"]] = r["y"] if _whole(df, c) else r["x"]
 
     def between(c: str, at: float) -> float:
         low, high = math.floor(at), math.ceil(at)
@@ -161,110 +169,30 @@ def column_quantiles(
         return (high - at) * values[c, low] + (at - low) * values[c, high]
 
     return {
-        c: [between(c, at) for at in places[c]] if c in places else [None] * len(probs)
+        c: [between(c, float(p) * (totals[c] - 1)) for p in probs] if c in totals else [None] * len(probs)
         for c in cols
     }
 
 
-def grouped_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    cols: Sequence[str],
-    in_memory_rows: int = IN_MEMORY_ROWS,
-) -> DataFrame:
+def grouped_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Exact median of each column per group; missing values are skipped.
 
-    One aggregation while every group is within the bound. Larger groups are narrowed down.
+    Missing parts of a key are equal. A group without any value has no median but stays in the result.
     """
     keys, cols = list(keys), list(cols)
-    df = df.select(*keys, *(_clean(df, c).alias(c) for c in cols if c not in keys))
-    sizes = df.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= in_memory_rows:
-        return df.groupBy(*keys).agg(*(F.median(c).alias(c) for c in cols))
-    # A key with a missing part matches nothing in a join, so it stays with the small groups.
-    large = sizes.filter(F.col("count") > in_memory_rows).select(*keys).dropna()
-    small = df.join(large, keys, "left_anti")
-    narrowed = _narrowed_medians(df.join(large, keys, "left_semi"), keys, cols, in_memory_rows)
-    # A large group without any value has no median but stays in the result.
-    return small.groupBy(*keys).agg(*(F.median(c).alias(c) for c in cols)).unionByName(
-        large.join(narrowed, keys, "left")
-    )
-
-
-def _narrowed_medians(
-    df: DataFrame, keys: list[str], cols: list[str], in_memory_rows: int
-) -> DataFrame:
-    long = (
-        df.select(
-            *keys,
-            F.explode(
-                F.array(
-                    *(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("x"))
-                      for c in cols)
-                )
-            ).alias("_v"),
+    entries = [
+        F.struct(
+            F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.lit(j).alias("col")).alias("g"),
+            x.alias("x"),
+            y.alias("y"),
         )
-        .select(*keys, F.col("_v.col").alias("_col"), F.col("_v.x").alias("_x"))
-        .filter(F.col("_x").isNotNull())
-    )
-    slot = [*keys, "_col"]
-    counted = long.groupBy(*slot).agg(F.count("*").alias("_n"))
-    # The two middle ranks; the same one twice for an odd number of values.
-    middle = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
-    nothing = F.lit(None).cast("double")
-    state = durable(
-        counted.select(*slot, F.posexplode(middle).alias("_which", "_k"), "_n")
-        .withColumns({"_lo": nothing, "_hi": nothing, "_found": nothing})
-    )
-    one = [*slot, "_which"]
-
-    def inside(of: DataFrame) -> DataFrame:
-        after = F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))
-        before = F.col("_hi").isNull() | (F.col("_x") < F.col("_hi"))
-        return long.join(of, slot).filter(after & before)
-
-    while (state.filter("_found is null").agg(F.max("_n")).first()[0] or 0) > in_memory_rows:
-        large = state.filter((F.col("_found").isNull()) & (F.col("_n") > in_memory_rows))
-        cuts = inside(large).groupBy(*one).agg(
-            F.array_sort(F.array_distinct(F.percentile_approx("_x", CUTS, ACCURACY))).alias("_cuts")
-        )
-        large = durable(large.join(cuts, one))
-        parts = (
-            inside(large)
-            .groupBy(*one, _part(F.col("_x"), F.col("_cuts")).alias("_part"))
-            .agg(F.count("*").alias("_in"))
-        )
-        # At most twice the number of cuts per wanted rank.
-        upto = F.sum("_in").over(Window.partitionBy(*one).orderBy("_part"))
-        at = F.floor(F.col("_part") / 2).cast("int")
-        narrowed = (
-            parts.withColumn("_to", upto)
-            .join(large, one)
-            .filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_in")))
-            .select(
-                *one,
-                (F.col("_k") - (F.col("_to") - F.col("_in"))).alias("_k"),
-                F.col("_in").alias("_n"),
-                F.when(at > 0, F.try_element_at("_cuts", F.greatest(at, F.lit(1)))).otherwise(F.col("_lo")).alias("_lo"),
-                F.coalesce(F.try_element_at("_cuts", at + 1), F.col("_hi")).alias("_hi"),
-                F.when(F.col("_part") % 2 == 1, F.try_element_at("_cuts", at + 1)).alias("_found"),
-            )
-        )
-        rest = state.filter((F.col("_found").isNotNull()) | (F.col("_n") <= in_memory_rows))
-        state = durable(rest.unionByName(narrowed))
-    picked = (
-        inside(state.filter("_found is null"))
-        .groupBy(*one, "_k")
-        .agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-        .select(*slot, F.element_at("_xs", (F.col("_k") + 1).cast("int")).alias("_x"))
-    )
-    middles = picked.unionByName(
-        state.filter("_found is not null").select(*slot, F.col("_found").alias("_x"))
-    )
-    return (
-        middles.groupBy(*keys)
-        .pivot("_col", cols)
-        .agg(F.avg("_x"))
-        .select(*keys, *cols)
+        for j, (x, y) in enumerate(_value(df, c) for c in cols)
+    ]
+    counted = _counted(df.select(F.inline(F.array(*entries))))
+    middle = lambda _, total: F.array(F.floor((total - 1) / 2), F.floor(total / 2))
+    low, high = F.min("x"), F.max("x")
+    medians = _picked(counted, middle).groupBy("g").agg(F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("x"))
+    rows = medians.unionByName(counted.filter("x is null").select("g", "x"))
+    return rows.groupBy(*(F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys))).agg(
+        *(F.max(F.when(F.col("g.col") == j, F.col("x"))).alias(c) for j, c in enumerate(cols))
     )

@@ -17,47 +17,50 @@ from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import order_statistics
 from rillspark.session import durable
 
-# Digests are counted by this many more hex digits in each round: 65,536 ranges.
+# Digests are counted by this many more hex digits in each pass: 65,536 ranges.
 HEX_DIGITS = 4
-ROUNDS = 3
+ALL_DIGITS = 32
+RANKED_ROWS = 100_000
 
 
 def digest(keys: Sequence[Column], seed: int) -> Column:
     return F.md5(F.concat_ws("_", F.lit(str(seed)), *(k.cast("string") for k in keys)))
 
 
-def _digest_at(units: DataFrame, size: Column) -> DataFrame:
-    """One row, one column: the digest of the ``size``-th unit in digest order.
+def _digest_at(units: DataFrame, fraction: float) -> str | None:
+    """The digest of the ceil(fraction * n)-th unit in digest order; None without units.
 
-    Counts per digest range say in which range it lies; that range is cut further, and only what
-    shares all digits of the last round is ranked.
+    One pass counts the units by the first digits, which gives their number, the rank and the range it lies
+    in; a second one looks at that range alone. Only beyond some billions of units, or where one
+    digest has more units than a task should sort, are there passes for further digits.
     """
-    inside, rank = units, size
-    for round_ in range(1, ROUNDS + 1):
-        ranged = inside.withColumn("_range", F.substring("_digest", 1, HEX_DIGITS * round_))
-        counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    prefix, rank, n = "", None, None
+    for digits in range(HEX_DIGITS, ALL_DIGITS + 1, HEX_DIGITS):
+        ranges = F.substring("_digest", 1, digits).alias("_range")
+        counts = units.filter(F.startswith("_digest", F.lit(prefix))).groupBy(ranges).agg(F.count("*").alias("n"))
         # At most 16 ** HEX_DIGITS rows.
-        summed = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_range"))).withColumn(
-            "size", rank
-        )
-        crossing = summed.filter(
-            (F.col("upto") >= F.col("size")) & (F.col("upto") - F.col("n") < F.col("size"))
-        ).select(
-            F.struct("_range", (F.col("size") - (F.col("upto") - F.col("n"))).alias("rank"))
-        ).scalar()
-        inside = ranged.filter(F.col("_range") == crossing["_range"]).select(*units.columns)
-        rank = crossing["rank"]
-    ranked = inside.withColumn("_rank", F.row_number().over(Window.orderBy("_digest")))
-    return ranked.filter(F.col("_rank") == rank).select("_digest")
+        total = F.sum("n").over(Window.partitionBy())
+        size = F.ceil(total * F.lit(float(fraction))) if rank is None else F.lit(rank)
+        upto = F.sum("n").over(Window.orderBy("_range"))
+        summed = counts.select("_range", "n", upto.alias("upto"), size.alias("size"))
+        crossing = summed.filter("upto >= size and upto - n < size").first()
+        if crossing is None:
+            return None
+        prefix, n = crossing["_range"], crossing["n"]
+        rank = crossing["size"] - (crossing["upto"] - n)
+        if n <= RANKED_ROWS or digits == ALL_DIGITS:
+            break
+    if len(prefix) == ALL_DIGITS:
+        return prefix
+    inside = units.filter(F.startswith("_digest", F.lit(prefix)))
+    return inside.agg(F.sort_array(F.collect_list("_digest"))[rank - 1]).first()[0]
 
 
 def _split(df: DataFrame, keys: Sequence[str], units: DataFrame, fraction: float, seed: int,
            exact: bool) -> DataFrame:
     own = digest([F.col(k) for k in keys], seed)
     if exact:
-        units = units.select(own.alias("_digest"))
-        size = F.ceil(F.sum("n").over(Window.partitionBy()) * F.lit(float(fraction)))
-        last = _digest_at(units, size).scalar()
+        last = F.lit(_digest_at(units.select(own.alias("_digest")), fraction))
     else:
         last = F.lit(f"{math.floor(fraction * 16 ** 8):08x}")
     test = own <= last if exact else own < last

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from rillspark.operators import quantiles, stats, triage, zonal
 
 
+@pytest.fixture(params=[2, 10**6])
+def ordered_values(request, monkeypatch):
+    """Crowded groups from so many different values on."""
+    monkeypatch.setattr(quantiles, "ORDERED_VALUES", request.param)
+
+
 def values(seed=1, n=900):
     rng = random.Random(seed)
     # A third is one value; the rest spans many orders of magnitude.
@@ -22,18 +28,16 @@ def table(spark):
     return spark.createDataFrame(rows, "i int, x double, y double, z double").cache()
 
 
-@pytest.mark.parametrize("in_memory_rows", [1, 10, 100, 10**6])
-def test_order_statistics(table, in_memory_rows):
+def test_order_statistics(table, ordered_values):
     xs = sorted(values())
     wanted = [0, 1, 299, 450, 899]
-    got = quantiles.order_statistics(table, {"x": wanted}, in_memory_rows)
+    got = quantiles.order_statistics(table, {"x": wanted})
     assert got == {("x", k): xs[k] for k in wanted}
 
 
-@pytest.mark.parametrize("in_memory_rows", [5, 10**6])
-def test_column_quantiles_match_percentile(table, in_memory_rows):
+def test_column_quantiles_match_percentile(table, ordered_values):
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = quantiles.column_quantiles(table, ["x", "y", "z"], probs, in_memory_rows)
+    got = quantiles.column_quantiles(table, ["x", "y", "z"], probs)
     expected = table.agg(
         *(F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in "xy")
     ).first()
@@ -47,8 +51,7 @@ def test_rank_out_of_range(table):
         quantiles.order_statistics(table, {"y": [10**6]})
 
 
-@pytest.mark.parametrize("in_memory_rows", [3, 20, 10**6])
-def test_grouped_median_of_a_hot_group(spark, in_memory_rows):
+def test_grouped_median_of_a_hot_group(spark, ordered_values):
     rng = random.Random(4)
     rows = [("hot", rng.gauss(0, 1e6), 5.0) for _ in range(301)]
     rows += [(f"g{i % 20}", rng.gauss(0, 1), None if i % 2 else float(i)) for i in range(200)]
@@ -57,7 +60,7 @@ def test_grouped_median_of_a_hot_group(spark, in_memory_rows):
     df = spark.createDataFrame(rows, "g string, x double, y double")
     got = {
         r["g"]: (r["x"], r["y"])
-        for r in quantiles.grouped_median(df, ["g"], ["x", "y"], in_memory_rows).collect()
+        for r in quantiles.grouped_median(df, ["g"], ["x", "y"]).collect()
     }
 
     def median(g, i):
@@ -127,18 +130,28 @@ def test_correlation_skips_absent_columns(spark):
     assert len(got) == 4 and got["a", "b"] == got["b", "a"] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("in_memory_rows", [5, 10**6])
-def test_infinities_nan_and_large_whole_numbers(spark, in_memory_rows):
+def test_infinities_nan_and_large_whole_numbers(spark, ordered_values):
     inf, nan = float("inf"), float("nan")
     xs = [float(i) for i in range(45)] + [inf, inf, -inf, nan, nan, None]
     rows = [(i, x, 2**53 + i) for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "i int, x double, big long")
     kept = sorted(x for x in xs if x is not None and x == x)
     wanted = {"x": [0, 1, 20, 46, 47], "big": [1, 25, 50]}
-    got = quantiles.order_statistics(df, wanted, in_memory_rows)
+    got = quantiles.order_statistics(df, wanted)
     assert got == {("x", k): kept[k] for k in wanted["x"]} | {
         ("big", k): 2**53 + k for k in wanted["big"]
     }
-    assert quantiles.column_quantiles(df, ["x"], [0.5, 1.0], in_memory_rows)["x"] == [22.5, inf]
+    assert quantiles.column_quantiles(df, ["x"], [0.5, 1.0])["x"] == [22.5, inf]
     grouped = df.withColumn("g", F.lit("one"))
-    assert quantiles.grouped_median(grouped, ["g"], ["x"], in_memory_rows).first()["x"] == 22.5
+    assert quantiles.grouped_median(grouped, ["g"], ["x"]).first()["x"] == 22.5
+
+
+def test_steps_keep_the_order(spark):
+    rng = random.Random(6)
+    xs = [s * m * 2.0**e for e in (-1074, -1022, -1, 0, 1, 52, 1023) for m in (1.0, 1.0000001, 1.5) for s in (-1, 1)]
+    xs += [0.0, float("inf"), float("-inf"), 5e-324, 1.7976931348623157e308, 0.1, 0.1 + 2**-54]
+    xs += [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-30, 30) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in set(xs) if x == x], "x double")
+    rows = sorted(quantiles._with_steps(df).collect())
+    assert [(r.step, r.finer) for r in rows] == sorted((r.step, r.finer) for r in rows)
+    assert len({(r.step, r.finer) for r in rows}) > 530

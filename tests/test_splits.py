@@ -43,6 +43,17 @@ def test_group_split_keeps_places_whole(rows, exact):
         assert 0 < test_groups < check["groups"]
 
 
+def test_exact_split_by_many_passes_and_equal_digests(rows, monkeypatch):
+    plain = sides(split.random_split(rows, ["id"], 0.3))
+    monkeypatch.setattr(split, "HEX_DIGITS", 1)
+    monkeypatch.setattr(split, "RANKED_ROWS", 2)
+    assert sides(split.random_split(rows, ["id"], 0.3)) == plain
+    # One key in a third of all rows has one digest and stays whole.
+    tests = split.random_split(rows, ["site"], 0.5).groupBy("site").agg(F.countDistinct("split").alias("n"))
+    assert tests.filter("n > 1").isEmpty()
+    assert sides(split.random_split(rows.limit(0), ["id"])) == {}
+
+
 def test_leak_is_seen(rows):
     leaky = split.random_split(rows, ["id"])
     assert split.groups_in_both(leaky, ["site"]).first()["groups_in_both"] > 0
