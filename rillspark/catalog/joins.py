@@ -164,33 +164,110 @@ def j7(v):
     return pairs.select("lat", "lon", "scene_id")
 
 
-@query(
-    "j7_j6_scene_per_sample",
-    """with places as (select distinct lat, lon from samples),
-       covering as (
-         select p.lat, p.lon, s.scene_id, s.ts as scene_ts from places p
-         join scenes s on s.cloud_cover < 10
-          and p.lat - cast(0.00089831 as double) / 2 <= s.max_lat
-          and s.min_lat <= p.lat + cast(0.00089831 as double) / 2
-          and p.lon - cast(0.00089831 as double) / 2 <= s.max_lon
-          and s.min_lon <= p.lon + cast(0.00089831 as double) / 2),
-       shifted as (select sample_id, lat, lon, cast(date '2024-01-01' + cast(dayofyear(d) % 30 as int) as timestamp) as at
-                   from samples)
+# Samples moved into the month of the scenes.
+SHIFTED_SQL = """
+    shifted as (select sample_id, lat, lon, status,
+                       cast(date '2024-01-01' + cast(dayofyear(d) % 30 as int) as timestamp) as at
+                from samples)"""
+
+
+def shifted(v):
+    return v.samples().select(
+        "sample_id", "lat", "lon", "status",
+        F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("d") % 30)
+        .cast("timestamp_ntz").alias("at"),
+    )
+
+
+def _covering_sql(half: str, scenes: str) -> str:
+    return f"""p.lat - {half} <= {scenes}.max_lat and {scenes}.min_lat <= p.lat + {half}
+          and p.lon - {half} <= {scenes}.max_lon and {scenes}.min_lon <= p.lon + {half}"""
+
+
+BAND_HALF_SQL = "cast(0.00089831 as double) / 2"
+
+
+def _scene_sql(scenes: str) -> str:
+    return f"""with places as (select distinct lat, lon from samples),
+       covering as (select p.lat, p.lon, s.scene_id, s.ts as scene_ts from places p
+         join scenes s on s.cloud_cover < 10 and {scenes} and {_covering_sql(BAND_HALF_SQL, 's')}),
+       {SHIFTED_SQL}
        select s.sample_id, s.at, c.scene_id from shifted s
        left join covering c on c.lat = s.lat and c.lon = s.lon
        qualify row_number() over (partition by s.sample_id
-               order by abs(epoch_us(s.at) - epoch_us(c.scene_ts)), c.scene_ts, c.scene_id) = 1""",
-)
+               order by abs(epoch_us(s.at) - epoch_us(c.scene_ts)), c.scene_ts, c.scene_id) = 1"""
+
+
+@query("j7_j6_scene_per_sample", _scene_sql("true"))
 def scene_per_sample(v):
-    samples = v.samples().select(
-        "sample_id", "lat", "lon",
-        F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("d") % 30)
-        .cast("timestamp_ntz").alias("at"),
+    found = enrichment.scene_per_sample(shifted(v), v.scenes(), "at")
+    return found.select("sample_id", "at", "scene_id")
+
+
+@query(
+    "j7_j6_scene_in_period",
+    _scene_sql("s.ts >= timestamp '2024-01-08' and s.ts < timestamp '2024-01-21'"),
+)
+def scene_in_period(v):
+    found = enrichment.scene_per_sample(
+        shifted(v), v.scenes(), "at", period=("2024-01-08", "2024-01-20")
     )
-    found = enrichment.scene_per_sample(samples, v.scenes(), "at")
     return found.select("sample_id", "at", "scene_id")
 
 
+@query(
+    "j7_j6_scene_within_days",
+    f"""with {SHIFTED_SQL},
+        asked as (select distinct lat, lon, shifted.at from shifted),
+        hit as (
+          select p.lat, p.lon, p.at, s.scene_id from asked p
+          join scenes s on s.cloud_cover < 10
+           and abs(epoch_us(p.at) - epoch_us(s.ts)) <= 2 * 86400000000 and {_covering_sql(BAND_HALF_SQL, 's')}
+          qualify row_number() over (partition by p.lat, p.lon, p.at
+                  order by abs(epoch_us(p.at) - epoch_us(s.ts)), s.ts, s.scene_id) = 1)
+        select s.sample_id, s.at, h.scene_id from shifted s
+        left join hit h on h.lat = s.lat and h.lon = s.lon and h.at = s.at""",
+)
+def scene_within_days(v):
+    found = enrichment.scene_within_days(shifted(v), v.scenes(), "at", 2)
+    return found.select("sample_id", "at", "scene_id")
+
+
+@query(
+    "j7_monthly_ndci",
+    f"""with {SHIFTED_SQL},
+        months as (select lat, lon, date_trunc('month', shifted.at)::date as month, bool_or(status = 'F') as done
+                   from shifted group by all),
+        hit as (
+          select p.lat, p.lon, p.month, s.scene_id from months p
+          join scenes s on not p.done and s.cloud_cover < 30
+           and date_trunc('month', s.ts)::date = p.month and {_covering_sql('cast(0.0001 as double)', 's')}
+          qualify row_number() over (partition by p.lat, p.lon, p.month order by s.ts, s.scene_id) = 1),
+        means as (
+          select patch, avg(value) filter (band = 'nir') as up, avg(value) filter (band = 'red') as low
+          from pixels group by patch),
+        ratios as (
+          select h.lat, h.lon, h.month, round((up - low) / nullif(up + low, 0), 9) as ndci
+          from hit h join means m on m.patch = h.scene_id)
+        select s.sample_id, m.done, r.ndci from shifted s
+        left join months m on m.lat = s.lat and m.lon = s.lon and m.month = date_trunc('month', s.at)::date
+        left join ratios r on r.lat = m.lat and r.lon = m.lon and r.month = m.month""",
+)
+def monthly_ndci(v):
+    samples = shifted(v)
+    month = F.trunc("at", "month").cast("date").alias("month")
+    done = samples.filter("status = 'F'").select("lat", "lon", month).distinct()
+    values = v.pixels().withColumnRenamed("patch", "scene_id")
+    made = enrichment.monthly_ndci(samples, v.scenes(), values, "at", done, bands=("nir", "red"))
+    # The rows of the run before, whose values are not at hand, are marked.
+    both = made.withColumn("done", F.lit(False)).unionByName(
+        done.select("*", F.lit(None).cast("double").alias("ndci"), F.lit(True).alias("done"))
+    )
+    out = enrichment.with_monthly(samples, both, "at", "done")
+    out = enrichment.with_monthly(out, made, "at", "ndci")
+    return out.select("sample_id", "done", F.round("ndci", 9).alias("ndci"))
+
+
 @query(
     "j8_nearest_grid_cell",
     f"""with {NEAREST_CELL_SQL}

@@ -1,9 +1,10 @@
-"""Cutting long series into chunks of time.
+"""Cutting series into chunks of about equal size.
 
-A window over a whole series puts all its rows into one task. Operators on raw observations
-therefore window over (series, chunk) and carry what crosses a border in a summary with one row
-per chunk. The chunk has to be short enough for the densest stretch of the largest series, and no
-shorter than that, since the summary has a row for each.
+A window over a whole series puts all its rows into one task. Operators on raw observations therefore
+window over (series, chunk) and carry what crosses a border in a summary with one row per series and chunk.
+Borders are those of a sort over ranges of (series, order): a dense series, or a dense second of one, is cut as
+often as it has tasks' worth of rows, a sparse one lies within a task and is cut at most where the task ends. So there
+are no more summaries than series and tasks together, and no series has more than there are tasks.
 """
 
 from __future__ import annotations
@@ -13,48 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNITS = ("year", "month", "week", "day", "hour", "minute", "second")
-ROWS_PER_CHUNK = 1_000_000
+from rillspark.session import durable
 
 
-def chunk_of(us: Column, unit: str) -> Column:
-    """Start of the chunk that an instant (microseconds) lies in."""
-    return F.date_trunc(unit, F.timestamp_micros(us))
+def in_chunks(
+    df: DataFrame, order: Sequence[Column | str], chunks: int | None = None, name: str = "_chunk"
+) -> DataFrame:
+    """The rows, written down, with the number of their chunk; numbers rise along ``order``.
 
-
-def chunk_unit(
-    df: DataFrame, series: Sequence[str], us: Column, rows: int = ROWS_PER_CHUNK
-) -> str:
-    """The longest unit of time whose fullest chunk has at most ``rows`` rows.
-
-    Only series above that size need a cut. Their rows are counted by hour, which answers for all
-    units down to the hour; finer ones are tried one by one.
+    ``order`` starts with the series and should be total, as equal rows stay together. Without ``chunks`` there
+    are as many as the session has shuffle partitions, less what adaptive execution merges.
     """
-    large = df.groupBy(*series).count().filter(F.col("count") > rows).select(*series)
-    if large.isEmpty():
-        return UNITS[0]
-    df = df.join(large, list(series), "left_semi")
-    hours = df.groupBy(*series, chunk_of(us, "hour").alias("_at")).agg(F.count("*").alias("_n"))
-    coarse = UNITS[: UNITS.index("hour") + 1]
-    units = F.array(
-        *(
-            F.struct(F.lit(u).alias("_unit"), F.date_trunc(u, F.col("_at")).alias("_start"))
-            for u in coarse
-        )
-    )
-    fullest = dict(
-        hours.select(*series, "_n", F.inline(units))
-        .groupBy(*series, "_unit", "_start")
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_unit")
-        .agg(F.max("_n"))
-        .collect()
-    )
-    for unit in coarse:
-        if fullest[unit] <= rows:
-            return unit
-    for unit in UNITS[len(coarse):-1]:
-        sizes = df.groupBy(*series, chunk_of(us, unit)).count()
-        if sizes.agg(F.max("count")).first()[0] <= rows:
-            return unit
-    return UNITS[-1]
+    number = () if chunks is None else (chunks,)
+    ranged = df.repartitionByRange(*number, *order)
+    # Written once: borders come from a sample and would not be the same in another run.
+    return durable(ranged.withColumn(name, F.spark_partition_id()))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillspark.functions.dates import micros, month_start
-from rillspark.operators.chunks import chunk_of, chunk_unit
+from rillspark.operators.chunks import in_chunks
 from rillspark.session import durable
 
 TIES = ("earlier", "later")
@@ -22,7 +22,7 @@ def nearest_in_time(
     left_ts: str,
     right_ts: str,
     right_id: str,
-    chunk: str | None = None,
+    chunks: int | None = None,
     tie: str = "earlier",
 ) -> DataFrame:
     """For each left row, the right row of the same key that is closest in time.
@@ -30,10 +30,10 @@ def nearest_in_time(
     ``tie`` says which of two equally distant rows wins; among right rows of one instant the
     smallest ``right_id`` does, which is unique there. A left row without any partner gets NULLs.
 
-    The search itself sees only distinct (key, instant) pairs of both sides. A series is searched
-    in chunks of time (a unit found by counting, unless ``chunk`` names one): windows run over
-    (key, chunk), and the closest instants of other chunks come from a summary with one row per
-    chunk. So a key that holds a large share of the data spreads over many tasks.
+    The search itself sees only distinct (key, instant) pairs of both sides, cut into chunks of about
+    equal size (``chunks`` says how many): windows run over (key, chunk), and the closest instants
+    of other chunks come from a summary with one row per key and chunk. So a key that holds a large share of the
+    data spreads over many tasks.
     """
     if tie not in TIES:
         raise ValueError(f"tie must be one of {TIES}")
@@ -61,10 +61,7 @@ def nearest_in_time(
             F.min("_id").alias("_id"),
         )
     )
-    # Counted for the chunks and then searched: worked out once.
-    both = durable(both)
-    unit = chunk or chunk_unit(both, keys, F.col("_us"))
-    cut = both.withColumn("_chunk", chunk_of(F.col("_us"), unit)).filter("_chunk is not null")
+    cut = in_chunks(both, [*keys, "_us"], chunks)
     seen_us = F.when(F.col("_seen"), F.col("_us"))
     seen = F.when(F.col("_seen"), F.struct("_us", "_id"))
     part = Window.partitionBy(*keys, "_chunk")
@@ -77,7 +74,7 @@ def nearest_in_time(
         F.last(seen, ignorenulls=True).over(desc).alias("_after"),
     ).filter("_wanted")
 
-    chunks = cut.groupBy(*keys, "_chunk").agg(
+    borders = cut.groupBy(*keys, "_chunk").agg(
         F.bool_or("_wanted").alias("_wanted"),
         F.min(seen_us).alias("_first_us"), F.min_by("_id", seen_us).alias("_first_id"),
         F.max(seen_us).alias("_last_us"), F.max_by("_id", seen_us).alias("_last_id"),
@@ -90,7 +87,7 @@ def nearest_in_time(
         us, rid = F.col(f"_{side}_us"), F.col(f"_{side}_id")
         return F.when(us.isNotNull(), F.struct(us.alias("_us"), rid.alias("_id")))
 
-    carried = chunks.select(
+    carried = borders.select(
         *keys, "_chunk", "_wanted",
         F.last(end("last"), ignorenulls=True).over(earlier).alias("_carry_before"),
         F.last(end("first"), ignorenulls=True).over(later).alias("_carry_after"),
@@ -329,7 +326,7 @@ def nearest_point_and_time(
     climate_date: str,
     place_cols: tuple[str, str] = ("lat", "lon"),
     point_cols: tuple[str, str] = ("plat", "plon"),
-    chunk: str | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Value of the nearest point at its nearest time; of two equal times the earlier.
 
@@ -344,5 +341,5 @@ def nearest_point_and_time(
         .select(*point_cols, climate_date, *(F.col(f"_one.{v}").alias(v) for v in variables))
     )
     return nearest_in_time(
-        placed, series, point_cols, date, climate_date, right_id=climate_date, chunk=chunk
+        placed, series, point_cols, date, climate_date, right_id=climate_date, chunks=chunks
     )

@@ -77,10 +77,10 @@ def _upto(by: list[str], order: list[str], n: str = "n") -> Column:
 def _picked(counted: DataFrame, ranks: Callable[[Column, Column], Column]) -> DataFrame:
     """g, total, at, x, y: the values at the ranks (from 0) that ``ranks`` makes of g and its total."""
     known = counted.filter(F.col("x").isNotNull())
-    crowded = known.groupBy("g").count().filter(F.col("count") > ORDERED_VALUES).select("g")
-    crowded = durable(crowded)
-    if crowded.isEmpty():
+    sizes = known.groupBy("g").count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= ORDERED_VALUES:
         return _ordered(known, ranks)
+    crowded = sizes.filter(F.col("count") > ORDERED_VALUES).select("g")
     few = _ordered(known.join(crowded, "g", "left_anti"), ranks)
     return few.unionByName(_stepwise(known.join(crowded, "g", "left_semi"), ranks))
 
@@ -174,25 +174,45 @@ def column_quantiles(
     }
 
 
+def _medians(values: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Medians of x per g = (key parts k0, k1, ..., place among ``cols``), a column each."""
+    counted = _counted(values)
+    middle = lambda _, total: F.array(F.floor((total - 1) / 2), F.floor(total / 2))
+    picked = _picked(counted, middle).select("g", "x")
+    # Groups without any value are rows of their own.
+    rows = picked.unionByName(counted.filter("x is null").select("g", "x"))
+
+    def median(at: int) -> Column:
+        x = F.when(F.col("g.col") == at, F.col("x"))
+        return F.when(F.min(x) == F.max(x), F.min(x)).otherwise(0.5 * F.min(x) + 0.5 * F.max(x))
+
+    return rows.groupBy(*(F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys))).agg(
+        *(median(at).alias(c) for at, c in enumerate(cols))
+    )
+
+
+def _group(keys: Sequence[str], at: Column) -> Column:
+    return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), at.alias("col")).alias("g")
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Exact median of each column per group; missing values are skipped.
 
     Missing parts of a key are equal. A group without any value has no median but stays in the result.
     """
-    keys, cols = list(keys), list(cols)
-    entries = [
-        F.struct(
-            F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.lit(j).alias("col")).alias("g"),
-            x.alias("x"),
-            y.alias("y"),
-        )
-        for j, (x, y) in enumerate(_value(df, c) for c in cols)
-    ]
-    counted = _counted(df.select(F.inline(F.array(*entries))))
-    middle = lambda _, total: F.array(F.floor((total - 1) / 2), F.floor(total / 2))
-    low, high = F.min("x"), F.max("x")
-    medians = _picked(counted, middle).groupBy("g").agg(F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("x"))
-    rows = medians.unionByName(counted.filter("x is null").select("g", "x"))
-    return rows.groupBy(*(F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys))).agg(
-        *(F.max(F.when(F.col("g.col") == j, F.col("x"))).alias(c) for j, c in enumerate(cols))
-    )
+    values = ((F.lit(j), *_value(df, c)) for j, c in enumerate(cols))
+    entries = [F.struct(_group(keys, at), x.alias("x"), y.alias("y")) for at, x, y in values]
+    return _medians(df.select(F.inline(F.array(*entries))), list(keys), list(cols))
+
+
+def named_medians(
+    df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]
+) -> DataFrame:
+    """Exact median per group of the values that go by each of ``names``, a column per name.
+
+    Groups stay as in ``grouped_median``, also those with other names only.
+    """
+    at = F.coalesce(*(F.when(F.col(name) == n, F.lit(i)) for i, n in enumerate(names)), F.lit(-1))
+    x, y = _value(df, value)
+    values = df.select(_group(keys, at), F.when(at >= 0, x).alias("x"), F.when(at >= 0, y).alias("y"))
+    return _medians(values, list(keys), list(names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ from rillspark.session import durable
 
 PAIRS_PER_TASK = 50_000_000
 
+
+@dataclass(frozen=True)
+class During:
+    """A span of the left rows that an instant of the right rows has to lie in, ends included.
+
+    All in one whole unit; ``bucket`` is the length of a join bucket, about that of the spans.
+    """
+
+    start: Column
+    end: Column
+    instant: Column
+    bucket: int
+
+
 def _cell(edge: Column, size: float) -> Column:
     return F.floor(edge / F.lit(size))
 
@@ -41,6 +57,7 @@ def overlap_join(
     right_box: Box,
     cell_size: float,
     pairs_per_task: int = PAIRS_PER_TASK,
+    during: During | None = None,
 ) -> DataFrame:
     """All pairs of rows whose boxes overlap, edges included.
 
@@ -50,6 +67,9 @@ def overlap_join(
     size of the larger boxes. Rows of both sides are counted per cell first: where their product
     is above ``pairs_per_task`` the right rows of the cell are dealt over as many tasks as it
     takes, and the left rows are copied to each.
+
+    With ``during`` only pairs whose times meet as well are made: time buckets are part of the
+    join key, several for a left row and one for a right row.
     """
     shared = set(left.columns) & set(right.columns)
     if shared:
@@ -57,6 +77,13 @@ def overlap_join(
     a = _covered(left, left_box, cell_size, "_l_")
     b = _covered(right, right_box, cell_size, "_r_")
     cell = ["_cy", "_cx"]
+    if during:
+        cell.append("_ct")
+        bucket = lambda us: F.floor(us / F.lit(during.bucket))
+        a = a.withColumns({"_l_start": during.start, "_l_end": during.end}).withColumn(
+            "_ct", F.explode(F.sequence(bucket(F.col("_l_start")), bucket(F.col("_l_end"))))
+        )
+        b = b.withColumn("_r_at", during.instant).withColumn("_ct", bucket(F.col("_r_at")))
     counted = a.groupBy(*cell).agg(F.count("*").alias("_l")).join(
         b.groupBy(*cell).agg(F.count("*").alias("_r")), cell
     )
@@ -81,8 +108,11 @@ def overlap_join(
     ) & (
         F.col("_cx") == F.greatest(_cell(l_box.min_lon, cell_size), _cell(r_box.min_lon, cell_size))
     )
+    meet = boxes_overlap(l_box, r_box) & first_shared
+    if during:
+        meet &= F.col("_r_at").between(F.col("_l_start"), F.col("_l_end"))
     return (
         a.join(b, keys)
-        .filter(boxes_overlap(l_box, r_box) & first_shared)
+        .filter(meet)
         .select(*left.columns, *right.columns)
     )

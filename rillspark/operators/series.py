@@ -2,7 +2,7 @@
 
 Two kinds of series occur. Resampled or gridded ones hold one row per step, so a group is bounded
 by the calendar and a plain window per series is enough. Raw observations have no such bound:
-there, windows run over (series, chunk of time) and what crosses a chunk border is carried in a
+there, windows run over (series, chunk) and what crosses a chunk border is carried in a
 summary with one row per chunk.
 """
 
@@ -13,8 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillspark.functions.dates import micros
-from rillspark.operators.chunks import chunk_of, chunk_unit
+from rillspark.operators.chunks import in_chunks
 
 # step name -> (truncation unit, interval between steps)
 STEPS = {
@@ -95,18 +94,15 @@ def fill_forward_back(
     series: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    chunk: str | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Fill gaps of raw observations with the last value before, else the first one after.
 
-    ``order`` starts with the time column and must be a total order within a series. A series is
-    cut into chunks of time (a unit found by counting, unless ``chunk`` names one), so that a
-    long one spreads over many tasks.
+    ``order`` must be a total order within a series. Rows are cut into chunks of about equal size
+    (``chunks`` says how many), so that a long series spreads over many tasks, however dense it is.
     """
     series, order, values = list(series), list(order), list(values)
-    us = micros(F.col(order[0]))
-    unit = chunk or chunk_unit(df, series, us)
-    cut = df.withColumn("_chunk", chunk_of(us, unit))
+    cut = in_chunks(df, [*series, *order], chunks)
     part = Window.partitionBy(*series, "_chunk")
     so_far = (Window.unboundedPreceding, Window.currentRow)
     asc = part.orderBy(*(F.col(o).asc() for o in order)).rowsBetween(*so_far)
@@ -117,14 +113,14 @@ def fill_forward_back(
         known = F.when(F.col(v).isNotNull(), position)
         ends[f"_first_{v}"] = F.min_by(v, known)
         ends[f"_last_{v}"] = F.max_by(v, known)
-    chunks = cut.groupBy(*series, "_chunk").agg(*(x.alias(name) for name, x in ends.items()))
+    borders = cut.groupBy(*series, "_chunk").agg(*(x.alias(name) for name, x in ends.items()))
     earlier = Window.partitionBy(*series).orderBy(F.col("_chunk").asc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
     later = Window.partitionBy(*series).orderBy(F.col("_chunk").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = chunks.select(
+    carried = borders.select(
         *series,
         "_chunk",
         *(F.last(f"_last_{v}", True).over(earlier).alias(f"_prev_{v}") for v in values),

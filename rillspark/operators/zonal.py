@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillspark.functions.indices import ndci
 from rillspark.functions.numeric import share, slope_degrees, zero_to_null
-from rillspark.operators.quantiles import grouped_median
+from rillspark.operators.quantiles import named_medians
 
 # The class codes reported as shares.
 LAND_COVER_CLASSES = {"perc_agri": 40, "perc_urban": 50, "perc_grass": 30, "perc_forest": 10}
@@ -24,10 +24,7 @@ def band_medians(
     value: str = "value",
 ) -> DataFrame:
     """Exact median per band of each patch, one column per band; a median of 0 is missing."""
-    wide = pixels.select(
-        *keys, *(F.when(F.col(band) == b, F.col(value)).alias(b) for b in bands)
-    )
-    medians = grouped_median(wide, keys, bands)
+    medians = named_medians(pixels, keys, band, value, bands)
     return medians.select(*keys, *(zero_to_null(F.col(b)).alias(b) for b in bands))
 
 

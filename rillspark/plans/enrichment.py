@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.functions.dates import with_calendar
+from rillspark.functions.dates import micros, with_calendar
 from rillspark.functions.indices import with_interactions, with_spectral_indices
-from rillspark.functions.places import Box, box_of_width, BAND_BOX_WIDTH
+from rillspark.functions.places import BAND_BOX_WIDTH, MONTHLY_INDEX_HALF, Box, box_around, box_of_width
 from rillspark.operators.columns import clear_scenes
 from rillspark.operators.joins import enrich
 from rillspark.operators.nearest import Axis, nearest_grid_cell, nearest_in_time
-from rillspark.operators.ranges import overlap_join
+from rillspark.operators.ranges import During, overlap_join
 from rillspark.operators.series import rolling
+from rillspark.operators.zonal import band_ratio
+from rillspark.session import durable
+from rillspark.sources.io import remaining
+
+MICROS_PER_DAY = 86_400_000_000
 
 ANTECEDENT = {
     "ppt_3mo": ("ppt", "sum", 3),
@@ -47,20 +52,82 @@ def feature_table(
 
 def scene_per_sample(
     samples: DataFrame, scenes: DataFrame, date: str, max_cloud: float = 10.0,
-    width: float = BAND_BOX_WIDTH, cell_size: float = 1.0, chunk: str | None = None,
+    width: float = BAND_BOX_WIDTH, cell_size: float = 1.0, chunks: int | None = None,
+    period: tuple[str, str] | None = None,
 ) -> DataFrame:
     """For each sample the clear scene over its place that is nearest in time.
 
-    Places are looked up once each, however many samples they have.
+    Places are looked up once each, however many samples they have. ``period`` keeps the scenes of its first
+    to its last day; the scan leaves out the others.
     """
-    clear = clear_scenes(scenes, max_cloud)
+    clear = clear_scenes(scenes, max_cloud, period)
     footprint = Box(*(F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")))
     places = samples.select("lat", "lon").distinct()
     covering = overlap_join(
         places, box_of_width(F.col("lat"), F.col("lon"), width), clear, footprint, cell_size
     ).select("lat", "lon", "scene_id", F.col("ts").alias("scene_ts"))
     return nearest_in_time(
-        samples, covering, ["lat", "lon"], date, "scene_ts", "scene_id", chunk
+        samples, covering, ["lat", "lon"], date, "scene_ts", "scene_id", chunks
     )
 
 
+def scene_within_days(
+    samples: DataFrame, scenes: DataFrame, date: str, days: int, max_cloud: float = 10.0,
+    width: float = BAND_BOX_WIDTH, cell_size: float = 1.0,
+) -> DataFrame:
+    """For each sample the clear scene over its place that is nearest, at most ``days`` away.
+
+    Adds scene_id and scene_ts, missing where there is none; of two equal distances the earlier scene and
+    then the smaller id. Only pairs within the days are made: place and time are joined at once.
+    """
+    clear = clear_scenes(scenes, max_cloud)
+    footprint = Box(*(F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")))
+    span = days * MICROS_PER_DAY
+    asked = samples.select("lat", "lon", date).distinct().withColumn("_us", micros(F.col(date)))
+    pairs = overlap_join(
+        asked.filter("_us is not null"), box_of_width(F.col("lat"), F.col("lon"), width), clear, footprint, cell_size,
+        during=During(F.col("_us") - span, F.col("_us") + span, micros(F.col("ts")), max(span, 1)),
+    )
+    us = micros(F.col("ts"))
+    nearest = pairs.groupBy("lat", "lon", date).agg(
+        F.min(F.struct(F.abs(us - F.col("_us")).alias("gap"), F.col("ts").alias("scene_ts"), "scene_id")).alias("_hit")
+    )
+    hits = nearest.select("lat", "lon", date, "_hit.scene_id", "_hit.scene_ts")
+    return samples.join(hits, ["lat", "lon", date], "left")
+
+
+def monthly_ndci(
+    samples: DataFrame, scenes: DataFrame, values: DataFrame, date: str, done: DataFrame | None = None,
+    max_cloud: float = 30.0, half: float = MONTHLY_INDEX_HALF, cell_size: float = 1.0,
+    bands: tuple[str, str] = ("B05", "B04"),
+) -> DataFrame:
+    """lat, lon, month and ndci of every place and month that is not in ``done``, keyed alike.
+
+    Of the scenes of the month over the place with little cloud the first counts (by time, then id); the ratio
+    is that of the means of its bands. A place and month without a scene, or a ratio without a
+    denominator, gives a missing ndci, and is done all the same. ``values`` has scene_id, band and value.
+    """
+    month = F.trunc(date, "month").cast("date")
+    asked = samples.select("lat", "lon", month.alias("month")).filter("month is not null").distinct()
+    if done is not None:
+        asked = remaining(asked, done, ["lat", "lon", "month"])
+    asked = durable(asked)
+    footprint = Box(*(F.col(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")))
+    first, last = (micros(F.col("month") if k == 0 else F.add_months("month", k)) for k in (0, 1))
+    pairs = overlap_join(
+        asked, box_around(F.col("lat"), F.col("lon"), half), clear_scenes(scenes, max_cloud), footprint, cell_size,
+        during=During(first, last - 1, micros(F.col("ts")), 28 * MICROS_PER_DAY),
+    )
+    key = ["lat", "lon", "month"]
+    chosen = pairs.groupBy(*key).agg(F.min_by("scene_id", F.struct("ts", "scene_id")).alias("scene_id"))
+    ratios = band_ratio(values, ["scene_id"], *bands)
+    found = chosen.join(ratios, "scene_id").select(*key, "ndci")
+    return asked.join(found, key, "left")
+
+
+def with_monthly(samples: DataFrame, monthly: DataFrame, date: str, name: str) -> DataFrame:
+    """The samples with the value of their place and month."""
+    keyed = samples.withColumn("month", F.trunc(date, "month").cast("date"))
+    return keyed.join(monthly.select("lat", "lon", "month", name), ["lat", "lon", "month"], "left").select(
+        *samples.columns, name
+    )

@@ -62,10 +62,10 @@ def monthly_sequences(
 
 def forecasting_frame(
     df: DataFrame, series: str, time: str, target: str, row_id: str, exogenous: Sequence[str],
-    chunk: str | None = None,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Long frame (unique_id, ds, y, exogenous...) without gaps inside a series."""
-    filled = fill_forward_back(df, [series], [time, row_id], [target, *exogenous], chunk)
+    filled = fill_forward_back(df, [series], [time, row_id], [target, *exogenous], chunks)
     return filled.select(
         F.col(series).cast("string").alias("unique_id"),
         F.col(time).alias("ds"),

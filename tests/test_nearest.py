@@ -36,13 +36,13 @@ def brute(left, right, tie):
 
 
 @pytest.mark.parametrize("tie", ["earlier", "later"])
-@pytest.mark.parametrize("chunk", [None, "year", "week", "day", "hour"])
+@pytest.mark.parametrize("chunk", [None, 1, 5, 60])
 def test_nearest_in_time_equals_brute_force(spark, tie, chunk):
     left, right = series_data()
     got = nearest.nearest_in_time(
         spark.createDataFrame(left, "id long, place int, t timestamp_ntz"),
         spark.createDataFrame(right, "scene long, place int, u timestamp_ntz"),
-        ["place"], "t", "u", "scene", chunk=chunk, tie=tie,
+        ["place"], "t", "u", "scene", chunks=chunk, tie=tie,
     ).collect()
     assert len(got) == len(left)
     assert {r["id"]: r["scene"] for r in got} == brute(left, right, tie)
@@ -54,14 +54,14 @@ def test_nearest_in_time_refuses_shared_columns(spark):
         nearest.nearest_in_time(df, df, ["k"], "t", "t", "id")
 
 
-def test_chunk_unit_follows_the_densest_stretch(spark):
-    rows = [(0, at(i)) for i in range(600)] + [(1, at(i * 3600)) for i in range(100)]
-    df = spark.createDataFrame(rows, "k int, t timestamp_ntz")
-    us = F.unix_micros(F.col("t").cast("timestamp"))
-    assert chunks.chunk_unit(df, ["k"], us) == "year"
-    assert chunks.chunk_unit(df, ["k"], us, rows=650) == "year"
-    assert chunks.chunk_unit(df, ["k"], us, rows=100) == "minute"
-    assert chunks.chunk_unit(df, ["k"], us, rows=5) == "second"
+def test_chunks_cut_a_dense_second_and_leave_sparse_series(spark):
+    rows = [(0, at(0), i) for i in range(2000)] + [(k, at(k), 0) for k in range(1, 50)]
+    df = spark.createDataFrame(rows, "k int, t timestamp_ntz, id int").repartition(3)
+    made = chunks.in_chunks(df, ["k", "t", "id"], 8)
+    sizes = [r["count"] for r in made.groupBy("_chunk").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 600 and len(sizes) == 8
+    ordered = made.orderBy("k", "t", "id").collect()
+    assert [r["_chunk"] for r in ordered] == sorted(r["_chunk"] for r in ordered)
 
 
 def test_month_tie_goes_to_the_later_one_and_ends_are_kept(spark):
