@@ -48,6 +48,26 @@ def e1(v):
     return prep.one_hot(v.samples().select("sample_id", "cat"))
 
 
+@query(
+    "e1_one_hot_sparse",
+    """with c as (select distinct day as value from (select strftime(d, '%Y-%m-%d') as day from samples) where day is not null),
+            p as (select value, row_number() over (order by value) - 2 as place from c)
+       select s.sample_id, case when p.place >= 0 then p.place else -1 end as place,
+              cast(case when p.place >= 0 then 1 else 0 end as double) as entries, (select count(*) - 1 from c) as width
+       from samples s left join p on p.value = strftime(s.d, '%Y-%m-%d')""",
+)
+def e1_sparse(v):
+    days = v.samples().select("sample_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
+    made, _ = prep.one_hot_sparse(days)
+    parts = F.unwrap_udt("encoded")
+    return made.select(
+        "sample_id",
+        F.coalesce(F.try_element_at(parts["indices"], F.lit(1)), F.lit(-1)).cast("long").alias("place"),
+        F.aggregate(parts["values"], F.lit(0.0), lambda a, x: a + x).alias("entries"),
+        parts["size"].cast("long").alias("width"),
+    )
+
+
 @query(
     "e2_factorize",
     """select s.sample_id, coalesce(c.code, -1) as cat_code from samples s

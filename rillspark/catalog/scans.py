@@ -85,10 +85,31 @@ def s6_resumed(v):
     def extract(rows):
         return rows.select("sample_id", (F.col("ta") / 2.0).alias("half"))
 
-    io.write_table(extract(samples.filter("status = 'F'")), path)
+    io.publish_batch(extract(samples.filter("status = 'F'")), path)
     io.resume_append(samples, path, ["sample_id"], extract)
-    io.resume_append(samples, path, ["sample_id"], extract)  # finds nothing left
-    return io.read_table(v.spark, path)
+    return io.resume_append(samples, path, ["sample_id"], extract)  # finds nothing left
+
+
+@query(
+    "s6_resumed_run_of_many_rows",
+    """select sample_id, band, value / 2 as half from samples, (
+         select 'ta' as band union all select 'ec' union all select 'drp') b,
+         lateral (select case band when 'ta' then ta when 'ec' then ec else drp end as value) x""",
+)
+def s6_many(v):
+    path = working_folder(v.spark) + "/extracted"
+    samples = v.samples().select("sample_id", "status", "ta", "ec", "drp")
+
+    def extract(rows):
+        bands = F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in ("ta", "ec", "drp")))
+        return rows.select("sample_id", F.inline(bands)).select(
+            "sample_id", "band", (F.col("value") / 2.0).alias("half")
+        )
+
+    # A run cut short: its rows are there, but not in the manifest.
+    io.write_table(extract(samples.filter("status = 'O'")).filter("band = 'ta'"), path + "/batch-lost")
+    io.resume_append(samples.filter("status = 'F'"), path, ["sample_id"], extract)
+    return io.resume_append(samples, path, ["sample_id"], extract)
 
 
 @query("s6_incremental_run", "select sample_id, ta / 2 as half from samples")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from rillspark.functions.dates import with_date_parts
 from rillspark.operators.columns import categorical_columns
 from rillspark.operators.numbering import numbered
 from rillspark.operators.quantiles import column_quantiles
+from rillspark.session import durable, working_folder
 
 
 def _quoted(name: str) -> Column:
@@ -42,6 +44,46 @@ def one_hot(
     return df.select(*kept, *(flag.alias(name) for name, flag in flags.items()))
 
 
+def one_hot_sparse(
+    df: DataFrame, columns: Sequence[str] | None = None, name: str = "encoded"
+) -> tuple[DataFrame, DataFrame]:
+    """One sparse vector instead of a column per category, for columns of any number of categories.
+
+    Returns the rows, their categorical columns replaced by the vector ``name``, and the categories:
+    column, value and place (in the vector; null for the first value of a column, which is all zeros, as a missing one is).
+    Values are sorted, columns follow one another. Categories are numbered and looked up by Spark; only the
+    number of categories per column comes to the driver.
+    """
+    columns = categorical_columns(df) if columns is None else list(columns)
+    kept = [_quoted(c) for c in df.columns if c not in columns and c != name]
+    coded, known, width = df, None, 0
+    for i, column in enumerate(columns):
+        found = df.select(_quoted(column).alias("value")).filter("value is not null").distinct()
+        found = durable(numbered(found, ["value"], "_code"))
+        n = found.count()
+        place = F.when(F.col("_code") > 0, F.col("_code") - 1 + width)
+        mine = found.select(F.lit(column).alias("column"), "value", place.alias("place"))
+        known = mine if known is None else known.unionByName(mine)
+        coded = coded.join(
+            mine.select(F.col("value").alias(f"_value_{i}"), F.col("place").alias(f"_place_{i}")),
+            _quoted(column) == F.col(f"_value_{i}"), "left",
+        )
+        width += max(n - 1, 0)
+    places = F.array_compact(F.array(*(F.col(f"_place_{i}") for i in range(len(columns)))))
+    # The layout of a sparse vector; read back under the type of vectors, it is one.
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"),
+        places.cast("array<int>").alias("indices"),
+        F.transform(places, lambda _: F.lit(1.0)).alias("values"),
+    )
+    plain = coded.select(*kept, vector.alias(name))
+    path = f"{working_folder(df.sparkSession)}/vectors"
+    plain.write.parquet(path)
+    schema = T.StructType([*plain.schema.fields[:-1], T.StructField(name, VectorUDT())])
+    nothing = df.sparkSession.createDataFrame([], "column string, value string, place long")
+    return df.sparkSession.read.schema(schema).parquet(path), known if known is not None else nothing
+
+
 def factorize(df: DataFrame, column: str, order: str, name: str | None = None) -> DataFrame:
     """Codes in order of first appearance by ``order``, then of the value; a missing one is -1."""
     name = name or f"{column}_code"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,15 +94,48 @@ def remaining(source: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFr
     return null_safe_anti(source, done, keys)
 
 
-def resume_append(source: DataFrame, done_path: str, keys: Sequence[str], extract) -> None:
-    """Run ``extract`` over the unprocessed rows and append the outcome to the table of results.
+MANIFEST = "manifest"
 
-    The file committer moves finished tasks into place one by one, so a run cut short may leave
-    some of its rows behind; they count as done, and the next run picks up whatever is missing.
+
+def publish_batch(rows: DataFrame, path: str) -> str:
+    """Write rows as a batch of a table of results; returns the name of the batch.
+
+    The files go to a folder of the batch, which nobody reads until the manifest names it. That is one
+    row in one file, moved into place at once after the last of the rows is there. So a run that is cut short, or loses
+    the commit of some of its tasks, leaves files behind but no rows.
+    """
+    spark, batch = rows.sparkSession, uuid.uuid4().hex
+    rows.write.parquet(f"{path}/batch-{batch}")
+    row = spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("published"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
+    return batch
+
+
+def published(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all published batches; none where the table was not begun."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    # A row per run.
+    batches = [r["batch"] for r in spark.read.schema("batch string").parquet(f"{path}/{MANIFEST}").collect()]
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/batch-{b}" for b in sorted(batches)))
+
+
+def resume_append(
+    source: DataFrame, path: str, keys: Sequence[str], extract: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Run ``extract`` over the rows of ``source`` whose key has no results yet, and publish what it returns.
+
+    ``extract`` keeps the key columns and may return several rows per key, which come into the table
+    together or not at all. A run after one that failed begins with all keys that have nothing published. Returns the table.
     """
     spark = source.sparkSession
-    done = spark.read.parquet(done_path)
-    extract(remaining(source, done, keys)).write.mode("append").parquet(done_path)
+    schema = extract(source).schema
+    rows = extract(remaining(source, published(spark, path, schema), keys))
+    publish_batch(rows, path)
+    return published(spark, path, schema)
 
 
 def write_sequences(sequences: DataFrame, path: str, mode: str = "error") -> None:

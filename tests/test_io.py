@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from rillspark.session import durable
@@ -59,12 +60,36 @@ def test_cube_bounds_are_inclusive(spark):
 
 def test_resume_appends_only_what_is_missing(spark, tmp_path):
     path = str(tmp_path / "done")
-    source = spark.range(10).withColumnRenamed("id", "k")
-    io.write_table(source.filter("k < 4").withColumn("run", F.lit(1)), path)
-    for run in (2, 3):
-        io.resume_append(source, path, ["k"], lambda rows, run=run: rows.withColumn("run", F.lit(run)))
-    got = sorted((r["k"], r["run"]) for r in io.read_table(spark, path).collect())
-    assert got == [(k, 1 if k < 4 else 2) for k in range(10)]
+    source = spark.range(10).withColumnRenamed("id", "k").withColumn("k", F.nullif("k", F.lit(9)))
+    for run, rows in ((1, source.filter("k < 4")), (2, source), (3, source)):
+        made = io.resume_append(rows, path, ["k"], lambda rows, run=run: rows.withColumn("run", F.lit(run)))
+    got = {r["k"]: r["run"] for r in made.collect()}
+    assert got == {k: 1 if k < 4 else 2 for k in range(9)} | {None: 2} and made.count() == 10
+
+
+def test_a_run_that_fails_leaves_no_key_half_done(spark, tmp_path):
+    path, fail = str(tmp_path / "done"), tmp_path / "fail"
+    source = spark.range(0, 40, numPartitions=8).withColumnRenamed("id", "k")
+    three = F.explode(F.array(*(F.lit(i) for i in range(3))))
+
+    def extract(rows):
+        # The last task breaks once others have written their rows.
+        bad = F.when((F.col("k") == 39) & F.lit(fail.exists()), F.raise_error(F.lit("cut"))).otherwise(F.col("k"))
+        return rows.select(bad.cast("long").alias("k"), three.alias("i"))
+
+    first = io.resume_append(source.filter("k < 5"), path, ["k"], extract)
+    fail.touch()
+    with pytest.raises(Exception, match="cut"):
+        io.resume_append(source, path, ["k"], extract)
+    assert len(list((tmp_path / "done").glob("batch-*"))) == 2
+    assert io.published(spark, path, first.schema).count() == 15
+    fail.unlink()
+    made = io.resume_append(source, path, ["k"], extract)
+    assert sorted(map(tuple, made.collect())) == [(k, i) for k in range(40) for i in range(3)]
+
+
+def test_a_table_that_was_not_begun_is_empty(spark, tmp_path):
+    assert io.published(spark, str(tmp_path / "none"), spark.range(1).schema).collect() == []
 
 
 def test_new_files_are_processed_once(spark, tmp_path):

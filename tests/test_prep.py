@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from rillspark.operators import columns, joins, metrics, numbering, prep
@@ -119,3 +120,30 @@ def test_top_k_and_best(spark):
     ]
     worst = metrics.best_per_group(df, ["target"], "score", largest=False).collect()
     assert {r["target"]: r["feature"] for r in worst} == {"t": "a", "u": "a"}
+
+
+def test_sparse_one_hot_keeps_the_rules(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ONE_TASK_ROWS", 3)
+    rows = [(1, "b", "x"), (2, "a", None), (3, None, "x"), (4, "c", "x"), (5, "b", "x"), (6, "d", "x")]
+    df = spark.createDataFrame(rows, "id int, k string, one string")
+    made, known = prep.one_hot_sparse(df)
+    got = {r["id"]: r["encoded"] for r in made.collect()}
+    assert {i: v.toArray().tolist() for i, v in got.items()} == {
+        1: [1, 0, 0], 2: [0, 0, 0], 3: [0, 0, 0], 4: [0, 1, 0], 5: [1, 0, 0], 6: [0, 0, 1]
+    }
+    assert sorted(map(tuple, known.collect()), key=str) == sorted(
+        [("k", "a", None), ("k", "b", 0), ("k", "c", 1), ("k", "d", 2), ("one", "x", None)], key=str
+    )
+    dense = {r["id"]: [r["k_b"], r["k_c"], r["k_d"]] for r in prep.one_hot(df).collect()}
+    assert dense == {i: v.toArray().tolist() for i, v in got.items()}
+    hollow, none = prep.one_hot_sparse(df.limit(0))
+    assert hollow.count() == 0 and none.count() == 0 and hollow.columns == ["id", "encoded"]
+    fitted = LinearRegression(featuresCol="encoded", labelCol="id", regParam=0.1).fit(made)
+    assert fitted.numFeatures == 3
+
+
+def test_sparse_one_hot_of_many_categories(spark):
+    df = spark.range(300_000).select("id", F.concat(F.lit("v"), F.format_string("%06d", "id")).alias("k"))
+    made, _ = prep.one_hot_sparse(df)
+    last = made.filter("id = 299999").first()["encoded"]
+    assert (last.size, list(last.indices), list(last.values)) == (299_999, [299_998], [1.0])
