@@ -16,6 +16,7 @@ no sample. What reaches the driver is one vector of ``BUCKETS`` counts per langu
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,9 @@ from rillspark.session import durable
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MOST_LANGUAGES = 512
+# Languages up to which a code has all useful bits, and bits per doubling of their number beyond.
+FULL_CODES = 64
+BITS_PER_DOUBLING = 16
 SMOOTHING = 0.5
 AMBIGUOUS = 0.6
 # The limit of the distance lies so many times as far above the median as the quantile does.
@@ -95,7 +98,8 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
 def codewords(languages: int) -> np.ndarray:
     """Rows of +1 and -1, far apart from each other and with no useless column.
 
-    Up to six languages use every way of splitting them in two; more use a Hadamard matrix.
+    Up to six languages use every way of splitting them in two; more use a Hadamard matrix. Beyond
+    ``FULL_CODES`` languages it is a fixed choice of its columns whose number grows with the logarithm of theirs.
     """
     if languages < 2:
         return np.ones((languages, 1))
@@ -103,7 +107,11 @@ def codewords(languages: int) -> np.ndarray:
         halves = [(1, *rest) for rest in itertools.product((1, -1), repeat=languages - 1)][1:]
         return np.array(halves, float).T
     size = 1 << (2 * languages - 1).bit_length()
-    bits = np.array([[(-1) ** (i & j).bit_count() for j in range(1, size)] for i in range(languages)])
+    columns = range(1, size)
+    if languages > FULL_CODES:
+        by_digest = sorted(columns, key=lambda j: hashlib.md5(str(j).encode()).digest())
+        columns = by_digest[: BITS_PER_DOUBLING * (languages - 1).bit_length()]
+    bits = np.array([[(-1) ** (i & j).bit_count() for j in columns] for i in range(languages)])
     return bits[:, abs(bits.sum(0)) < languages].astype(float)
 
 
@@ -192,8 +200,7 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(labelled: DataFrame) -> Model:
     """Learn from all rows of text and lang; a null lang or a text without letters teaches nothing.
 
-    Up to ``MOST_LANGUAGES`` languages, as each is one vector of counts on the driver; more is an
-    error and not a cut.
+    Each language is one vector of counts (256 KB) on the driver and in the model, however many rows it has.
     """
     small_batches(labelled.sparkSession)
     pairs = labelled.select("text", "lang").filter("text is not null and lang is not null")
@@ -207,11 +214,8 @@ def fit(labelled: DataFrame) -> Model:
         sums.groupBy("lang")
         .agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
         .orderBy("lang")
-        .limit(MOST_LANGUAGES + 1)
         .collect()
     )
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [r["lang"] for r in found]
     counts, rows = np.zeros((len(found), BUCKETS)), np.zeros(len(found))
     for i, r in enumerate(found):

@@ -47,6 +47,13 @@ def test_language_of_awkward_rows(spark, docs):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_as_many_languages_as_there_are(spark):
+    rows = [(i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} {i:b}".translate(str.maketrans("01", "xq")), f"l{i:03}", "s", 1) for i in range(530)]
+    model = language.fit(frame(spark, rows))
+    assert len(model.languages) == 530 and model.weights.shape[1] < 200
+    assert model.predict(rows[77][1])[0] in model.languages
+
+
 def test_nothing_or_one_language_learned(spark, docs):
     none = language.fit(frame(spark, []))
     assert language.identified(docs, none).filter("lang_pred != 'und'").count() == 0
@@ -60,7 +67,7 @@ def test_training_sums_do_not_depend_on_partitions(docs):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights)
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20])
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 20, 100, 300])
 def test_codewords_are_far_apart_and_correct_errors(n):
     codes = language.codewords(n)
     apart = min((codes[i] != codes[j]).sum() for i in range(n) for j in range(i))
