@@ -200,7 +200,8 @@ def nearest(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = curves.blocks(_matrix(batch["vector"], width))
+            # One block is all vectors: once is enough.
+            made = curves.blocks(_matrix(batch["vector"], width))[:, : None if blocks > 1 else 1]
             for c in range(made.shape[1]):
                 yield pa.record_batch(
                     {"curve": np.full(len(made), c, np.int32), "block": made[:, c], "id": batch["id"], "vector": batch["vector"]}
