@@ -27,9 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: not those without letters, between two, or like none that was learned."""
+    """Documents in a language: not those without letters, between two, or like none that was learned.
+
+    Where no row has both a language and letters nothing was learned; then all documents stay.
+    """
     learned = docs.filter(~language.held_out())
     model = language.fit(learned)
+    if not model.languages:
+        return docs
     limit = language.distance_limit(learned, model)
     known = language.identified(packed(docs, "text"), model)
     wanted = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)
