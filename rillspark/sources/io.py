@@ -129,7 +129,8 @@ def resume_append(
     """Run ``extract`` over the rows of ``source`` whose key has no results yet, and publish what it returns.
 
     ``extract`` keeps the key columns and may return several rows per key, which come into the table
-    together or not at all. A run after one that failed begins with all keys that have nothing published. Returns the table.
+    together or not at all. A run after one that failed begins with all keys that have nothing published. Returns
+    the table. Rows in the folder that came there in another way do not count; ``publish_batch`` takes them in.
     """
     spark = source.sparkSession
     schema = extract(source).schema
