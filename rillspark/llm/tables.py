@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rillspark.session import durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,7 +64,8 @@ def told_apart(df: DataFrame, columns: Sequence[str], copy: str) -> DataFrame:
     Equal rows combine before the shuffle, so that a row repeated without end stays cheap.
     """
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    return one_row_per_copy(counted, "_copies", copy)
+    # Written down, as crowded and other records are read apart.
+    return one_row_per_copy(durable(counted), "_copies", copy)
 
 
 def mapped(
