@@ -1,15 +1,17 @@
-"""Token counts of a byte-level BPE vocabulary: a finite-state word splitter, then the merges.
+"""Token counts of a byte-level BPE vocabulary by two deterministic transducers.
 
-A deterministic transducer cuts a text into words. Its alphabet is the class of a character (letter, number,
+The first cuts a text into words. Its alphabet is the class of a character (letter, number,
 apostrophe that starts a contraction, space or other blank with or without a non-blank behind it,
 anything else), so it needs no look-ahead of its own; a transition says whether a word starts here.
 A long run of text is cut into chunks that do not know their entry state: a chunk is first run
 from all states at once, which gives its state map; the maps are composed by a parallel prefix
 scan; only then is the chunk run from the one state it is really entered in.
 
-How many tokens a word has is not worked out by a machine over its bytes: the merges run on each
-word when it is first met, and the count is kept by word, up to ``MOST_ARCS``; past that words are
-counted without being kept, so memory stays bounded and counts stay exact.
+The second reads the bytes of a word from its start. Its states are the prefixes of the vocabulary's entries,
+compiled on the driver; a transition carries the number of tokens that the byte adds to the prefix, which is negative
+where it makes several tokens into one. The sum over a word's transitions is its count. Words that it does not accept
+are merged by rank, once; a task then compiles them in too, up to ``MOST_STATES``. Past that, and for words longer than
+``LONGEST`` bytes, the merges run every time, so memory stays bounded and counts stay exact.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from rillspark.llm.merging import PairTable, merged_words
+from rillspark.llm.merging import LONGEST, NOTHING, PairTable, merged_words
 from rillspark.llm.tables import mapped, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_ARCS = 400_000
+MOST_STATES = 600_000
 CHUNK = 512
+GROW_AFTER = 4_096  # words that have left the transducer; more as it grows
+NO_END = 1 << 20
+BIAS = LONGEST  # added to emitted counts, which the table of transitions holds without a sign
 
 # Classes of characters.
 BREAK, LETTER, NUMBER, OTHER, SPACE, SPACE_LAST, BLANK, BLANK_LAST, QUOTE2, QUOTE3 = range(10)
@@ -66,30 +72,28 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 AFTER, STARTS = _machine()
-_KINDS: list[np.ndarray] = []
-
-
-def _kinds() -> np.ndarray:
-    """Class of each code point, look-ahead aside."""
-    if not _KINDS:
-        table = np.full(0x110000, OTHER, np.uint8)
-        for c in range(0x110000):
-            kind = unicodedata.category(chr(c))[0]
-            if kind == "L":
-                table[c] = LETTER
-            elif kind == "N":
-                table[c] = NUMBER
-        # The white space of Unicode.
-        table[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
-        table[0x2000:0x200B] = BLANK
-        table[32] = SPACE
-        _KINDS.append(table)
-    return _KINDS[0]
-
-
-def classes_of(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
-    """The machine's alphabet for code points; ``breaks`` marks positions that separate texts."""
-    kinds = _kinds()[points]
+
+
+@cache
+def kinds_of_points() -> np.ndarray:
+    """Class of each code point, look-ahead aside; made on the driver, shipped with the tasks."""
+    table = np.full(0x110000, OTHER, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
+            table[c] = LETTER
+        elif kind == "N":
+            table[c] = NUMBER
+    # The white space of Unicode.
+    table[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+    table[0x2000:0x200B] = BLANK
+    table[32] = SPACE
+    return table
+
+
+def classes_of(points: np.ndarray, breaks: np.ndarray, kinds_table: np.ndarray) -> np.ndarray:
+    """The splitter's alphabet for code points; ``breaks`` marks positions that separate texts."""
+    kinds = kinds_table[points]
     kinds[breaks] = BREAK
     ahead = lambda k: np.r_[kinds[k:], np.full(min(k, len(kinds)), BREAK, np.uint8)]
     blank = (kinds == SPACE) | (kinds == BLANK)
@@ -141,33 +145,111 @@ def word_starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-class Merges:
-    """Counts the tokens that the merges leave of a word, keeping what it has counted."""
+def laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words, and where each starts and how long it is."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+class Transducer:
+    """Counts tokens along the bytes of many words at once.
 
-    def __init__(self, made: dict, most: int = MOST_ARCS):
+    ``edges`` has the columns from, byte, to and emitted; state 0 has read nothing. ``emitted`` is summed up to each state in
+    ``sums``; ``last`` is what is added where a word ends in the state, ``NO_END`` where none does.
+    """
+
+    def __init__(self, edges: np.ndarray, sums: np.ndarray, last: np.ndarray):
+        self.edges, self.sums, self.last = edges, sums, last
+        start, byte, end, emitted = edges.T
+        self.table = PairTable(start, byte, emitted + BIAS, end)
+
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of what the transitions of each word emit, and whether it is accepted."""
+        state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        inside = lengths <= LONGEST
+        going = np.flatnonzero(inside)
+        for i in range(int(lengths[going].max(initial=0))):
+            going = going[lengths[going] > i]
+            found = self.table.find(state[going], data[starts[going] + i])
+            lost = found == NOTHING
+            inside[going[lost]] = False
+            going, found = going[~lost], found[~lost]
+            state[going] = found & 0xFFFFFFFF
+            total[going] += (found >> 38) - BIAS
+        last = self.last[state]
+        return total + last, inside & (last != NO_END)
+
+    def grown(self, words: list[bytes], counts: np.ndarray, most: int = MOST_STATES) -> Transducer:
+        """With these different words too, of which the tokens are known; those without room are left out.
+
+        A transition into the new end of a word makes the sum right; one into another new state emits nothing.
+        """
+        data, starts, lengths = laid_out(words)
+        state, alive = np.zeros(len(words), np.int64), lengths <= LONGEST
+        edges, sums, last = [self.edges], self.sums.astype(np.int64), self.last.astype(np.int64)
+        for i in range(int(lengths[alive].max(initial=0))):
+            going = np.flatnonzero(alive & (lengths > i))
+            byte = data[starts[going] + i].astype(np.int64)
+            found = self.table.find(state[going], byte)
+            state_of = found & 0xFFFFFFFF
+            new = np.flatnonzero(found == NOTHING)
+            each, number = np.unique(state[going[new]] << 8 | byte[new], return_inverse=True)
+            room = max(0, most - len(sums))
+            alive[going[new[number >= room]]] = False
+            state_of[new] = len(sums) + number
+            state[going] = state_of
+            start = each[:room] >> 8
+            made = sums[start]
+            ends = (lengths[going[new]] == i + 1) & (number < room)
+            made[number[ends]] = counts[going[new[ends]]]
+            edges.append(np.c_[start, each[:room] & 255, len(sums) + np.arange(len(start)), made - sums[start]])
+            sums, last = np.r_[sums, made], np.r_[last, np.full(len(start), NO_END)]
+        last[state[alive]] = counts[alive] - sums[state[alive]]
+        return Transducer(np.concatenate(edges), sums, last)
+
+
+class Counter:
+    """Tokens of words: by the transducer where it has a path, else by the merges."""
+
+    def __init__(self, made: dict, most: int = MOST_STATES):
         self.table = PairTable(made["left"], made["right"], made["rank"], made["merged"])
-        self.first, self.most = made["first"], most
-        self.arcs: dict[bytes, int] = {}
+        self.first, self.kinds, self.most = made["first"], made.get("kinds"), most
+        self.machine = Transducer(made["edges"], made["sums"], made["last"])
+        self.waiting: dict[bytes, int] = {}
+
+    def merged(self, words: list[bytes]) -> np.ndarray:
+        """Tokens that the merges leave of each word."""
+        data, starts, lengths = laid_out(words)
+        ends = np.zeros(len(data), np.int64)
+        for at, _ in merged_words(self.first[data], starts, lengths, self.table):
+            ends[at] = 1
+        return np.add.reduceat(ends, starts)
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word; the words that are new are merged together."""
-        found = list(map(self.arcs.get, words))
-        new = [i for i, n in enumerate(found) if n is None]
-        out = np.array([n or 0 for n in found], np.int64)
-        if new:
-            fresh = [words[i] for i in new]
-            lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            symbols = self.first[np.frombuffer(b"".join(fresh), np.uint8)]
-            starts = np.cumsum(lengths) - lengths
-            ends = np.zeros(len(symbols), np.int64)
-            for at, _ in merged_words(symbols, starts, lengths, self.table):
-                ends[at] = 1
-            made = np.add.reduceat(ends, starts)
-            out[new] = made
-            room = max(0, self.most - len(self.arcs))
-            self.arcs.update(zip(fresh[:room], made[:room].tolist(), strict=True))
+        out, inside = self.machine.run(*laid_out(words))
+        outside = np.flatnonzero(~inside)
+        if len(outside):
+            found = [self.waiting.get(words[i]) for i in outside.tolist()]
+            out[outside] = [n or 0 for n in found]
+            new = outside[[n is None for n in found]]
+            if len(new):
+                out[new] = self.merged([words[i] for i in new.tolist()])
+                self._keep(words, new, out)
         return out
 
+    def _keep(self, words, new, out):
+        if len(self.machine.sums) >= self.most:
+            return
+        for i in new.tolist():
+            if len(words[i]) <= LONGEST:
+                self.waiting[words[i]] = int(out[i])
+        # Each growth builds the table anew, so it waits for a share of what is there.
+        if len(self.waiting) >= max(GROW_AFTER, len(self.machine.sums) // 16):
+            counts = np.fromiter(self.waiting.values(), np.int64, len(self.waiting))
+            self.machine = self.machine.grown(list(self.waiting), counts, self.most)
+            self.waiting = {}
+
 
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte: itself where it prints, else the next one from 256."""
@@ -177,7 +259,7 @@ def byte_letters() -> dict[int, str]:
 
 
 def vocabulary(path: str | None = None) -> tuple[dict, list[str]]:
-    """Merges as arrays, and the special strings, from a tokenizer file read on the driver."""
+    """Merges and transducer as arrays, and the special strings, from a tokenizer file read on the driver."""
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
         made = json.load(file)
     ids = made["model"]["vocab"]
@@ -190,10 +272,19 @@ def vocabulary(path: str | None = None) -> tuple[dict, list[str]]:
         "rank": np.arange(len(pairs), dtype=np.int32),
         "first": np.array([ids[letters[b]] for b in range(256)], np.int32),
     }
+    bytes_of = {letter: b for b, letter in letters.items()}
+    added = {t["content"] for t in made["added_tokens"]}
+    entries = [bytes(bytes_of[c] for c in entry) for entry in ids if entry not in added]
+    arrays |= {"edges": np.zeros((0, 4), np.int64), "sums": np.zeros(1, np.int64), "last": np.zeros(1, np.int64)}
+    empty = Counter(arrays)
+    prefixes = sorted({e[:i] for e in entries if len(e) <= LONGEST for i in range(1, len(e) + 1)})
+    machine = empty.machine.grown(prefixes, empty.merged(prefixes))
+    arrays |= {k: getattr(machine, k).astype(np.int32) for k in ("edges", "sums", "last")}
+    arrays["kinds"] = kinds_of_points()
     return arrays, [t["content"] for t in made["added_tokens"]]
 
 
-def counts_of(texts: pa.Array, merges: Merges, special: list[str]) -> np.ndarray:
+def counts_of(texts: pa.Array, counter: Counter, special: list[str]) -> np.ndarray:
     """Tokens of each text of an array without nulls."""
     n_special = np.zeros(len(texts), np.int64)
     for s in special:
@@ -212,7 +303,7 @@ def counts_of(texts: pa.Array, merges: Merges, special: list[str]) -> np.ndarray
     lengths = pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
     breaks = np.zeros(len(points), bool)
     breaks[np.cumsum(lengths + 1) - 1] = True
-    starts = word_starts(classes_of(points, breaks))
+    starts = word_starts(classes_of(points, breaks, counter.kinds))
     # Code point positions to byte positions of the joined text.
     widths = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
     at_byte = np.cumsum(widths) - widths
@@ -222,24 +313,24 @@ def counts_of(texts: pa.Array, merges: Merges, special: list[str]) -> np.ndarray
     words = pa.Array.from_buffers(
         pa.binary(), len(where), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
     ).dictionary_encode()
-    tokens = merges.counts(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    tokens = counter.counts(words.dictionary.to_pylist())[words.indices.to_numpy()]
     tokens[breaks[where]] = 0
     owner = np.repeat(owners, lengths + 1)[where]
     return np.bincount(owner, tokens, len(texts)).astype(np.int64) + n_special
 
 
-def counted(docs: DataFrame, path: str | None = None, most_arcs: int = MOST_ARCS) -> DataFrame:
+def counted(docs: DataFrame, path: str | None = None, most_states: int = MOST_STATES) -> DataFrame:
     """Add n_tokens to every row; a null or empty text has none.
 
     Special strings inside a text count as one token each, as in the library's default. The
-    merges (one bounded table) go along with the tasks; existing columns of that name are replaced.
+    merges and the transducer (bounded tables) go along with the tasks; existing columns of that name are replaced.
     """
     arrays, special = vocabulary(path)
-    kept: list[Merges] = []
+    kept: list[Counter] = []
 
     def count(rows: pa.StructArray, _) -> list[pa.Array]:
         if not kept:
-            kept.append(Merges(arrays, most_arcs))
+            kept.append(Counter(arrays, most_states))
         texts = pc.fill_null(rows.field("text"), "")
         made = [counts_of(texts[a:b], kept[0], special) for a, b in text_slices(texts)]
         return [pa.array(np.concatenate(made) if made else [], pa.int64())]

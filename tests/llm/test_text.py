@@ -191,16 +191,44 @@ def test_counts_equal_the_library_on_awkward_texts(library, merges):
     texts = ["".join(draw.choice(AWKWARD) for _ in range(draw.randint(0, 25))) for _ in range(4000)]
     texts += ["".join(draw.choice(AWKWARD) for _ in range(n)) for n in (511, 512, 513, 3000)]
     texts += ["x" * 5000, "ab" * 4000, " " * 3000, "\n" * 1025 + "a"]
-    machine = token_counts.Merges(merges[0])
+    machine = token_counts.Counter(merges[0])
     assert token_counts.counts_of(pa.array(texts), machine, merges[1]).tolist() == library(texts)
     assert token_counts.counts_of(pa.array(texts), machine, merges[1]).tolist() == library(texts)
 
 
-def test_bounded_arcs_give_the_same_counts(library, merges):
+def test_bounded_states_give_the_same_counts(library, merges):
     texts = [prose(random.Random(i), "de", 50) for i in range(20)]
-    small = token_counts.Merges(merges[0], most=10)
+    small = token_counts.Counter(merges[0], most=10)
     assert token_counts.counts_of(pa.array(texts), small, merges[1]).tolist() == library(texts)
-    assert len(small.arcs) == 10
+    assert not small.waiting and len(small.machine.sums) == len(merges[0]["sums"])
+
+
+def test_entries_of_the_vocabulary_are_counted_by_transitions_alone(merges):
+    machine = token_counts.Counter(merges[0]).machine
+    words = [b"the", b" the", b"ing", b" international", "\u00e9".encode(), b" "]
+    tokens, inside = machine.run(*token_counts.laid_out(words))
+    assert inside.all() and tokens.tolist() == [1] * len(words)
+    assert (machine.edges[:, 3] < 0).any()
+    assert len(np.unique(machine.edges[:, :2], axis=0)) == len(machine.edges)  # deterministic
+    assert not machine.run(*token_counts.laid_out([b" qzxjvw", b"a" * 49]))[1].any()
+
+
+def test_the_transducer_takes_in_words_that_left_it(library, merges):
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choice("abcdefgh\u00e9\u4e2d") for _ in range(draw.randint(1, 60))) for _ in range(14000))]
+    counter = token_counts.Counter(merges[0])
+    before = len(counter.machine.sums)
+    for _ in range(3):
+        assert token_counts.counts_of(pa.array(texts), counter, merges[1]).tolist() == library(texts)
+    assert len(counter.machine.sums) > before and not counter.waiting
+    # A word that is a prefix of another one ends in a state made before.
+    some = ["".join(draw.choice("abcdefgh") for _ in range(30)) for _ in range(7000)]
+    for texts in ([" ".join(some)], [" ".join(w[:20] for w in some)], [" ".join([*some, *(w[:20] for w in some)])]):
+        assert token_counts.counts_of(pa.array(texts), counter, merges[1]).tolist() == library(texts)
+    full = token_counts.Counter(merges[0], most=before + 1000)
+    for _ in range(2):
+        assert token_counts.counts_of(pa.array(texts), full, merges[1]).tolist() == library(texts)
+    assert before < len(full.machine.sums) <= before + 1000
 
 
 def test_counted_rows(spark, docs, library):
