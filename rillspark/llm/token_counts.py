@@ -10,8 +10,9 @@ scan; only then is the chunk run from the one state it is really entered in.
 The second reads the bytes of a word from its start. Its states are the prefixes of the vocabulary's entries,
 compiled on the driver; a transition carries the number of tokens that the byte adds to the prefix, which is negative
 where it makes several tokens into one. The sum over a word's transitions is its count. Words that it does not accept
-are merged by rank, once; a task then compiles them in too, up to ``MOST_STATES``. Past that, and for words longer than
-``LONGEST`` bytes, the merges run every time, so memory stays bounded and counts stay exact.
+are merged by rank, once; a task then compiles them in too, up to ``MOST_STATES``. Words longer than ``LONGEST`` bytes are kept
+with their counts, up to ``ROOM_FOR_LONGER``. Past either bound the merges run every time, so memory stays bounded and
+counts stay exact.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from rillspark.llm.tables import mapped, text_slices
 VOCABULARY = "byte_bpe_50k.json"
 MOST_STATES = 600_000
 CHUNK = 512
+ROOM_FOR_LONGER = 1 << 23  # bytes of words too long for the transducer, whose counts a task keeps
 GROW_AFTER = 4_096  # words that have left the transducer; more as it grows
 NO_END = 1 << 20
 BIAS = LONGEST  # added to emitted counts, which the table of transitions holds without a sign
@@ -216,6 +218,8 @@ class Counter:
         self.first, self.kinds, self.most = made["first"], made.get("kinds"), most
         self.machine = Transducer(made["edges"], made["sums"], made["last"])
         self.waiting: dict[bytes, int] = {}
+        self.longer: dict[bytes, int] = {}
+        self.room = ROOM_FOR_LONGER
 
     def merged(self, words: list[bytes]) -> np.ndarray:
         """Tokens that the merges leave of each word."""
@@ -230,7 +234,7 @@ class Counter:
         out, inside = self.machine.run(*laid_out(words))
         outside = np.flatnonzero(~inside)
         if len(outside):
-            found = [self.waiting.get(words[i]) for i in outside.tolist()]
+            found = [(self.waiting if len(w) <= LONGEST else self.longer).get(w) for w in map(words.__getitem__, outside)]
             out[outside] = [n or 0 for n in found]
             new = outside[[n is None for n in found]]
             if len(new):
@@ -239,11 +243,14 @@ class Counter:
         return out
 
     def _keep(self, words, new, out):
-        if len(self.machine.sums) >= self.most:
-            return
+        full = len(self.machine.sums) >= self.most
         for i in new.tolist():
-            if len(words[i]) <= LONGEST:
+            n = len(words[i])
+            if n <= LONGEST and not full:
                 self.waiting[words[i]] = int(out[i])
+            elif LONGEST < n <= self.room:
+                self.longer[words[i]] = int(out[i])
+                self.room -= n
         # Each growth builds the table anew, so it waits for a share of what is there.
         if len(self.waiting) >= max(GROW_AFTER, len(self.machine.sums) // 16):
             counts = np.fromiter(self.waiting.values(), np.int64, len(self.waiting))
