@@ -364,3 +364,76 @@ def enriched(v):
         samples, v.bands(), v.grid(), ["ppt", "tmax", "tmin", "pet", "soil", "def"],
         ["sample_id"], LAT_AXIS, LON_AXIS, MONTHS,
     )
+
+
+TERRAIN_SQL = """
+    gradient as (select patch,
+         case when lag(c) over x is not null and lead(c) over x is not null
+              then (lead(value) over x - lag(value) over x) / 2
+              when lead(c) over x is not null then lead(value) over x - value
+              else value - lag(value) over x end as gx,
+         case when lag(r) over y is not null and lead(r) over y is not null
+              then (lead(value) over y - lag(value) over y) / 2
+              when lead(r) over y is not null then lead(value) over y - value
+              else value - lag(value) over y end as gy
+       from (select patch, r, c, value * 100 as value from pixels)
+       window x as (partition by patch, r order by c), y as (partition by patch, c order by r)),
+    slope as (select patch, avg(degrees(atan(sqrt(gx * gx + gy * gy) / 30))) as topographic_slope
+              from gradient group by patch)"""
+
+
+@query(
+    "training_table",
+    f"""with {SHIFTED_SQL}, {NEAREST_CELL_SQL}, {TERRAIN_SQL},
+        cover as (select patch, count(*) filter (class > 0) as n, count(*) filter (class = 40) as agri,
+                         count(*) filter (class = 50) as urban, count(*) filter (class = 30) as grass,
+                         count(*) filter (class = 10) as forest, count(*) filter (class = 60) as barren
+                  from pixels group by patch),
+        months as (select distinct lat, lon, date_trunc('month', shifted.at)::date as month from shifted),
+        hit as (
+          select p.lat, p.lon, p.month, s.scene_id from months p
+          join scenes s on s.cloud_cover < 30
+           and date_trunc('month', s.ts)::date = p.month and {_covering_sql('cast(0.0001 as double)', 's')}
+          qualify row_number() over (partition by p.lat, p.lon, p.month order by s.ts, s.scene_id) = 1),
+        means as (select patch, avg(value) filter (band = 'nir') as up, avg(value) filter (band = 'red') as low
+                  from pixels group by patch),
+        ratios as (select h.lat, h.lon, h.month, (up - low) / nullif(up + low, 0) as ndci
+                   from hit h join means m on m.patch = h.scene_id),
+        wide as (
+          select s.sample_id, s.d, g.ppt, b.red, b.green,
+                 case when n = 0 then 0 else 100.0 * agri / n end as perc_agri,
+                 case when n = 0 then 0 else 100.0 * urban / n end as perc_urban,
+                 case when n = 0 then 0 else 100.0 * grass / n end as perc_grass,
+                 case when n = 0 then 0 else 100.0 * forest / n end as perc_forest,
+                 coalesce(100.0 * barren / nullif(n, 0), 0) as perc_barren, t.topographic_slope, r.ndci
+          from samples s join shifted x on x.sample_id = s.sample_id
+          join near_lat a on a.lat = s.lat join near_lon o on o.lon = s.lon join near_t q on q.d = s.d
+          left join grid g on g.lat = a.glat and g.lon = o.glon and g.t = q.gt
+          left join bands b on b.sample_id = s.sample_id
+          left join cover c on c.patch = s.site left join slope t on t.patch = s.site
+          left join ratios r on r.lat = s.lat and r.lon = s.lon and r.month = date_trunc('month', x.at)::date)
+        select sample_id, round(perc_agri, 9) as perc_agri, round(perc_urban, 9) as perc_urban,
+               round(perc_grass, 9) as perc_grass, round(perc_forest, 9) as perc_forest,
+               round(perc_barren, 9) as perc_barren, round(topographic_slope, 6) as topographic_slope,
+               round(ndci, 9) as ndci, cast(year(d) > 2008 as int) as post_2008,
+               round(perc_urban * ppt, 6) as urban_precip_interaction,
+               round(ndci * NDTI_OF_BANDS, 6) as ndci_turbidity_interaction
+        from wide""".replace("NDTI_OF_BANDS", "((red - green) / (red + green + 1e-10))"),
+)
+def training(v):
+    digits = dict.fromkeys(("perc_agri", "perc_urban", "perc_grass", "perc_forest", "perc_barren", "ndci"), 9)
+    digits |= dict.fromkeys(("topographic_slope", "urban_precip_interaction", "ndci_turbidity_interaction"), 6)
+    return training_table(v).select(
+        "sample_id", "post_2008", *(F.round(c, n).alias(c) for c, n in digits.items())
+    )
+
+
+def training_table(v):
+    """All features of all samples, those of the place and of the month too. Site ids stand for patches."""
+    samples, pixels = shifted(v), v.pixels()
+    places = enrichment.landscape(pixels, pixels.withColumn("value", F.col("value") * 100.0))
+    monthly = enrichment.monthly_ndci(
+        samples, v.scenes(), pixels.withColumnRenamed("patch", "scene_id"), "at", bands=("nir", "red")
+    )
+    features = enriched(v).withColumn("at", F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("d") % 30))
+    return enrichment.training_table(features, places.withColumnRenamed("patch", "site"), monthly, "at", ["site"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillspark.catalog import query
-from rillspark.catalog.joins import enriched
+from rillspark.catalog.joins import enriched, training_table
 from rillspark.catalog.preparation import split_sql
 from rillspark.operators import metrics, models, prep, split
 from rillspark.operators.joins import append_frames
@@ -192,7 +192,8 @@ def m8(v):
 
 @query("m9_specialised")
 def m9(v):
-    rows = split.group_split(_enriched(v), ["site"])
+    full = v.once("training_table", lambda: training_table(v))
+    rows = split.group_split(full, ["site"])
     tables = []
     for target, column in zip(models.SPECIALISED, ("ta", "ec", "drp")):
         present, missing, params = models.specialised_features(rows, target)

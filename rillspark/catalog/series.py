@@ -204,3 +204,48 @@ def m13_metrics(v):
     return _rounded(
         metrics.regression_metrics(_forecast(v), []).withColumn("r2", F.round("r2", 9)), ["rmse"]
     )
+
+
+SEASONAL_SQL = FORECAST_SQL + """,
+    weekday as (select loc, dayofweek(ts) as season, last(value order by ts, obs_id) as own from ranked
+                where back > 3 and value is not null group by 1, 2),
+    level as (select loc, last(value order by ts, obs_id) as last_value from ranked
+              where back > 3 and value is not null group by loc),
+    seasonal as (select r.loc, r.obs_id, r.ts, r.value as y, coalesce(w.own, t.last_value) as prediction,
+                        w.own is not null as seasonal, t.last_value
+                 from ranked r left join level t on t.loc = r.loc
+                 left join weekday w on w.loc = r.loc and w.season = dayofweek(r.ts) where r.back <= 3)"""
+
+
+def _by_weekday(v):
+    obs = v.obs().select("obs_id", "loc", "ts", "value")
+    return forecast.seasonal_forecast(obs, ["loc"], ["ts", "obs_id"], "value", F.dayofweek("ts"), 3)
+
+
+@query(
+    "m13_seasonal_forecast",
+    f"with {SEASONAL_SQL} select loc, obs_id, ts, y, prediction, seasonal from seasonal",
+)
+def m13_seasonal(v):
+    return _by_weekday(v)
+
+
+def _scores_sql(name: str, column: str) -> str:
+    error = f"(y - {column}) * (y - {column})"
+    return f"""select '{name}' as forecast, count(*) as n,
+                      round(1 - sum({error}) / (var_pop(y) * count(*)), 9) as r2, round(sqrt(avg({error})), 6) as rmse
+               from seasonal where y is not null and {column} is not null"""
+
+
+@query(
+    "m13_forecast_comparison",
+    f"with {SEASONAL_SQL} {_scores_sql('last value', 'last_value')} union all {_scores_sql('weekday', 'prediction')}",
+)
+def m13_comparison(v):
+    obs = v.obs().select("obs_id", "loc", "ts", "value")
+    made = {
+        "last value": forecast.last_value_forecast(obs, ["loc"], ["ts", "obs_id"], "value", 3),
+        "weekday": _by_weekday(v),
+    }
+    scores = forecast.compare_forecasts(made, lambda df: metrics.regression_metrics(df, []).select("n", "r2", "rmse"))
+    return _rounded(scores.withColumn("r2", F.round("r2", 9)), ["rmse"])

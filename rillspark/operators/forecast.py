@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillspark.operators.series import hold_out_last
@@ -26,3 +26,43 @@ def last_value_forecast(
         .withColumnRenamed(target, "y")
         .drop("split")
     )
+
+
+def seasonal_forecast(
+    df: DataFrame, series: Sequence[str], order: Sequence[str], target: str, season: Column, h: int = 1
+) -> DataFrame:
+    """Hold out the last h observations of each series and forecast each by the last value known before
+    in the same season (a weekday, a month), else by the last value known at all.
+
+    ``season`` is an expression over the columns; a missing season is one of its own. Adds prediction and
+    whether it is ``seasonal``. Both lookups come from one aggregate with a row per series and season,
+    which combines before the shuffle, so a long series stays in no single task.
+    """
+    marked = hold_out_last(df, series, order, h).withColumn("_season", season)
+    position = F.when((F.col("split") == "train") & F.col(target).isNotNull(), F.struct(*order))
+    seasons = marked.groupBy(*series, "_season").agg(
+        F.max_by(target, position).alias("_own"), F.max(position).alias("_at")
+    )
+    last = seasons.groupBy(*series).agg(
+        F.max_by("_own", "_at").alias("_last"),
+        F.collect_list(F.when(F.col("_own").isNotNull(), F.struct("_season", "_own"))).alias("_seasons"),
+    )
+    hit = F.filter("_seasons", lambda s: s["_season"].eqNullSafe(F.col("_season")))
+    own = F.get(hit, F.lit(0))["_own"]
+    return (
+        marked.filter("split = 'test'")
+        .join(last, list(series), "left")
+        .withColumn("prediction", F.coalesce(own, "_last"))
+        .withColumn("seasonal", own.isNotNull())
+        .withColumnRenamed(target, "y")
+        .drop("split", "_season", "_last", "_seasons")
+    )
+
+
+def compare_forecasts(made: dict[str, DataFrame], metrics) -> DataFrame:
+    """Metrics of several forecasts of the same observations, one row per name."""
+    rows = [metrics(df).withColumn("forecast", F.lit(name)) for name, df in made.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out

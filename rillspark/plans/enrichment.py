@@ -15,7 +15,7 @@ from rillspark.operators.joins import enrich
 from rillspark.operators.nearest import Axis, nearest_grid_cell, nearest_in_time
 from rillspark.operators.ranges import During, overlap_join
 from rillspark.operators.series import rolling
-from rillspark.operators.zonal import band_ratio
+from rillspark.operators.zonal import BARREN_CLASS, LAND_COVER_CLASSES, band_ratio, class_shares, mean_slope
 from rillspark.session import durable
 from rillspark.sources.io import remaining
 
@@ -126,8 +126,34 @@ def monthly_ndci(
 
 
 def with_monthly(samples: DataFrame, monthly: DataFrame, date: str, name: str) -> DataFrame:
-    """The samples with the value of their place and month."""
-    keyed = samples.withColumn("month", F.trunc(date, "month").cast("date"))
-    return keyed.join(monthly.select("lat", "lon", "month", name), ["lat", "lon", "month"], "left").select(
-        *samples.columns, name
+    """The samples with the value of their place and month; a column of theirs named month is left alone."""
+    keyed = samples.withColumn("_month", F.trunc(date, "month").cast("date"))
+    values = monthly.select("lat", "lon", F.col("month").alias("_month"), name)
+    return keyed.join(values, ["lat", "lon", "_month"], "left").select(*samples.columns, name)
+
+
+def landscape(cover: DataFrame, terrain: DataFrame, patch: str = "patch") -> DataFrame:
+    """One row per patch: shares of land cover and of barren land, and the mean slope.
+
+    A patch that only one of the two tables has misses the features of the other, but for perc_barren, which is 0 there.
+    """
+    shares = class_shares(cover, [patch], {**LAND_COVER_CLASSES, **BARREN_CLASS})
+    both = shares.join(mean_slope(terrain, patch), patch, "full")
+    return both.fillna(0.0, list(BARREN_CLASS))
+
+
+def training_table(
+    features: DataFrame, places: DataFrame, monthly: DataFrame, date: str, key: Sequence[str]
+) -> DataFrame:
+    """The sample features with those of their place (one row per ``key``) and the ndci of its month.
+
+    No row is lost or doubled: what a place or a month does not have is missing, perc_barren is 0. The
+    interactions whose inputs are complete only now are added; precipitation and evapotranspiration are the
+    climate columns under the names the models of a single target use.
+    """
+    named = {"precipitation": "ppt", "evapotranspiration": "pet"}
+    joined = features.join(places, list(key), "left").fillna(0.0, list(BARREN_CLASS))
+    known = with_monthly(joined, monthly, date, "ndci")
+    return with_interactions(
+        known.withColumns({n: F.col(c) for n, c in named.items() if c in known.columns} | {"year": F.year("d")})
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillspark.functions.places import Box
 from rillspark.operators import chunks, nearest, ranges
 from rillspark.operators.nearest import Axis
+from rillspark.plans import enrichment
 
 
 def at(seconds):
@@ -148,3 +149,22 @@ def test_overlap_join_equals_brute_force(spark, pairs_per_task, cell):
         if i[1] <= j[2] and j[1] <= i[2] and i[3] <= j[4] and j[3] <= i[4]
     ]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_training_table_keeps_every_sample_once(spark):
+    pixels = [("p", 0, 0, 60, 10.0), ("p", 0, 1, 40, 40.0), ("p", 1, 0, 0, 10.0), ("p", 1, 1, 50, 40.0)]
+    table = spark.createDataFrame(pixels, "site string, r int, c int, class int, value double")
+    places = enrichment.landscape(table, table.filter("value > 1e9"), "site")
+    got = places.collect()[0].asDict()
+    assert round(got["perc_barren"], 6) == round(got["perc_urban"], 6) == 33.333333 and got["perc_forest"] == 0
+    assert got["topographic_slope"] is None
+    day = dt.datetime(2024, 5, 3)
+    rows = [(1, "p", 1.0, 2.0, day, 5.0), (2, "q", 1.0, 2.0, day, 5.0), (2, "q", 1.0, 2.0, day, 5.0), (3, None, None, 2.0, None, None)]
+    samples = spark.createDataFrame(rows, "id int, site string, lat double, lon double, d timestamp_ntz, ppt double").withColumn("Month", F.lit(7))
+    monthly = spark.createDataFrame([(1.0, 2.0, dt.date(2024, 5, 1), 0.25)], "lat double, lon double, month date, ndci double")
+    made = enrichment.training_table(samples, places, monthly, "d", ["site"])
+    rows = sorted((r.id, r.perc_barren, r.ndci, r.urban_precip_interaction, r.post_2008) for r in made.collect())
+    third = 100 / 3
+    assert [(i, round(b, 6), n) for i, b, n, *_ in rows] == [(1, round(third, 6), 0.25), (2, 0, 0.25), (2, 0, 0.25), (3, 0, None)]
+    assert [r[3] and round(r[3], 6) for r in rows] == [round(5 * third, 6), None, None, None]
+    assert [r[4] for r in rows] == [1, 1, 1, 0] and made.filter("Month = 7").count() == 4

@@ -4,6 +4,8 @@ import random
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from rillspark.operators import forecast, series
 from rillspark.plans import evaluation
 
@@ -115,6 +117,17 @@ def test_forecast_uses_the_last_known_value(spark):
     assert (row["y"], row["prediction"]) == (4.0, 2.0)
 
 
+def test_seasonal_forecast_falls_back_to_the_last_value(spark):
+    rows = [("a", t, v) for t, v in enumerate([1.0, 2.0, None, 4.0, 5.0, 6.0])] + [("b", 0, 7.0), (None, 0, 1.0), (None, 2, 3.0)]
+    df = spark.createDataFrame(rows, "s string, t int, x double")
+    made = forecast.seasonal_forecast(df, ["s"], ["t"], "x", F.col("t") % 4, 3)
+    got = {(r.s, r.t): (r.y, r.prediction, r.seasonal) for r in made.filter("s = 'a' or s = 'b'").collect()}
+    assert got == {
+        ("a", 3): (4.0, 2.0, False), ("a", 4): (5.0, 1.0, True), ("a", 5): (6.0, 2.0, True), ("b", 0): (7.0, None, False),
+    }
+    assert made.columns == ["s", "t", "y", "prediction", "seasonal"]
+
+
 def test_forecasting_frame_columns(spark):
     df = spark.createDataFrame(
         [(1, 7, dt.datetime(2020, 1, 1), None, 2.0), (2, 7, dt.datetime(2020, 1, 2), 5.0, None)],
