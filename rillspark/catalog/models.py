@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rillspark.catalog import query
 from rillspark.catalog.joins import enriched, training_table
 from rillspark.catalog.preparation import split_sql
-from rillspark.operators import metrics, models, prep, split
+from rillspark.operators import boosting, metrics, models, prep, split
 from rillspark.operators.joins import append_frames
 from rillspark.plans import evaluation
 from rillspark.session import durable
@@ -158,14 +158,41 @@ def m4_rows(v):
 
 @query("m5_randomised_search")
 def m5(v):
+    """Draws over eight axes, every one of which acts; the best third of them grows on."""
     matrix = _with_group_folds(_matrix(v))
-    points = models.draws({**models.ROBUST_SPACE, "n_estimators": [2]}, 4)
-    return models.search(matrix, points)[1]
+    points = models.draws(models.ROBUST_SPACE, 6)
+    return boosting.halving_search(matrix.df, points, [1, 3]).table(v.spark)
+
+
+@query("m5_tuned_holdout")
+def m5_tuned(v):
+    """The winner of a search, fitted on all training rows and scored on places held out."""
+    whole = _matrix(v)
+    found = boosting.halving_search(
+        _with_group_folds(whole).df, models.draws(models.ROBUST_SPACE, 3), [1, 2]
+    )
+    model = found.best.fit(whole.side("train"))
+    return models.evaluate(model, whole).withColumn("n_estimators", F.lit(len(model.trees)))
+
+
+@query("m1_penalised_trees")
+def m1_penalised(v):
+    matrix = _matrix(v)
+    trees = boosting.PenalisedTrees(**SMALL, learning_rate=0.3, reg_lambda=10, reg_alpha=0.5, gamma=0.5)
+    return models.evaluate(trees.fit(matrix.side("train")), matrix)
 
 
 @query("m6_validation_curve")
 def m6(v):
-    return models.validation_curve(_matrix(v), [2, 3, 4], n_estimators=3, learning_rate=0.07)
+    depths = list(range(2, 11))
+    return _each_target(
+        lambda t: models.validation_curve(_matrix(v, t), depths, n_estimators=3, learning_rate=0.07)
+    )
+
+
+@query("m6_validation_surface")
+def m6_surface(v):
+    return models.validation_surface(_matrix(v), [2, 3, 4], n_estimators=5, learning_rate=0.3)
 
 
 @query("m7_feature_importance")

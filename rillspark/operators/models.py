@@ -10,8 +10,10 @@ import itertools
 import random
 import warnings
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.functions.numeric import clip_at_zero
+from rillspark.operators.boosting import PenalisedTrees
 from rillspark.operators.columns import pick_features, require
 from rillspark.operators.metrics import regression_metrics
 from rillspark.operators.prep import Preprocessor, fit_on, fit_scaler
@@ -44,7 +47,7 @@ FOREST_NAMES = {
 }
 # Ignored, as Spark's trees have no counterpart: penalties on leaf weights, a bound on the summed
 # gain of a split (Spark bounds the gain per row), and a least size of a node that is split
-# (Spark bounds the size of its children).
+# (Spark bounds the size of its children). All but the last act in ``boosting.PenalisedTrees``.
 WITHOUT_COUNTERPART = ("reg_lambda", "reg_alpha", "gamma", "min_samples_split")
 # Spark's own ceiling; a tree without a limit grows to it, with a warning.
 DEEPEST_TREE = 30
@@ -104,7 +107,10 @@ def ridge(alpha: float = 1.0) -> Ridge:
     return Ridge(alpha)
 
 
-MODELS = {"boosted_trees": boosted_trees, "random_forest": random_forest, "ridge": ridge}
+MODELS = {
+    "boosted_trees": boosted_trees, "penalised_trees": PenalisedTrees,
+    "random_forest": random_forest, "ridge": ridge,
+}
 
 # Features and parameters per target.
 SPECIALISED = {
@@ -255,17 +261,38 @@ def search(
     return fitted.bestModel, spark.createDataFrame(table, "point int, params string, r2 double")
 
 
-def validation_curve(matrix: Matrix, depths: Sequence[int], **params) -> DataFrame:
-    """R2 on both sides for each tree depth."""
-    from rillspark.operators.joins import append_frames
+def validation_surface(
+    matrix: Matrix, depths: Sequence[int], parallelism: int = 4, **params
+) -> DataFrame:
+    """R2 on both sides for each tree depth and number of trees: (depth, trees, split, r2).
 
-    curves = []
-    for depth in depths:
+    One fit per depth; its errors after every tree come from one pass over each side. Fits of
+    several depths run at a time, all on one written matrix. R2 is NULL on a side without spread.
+    """
+    spark = matrix.df.sparkSession
+    spreads = dict(matrix.df.groupBy("split").agg(F.var_pop("y")).collect())
+
+    def of_depth(depth: int) -> list[tuple]:
         model = boosted_trees(max_depth=depth, **params).fit(matrix.side("train"))
-        curves.append(
-            evaluate(model, matrix).select(F.lit(depth).alias("depth"), "split", "r2")
-        )
-    return append_frames(curves)
+        return [
+            (depth, trees, side, 1 - error / spread if spread else None)
+            for side, spread in sorted(spreads.items())
+            for trees, error in enumerate(
+                model.evaluateEachIteration(matrix.side(side), "squared"), start=1
+            )
+        ]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        tables = list(pool.map(inheritable_thread_target(spark)(of_depth), depths))
+    return spark.createDataFrame(
+        [row for table in tables for row in table], "depth int, trees int, split string, r2 double"
+    )
+
+
+def validation_curve(matrix: Matrix, depths: Sequence[int], **params) -> DataFrame:
+    """R2 on both sides for each tree depth, with all trees."""
+    surface = validation_surface(matrix, depths, **params)
+    return surface.groupBy("depth", "split").agg(F.max_by("r2", "trees").alias("r2"))
 
 
 def compare_models(matrix: Matrix, candidates: Mapping[str, object]) -> DataFrame:

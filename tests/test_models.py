@@ -76,6 +76,19 @@ def test_search_prefers_the_better_depth(matrix):
     assert best.getOrDefault("maxDepth") == 4
 
 
+def test_surface_is_the_score_of_a_fit_of_so_many_trees(matrix):
+    surface = models.validation_surface(matrix, [1, 3], n_estimators=3, learning_rate=0.5)
+    got = {(r["depth"], r["trees"], r["split"]): r["r2"] for r in surface.collect()}
+    assert len(got) == 2 * 3 * 2
+    fitted = models.boosted_trees(n_estimators=2, max_depth=3, learning_rate=0.5).fit(matrix.side("train"))
+    for r in models.evaluate(fitted, matrix).collect():
+        assert got[3, 2, r["split"]] == pytest.approx(r["r2"])
+    curve = models.validation_curve(matrix, [1, 3], n_estimators=3, learning_rate=0.5)
+    assert {(r["depth"], r["split"], r["r2"]) for r in curve.collect()} == {
+        (d, s, r2) for (d, n, s), r2 in got.items() if n == 3
+    }
+
+
 def test_submission_contract(planted):
     train = planted.withColumn("y1", F.when(F.col("row_id") % 2 == 0, -F.abs("y0")))
     template = planted.filter("row_id < 50").select("row_id", "site", "a", "b")
