@@ -249,3 +249,48 @@ def m13_comparison(v):
     }
     scores = forecast.compare_forecasts(made, lambda df: metrics.regression_metrics(df, []).select("n", "r2", "rmse"))
     return _rounded(scores.withColumn("r2", F.round("r2", 9)), ["rmse"])
+
+
+ROLLING_SQL = f"""{DAILY_SQL},
+    placed as (select *, row_number() over (partition by loc order by ts) as pos from daily),
+    origins as (select loc, o, n - 3 - o as cut from (select loc, count(*) as n from daily group by loc),
+                (select unnest([0, 1, 2]) as o) where n - 3 - o >= 1),
+    known as (select c.loc, c.o, q.pos, q.value from origins c
+              join placed q on q.loc = c.loc and q.pos <= c.cut and q.value is not null),
+    latest as (select loc, o, last(value order by pos) as last from known group by 1, 2),
+    phases as (select loc, o, pos % 7 as phase, last(value order by pos) as own from known group by 1, 2, 3),
+    baselines as (select c.loc, c.o as origin, p.pos - c.cut as step, p.ts, p.value as y, l.last,
+                         coalesce(f.own, l.last) as seasonal
+                  from origins c join placed p on p.loc = c.loc and p.pos between c.cut + 1 and c.cut + 3
+                  left join latest l on l.loc = c.loc and l.o = c.o
+                  left join phases f on f.loc = c.loc and f.o = c.o and f.phase = p.pos % 7)"""
+
+
+def _rolling_forecasts(v):
+    return v.once(
+        "rolling_forecasts",
+        lambda: forecast.rolling_forecasts(v.obs(), ["loc"], "ts", "value", h=3, origins=3),
+    )
+
+
+@query(
+    "m13_rolling_baselines",
+    f"""with {ROLLING_SQL} select loc, origin, step, ts, round(y, 6) as y, round(last, 6) as last,
+                                  round(seasonal, 6) as seasonal from baselines""",
+)
+def m13_baselines(v):
+    made = _rolling_forecasts(v).select("loc", "origin", "step", "ts", "y", "last", "seasonal")
+    return _rounded(made, ["y", "last", "seasonal"])
+
+
+@query("m13_smoothed_forecast")
+def m13_smoothed(v):
+    return _rolling_forecasts(v)
+
+
+@query("m13_rolling_comparison")
+def m13_rolling_comparison(v):
+    """Scores by steps ahead of the three forecasts over all origins."""
+    made = _rolling_forecasts(v)
+    named = {n: made.withColumn("prediction", F.col(n)) for n in ("last", "seasonal", "smoothed")}
+    return forecast.compare_forecasts(named, lambda df: metrics.regression_metrics(df, ["step"]))

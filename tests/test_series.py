@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -128,6 +129,67 @@ def test_seasonal_forecast_falls_back_to_the_last_value(spark):
     assert made.columns == ["s", "t", "y", "prediction", "seasonal"]
 
 
+def smooth_by_hand(values, season, alpha, gamma):
+    lost, level, seasons = 0.0, None, [0.0] * season
+    for i, v in enumerate(values):
+        if v is None:
+            continue
+        if level is None:
+            level = v
+            continue
+        error = v - level - seasons[i % season]
+        lost += error**2
+        level += alpha * error
+        seasons[i % season] += gamma * error
+    return lost, level, seasons
+
+
+def test_rolling_forecasts_equal_a_loop(spark):
+    draw = np.random.default_rng(5)
+    data = {
+        "wave": [10 + 5 * (i % 4 == 0) + 0.1 * i + draw.normal() * 0.2 for i in range(40)],
+        "gaps": [None if i % 5 == 2 else float(i % 3) for i in range(17)],
+        "late": [None, None, None, 2.0, float("nan"), 4.0, 4.0, 8.0],
+        "two": [1.0, 3.0], "none": [None] * 6,
+    }
+    rows = [(s, day(i), v) for s, values in data.items() for i, v in enumerate(values)]
+    rows += [("wave", day(39), data["wave"][39])] * 3  # repeated rows of one step
+    df = spark.createDataFrame(rows, "s string, t date, x double")
+    made = forecast.rolling_forecasts(
+        df, ["s"], "t", "x", season=4, h=2, origins=3, level_weights=[0.2, 0.6], season_weights=[0.0, 0.4]
+    )
+    got = {(r.s, r.origin, r.step): r for r in made.collect()}
+    want = 0
+    for s, values in data.items():
+        values = [None if v is None or v != v else v for v in values]
+        for origin in range(3):
+            cut = len(values) - 2 - origin
+            if cut < 1:
+                continue
+            part = values[:cut]
+            fits = [(*smooth_by_hand(part, 4, a, g), a, g) for a in (0.2, 0.6) for g in (0.0, 0.4)]
+            _, level, seasons, alpha, gamma = min(fits, key=lambda f: (f[0], f[3], f[4]))
+            known = [(i, v) for i, v in enumerate(part) if v is not None]
+            for step in (1, 2):
+                want += 1
+                r, at = got[s, origin, step], cut + step - 1
+                assert r.t == day(at) and (r.alpha, r.gamma) == (alpha, gamma)
+                assert r.y == (None if values[at] is None else pytest.approx(values[at]))
+                last = known[-1][1] if known else None
+                alike = [v for i, v in known if (at - i) % 4 == 0]
+                assert r.last == (last if last is None else pytest.approx(last))
+                assert r.seasonal == (alike[-1] if alike else last)
+                assert r.smoothed == (
+                    None if level is None else pytest.approx(level + seasons[at % 4])
+                )
+    assert len(got) == want
+    wave = made.filter("s = 'wave'").agg(
+        F.avg(F.abs(F.col("y") - F.col("smoothed"))), F.avg(F.abs(F.col("y") - F.col("last")))
+    ).first()
+    assert wave[0] < wave[1]
+    assert forecast.rolling_forecasts(df.limit(0), ["s"], "t", "x").count() == 0
+
+
 def test_forecasting_frame_columns(spark):
     df = spark.createDataFrame(
         [(1, 7, dt.datetime(2020, 1, 1), None, 2.0), (2, 7, dt.datetime(2020, 1, 2), 5.0, None)],
