@@ -62,6 +62,7 @@ def p6(v):
     return columns.require(v.samples().select("sample_id", "ec", "drp"), ["ec", "drp"])
 
 
+# The corners of the box.
 @query(
     "p7_strict_box",
     """select site, lat, lon from sites where lat > cast(-35.18 as double) and lat < cast(-21.72 as double)
