@@ -155,3 +155,39 @@ def test_steps_keep_the_order(spark):
     rows = sorted(quantiles._with_steps(df).collect())
     assert [(r.step, r.finer) for r in rows] == sorted((r.step, r.finer) for r in rows)
     assert len({(r.step, r.finer) for r in rows}) > 530
+
+
+@pytest.mark.parametrize("deviations", [5.0, -1e6])
+def test_medians_counted_by_spans_move_few_values(spark, monkeypatch, deviations):
+    """A span that misses its rank changes nothing but the way."""
+    monkeypatch.setattr(quantiles, "SPANNED_ROWS", 100)
+    monkeypatch.setattr(quantiles, "SPAN_DEVIATIONS", deviations)
+    x = F.col("id")
+    df = spark.range(20_001, numPartitions=3).select(
+        F.when(x % 7 != 0, (x * 7919 % 20_011).cast("double")).alias("a.b"), (x * 104_729 % 19_997).alias("whole"),
+        F.when(x % 5 == 0, float("nan")).otherwise(-(x * 31 % 1009).cast("double")).alias("nan"),
+        F.lit(None).cast("double").alias("never"), F.lit(4.5).alias("same"),
+    )
+    known = quantiles.sketches(df, df.columns)
+    moved = []
+    durable = quantiles.durable
+    monkeypatch.setattr(quantiles, "durable", lambda d: moved.append(durable(d)) or moved[-1])
+    got = quantiles.column_medians_exact(df, known)
+    table = df.toPandas()
+    for c in ("a.b", "whole", "nan", "same"):
+        assert got[c] == table[c].median()
+    assert got["never"] is None
+    if deviations > 0:
+        assert len(moved) == 1 and moved[0].count() < 0.5 * 20_001
+
+
+def test_sketches_hold_the_moments(spark):
+    df = spark.range(5_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") * 0.5 + 1e9).alias("x"), F.col("id").alias("k"), F.lit(0.1).alias("same")
+    )
+    want = df.agg(F.count("x"), F.avg("x"), F.stddev_pop("x")).first()
+    found = quantiles.sketches(df, ["x", "k", "same"])
+    got = found["x"]
+    assert (found["same"].mean, found["same"].std) == (0.1, 0.0)
+    assert (got.rows, got.n) == (5_000, want[0])
+    assert (got.mean, got.std) == (pytest.approx(want[1], rel=1e-12), pytest.approx(want[2], rel=1e-9))
