@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rillspark.operators import joins, nearest, prep, series, split, zonal
 from rillspark.sources import io
+from rillspark.sources.views import Views
 
 
 def test_resumed_runs_append_missing_keys_once(spark, tmp_path):
@@ -62,3 +63,14 @@ def test_sequential_split_of_large_series_numbers(spark):
     df = spark.createDataFrame(rows, "s long, t string").withColumn("t", F.col("t").cast("timestamp"))
     made = split.sequential_split(df, "s", "t").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in made} == {"train": 8, "test": 2}
+
+
+def test_model_queries_write_only_the_columns_they_take(spark, monkeypatch, tmp_path):
+    from rillspark.catalog import models
+
+    wide = spark.range(3).select(
+        *(F.lit(1.0).alias(c) for c in ("sample_id", "site", "ec", *models.FEATURES)), F.lit(0).alias("NDSI_unused")
+    )
+    monkeypatch.setattr(models, "enriched", lambda v: wide)
+    written = models._enriched(Views(spark, str(tmp_path)))
+    assert set(written.columns) == {"sample_id", "site", "ec", *models.FEATURES}
