@@ -126,3 +126,15 @@ def test_many_categories_with_dots_go_all_the_way(spark):
     assert len(flags) == 299 and "k_v.1" in flags
     matrix = models.prepare(encoded, ["x", *flags[:20]], "y")
     assert models.ridge().fit(matrix.side("train")).numFeatures == 21
+
+
+def test_written_vectors_are_those_of_the_assembler(spark):
+    rows = spark.range(50).selectExpr("id", "id * 0.5 as `a.b`", "cast(id % 3 as int) as c")
+    made = models.written_vectors(rows, ["id"], ["a.b", "c"])
+    want = {r["id"]: r["features"] for r in models.assemble(rows, ["a.b", "c"]).collect()}
+    assert made.schema["features"].dataType == models.assemble(rows, ["a.b", "c"]).schema["features"].dataType
+    got = {r["id"]: r["features"] for r in made.collect()}
+    assert {k: list(x.toArray()) for k, x in got.items()} == {k: list(x.toArray()) for k, x in want.items()}
+    for bad in ("double('NaN')", "cast(null as double)"):
+        with pytest.raises(Exception, match="not a number"):
+            models.written_vectors(rows.selectExpr("id", f"{bad} as x"), ["id"], ["x"])
