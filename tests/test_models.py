@@ -138,3 +138,18 @@ def test_written_vectors_are_those_of_the_assembler(spark):
     for bad in ("double('NaN')", "cast(null as double)"):
         with pytest.raises(Exception, match="not a number"):
             models.written_vectors(rows.selectExpr("id", f"{bad} as x"), ["id"], ["x"])
+
+
+def test_a_surface_scores_all_depths_in_one_pass(matrix, monkeypatch):
+    from pyspark.ml.regression import GBTRegressionModel
+
+    passes = []
+    monkeypatch.setattr(GBTRegressionModel, "evaluateEachIteration", lambda *_: passes.append("a model") or [0.0, 0.0])
+    once = models._errors_after_trees
+    monkeypatch.setattr(models, "_errors_after_trees", lambda *a: passes.append("all") or once(*a))
+    assert models.validation_surface(matrix, [1, 2], n_estimators=2).count() == 8
+    assert passes == ["all"]
+
+
+def test_large_tables_are_fitted_one_at_a_time():
+    assert [models.fits_at_a_time(n, 4) for n in (0, 100, 12_000_000, 43_000_000)] == [4, 4, 2, 1]
