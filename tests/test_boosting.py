@@ -159,3 +159,12 @@ def test_importance_goes_to_the_planted_feature(rows):
     df, _, _ = rows
     shares = PenalisedTrees(n_estimators=3).fit(df).featureImportances.toArray()
     assert shares.argmax() == 0 and shares.sum() == pytest.approx(1.0) and shares[2] < 0.1
+
+
+def test_points_share_the_sums_of_their_folds(rows, monkeypatch):
+    df, _, _ = rows
+    found, sums = [], boosting._sides
+    monkeypatch.setattr(boosting, "_sides", lambda *a: found.append(sums(*a)) or found[-1])
+    points = [{"max_depth": d, "learning_rate": 0.5} for d in (1, 2, 3)]
+    search = boosting.halving_search(df, points, [1])
+    assert len(found) == 3 and len(search.rows) == 3
