@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillspark.operators import models, prep, quantiles, split
+from rillspark.plans import evaluation
 
 TARGETS = ["u", "v"]
 
@@ -62,6 +63,15 @@ def test_matrices_of_all_targets_are_those_of_each(rows):
         assert made[target].train_rows == made[target].side("train").count()
 
 
+def test_targets_share_the_passes_over_the_table(rows, monkeypatch):
+    """One pass of all targets; it had been one per target."""
+    passes, run = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **b: passes.append(1) or run(self, *a, **b))
+    found = evaluation.evaluate_targets(rows, ["x", "k"], TARGETS, models.boosted_trees(n_estimators=1, max_depth=2), place=["site"])
+    assert {r["target"] for r in found.collect()} == set(TARGETS)
+    assert len(passes) == 1
+
+
 def test_fits_run_together_only_while_their_rows_can_be_held(rows, monkeypatch):
     marked = split.group_split(rows, ["site"])
     matrices = models.prepare_targets(marked, dict.fromkeys(TARGETS, ["x", "k"]), dict.fromkeys(TARGETS, "split"))
