@@ -113,3 +113,12 @@ def test_the_randomised_search_is_whole(searched):
     targets, asked, made = searched("m5_randomised_search")
     assert targets == [r["target"] for r in made] == list(jobs.TARGETS)
     assert asked == [(50, [500])] * 3
+
+
+def test_the_tuned_holdout_searches_whole_targets(searched):
+    """3 draws of one target had been grown to 1 tree, and one of them to 2."""
+    targets, asked, made = searched("m5_tuned_holdout")
+    assert targets == list(jobs.TARGETS) and asked == [(50, [500])] * 3
+    assert [(r["target"], r["split"], r["n_estimators"]) for r in sorted(made, key=lambda r: (r["target"], r["split"]))] == [
+        (t, s, 2) for t in sorted(jobs.TARGETS) for s in ("test", "train")
+    ]
