@@ -122,3 +122,13 @@ def test_the_tuned_holdout_searches_whole_targets(searched):
     assert [(r["target"], r["split"], r["n_estimators"]) for r in sorted(made, key=lambda r: (r["target"], r["split"]))] == [
         (t, s, 2) for t in sorted(jobs.TARGETS) for s in ("test", "train")
     ]
+
+
+def test_the_curve_has_a_hundred_trees_for_every_depth_and_target(searched, spark, monkeypatch):
+    """It had 3 trees."""
+    asked = []
+    made = spark.createDataFrame([(2, "test", 0.5)], "depth int, split string, r2 double")
+    monkeypatch.setattr(models, "validation_curve", lambda m, depths, **params: asked.append((depths, params)) or made)
+    targets, _, rows = searched("m6_validation_curve")
+    assert targets == list(jobs.TARGETS) and len(rows) == 3
+    assert asked == [(list(range(2, 11)), {"n_estimators": 100, "learning_rate": 0.07})] * 3
