@@ -132,3 +132,33 @@ def test_the_curve_has_a_hundred_trees_for_every_depth_and_target(searched, spar
     targets, _, rows = searched("m6_validation_curve")
     assert targets == list(jobs.TARGETS) and len(rows) == 3
     assert asked == [(list(range(2, 11)), {"n_estimators": 100, "learning_rate": 0.07})] * 3
+
+
+def test_boosting_in_tasks_is_that_of_spark(table, monkeypatch):
+    params = {"n_estimators": 4, "max_depth": 4, "learning_rate": 0.3, "min_child_weight": 10}
+    fitted = models.fit_boosted({"t": table}, {"k": ("t", params)}, 1)["k"]
+    assert isinstance(fitted, boosting.PlainModel) and len(fitted.trees) == 4
+    by_spark = models.boosted_trees(**params).fit(table)
+    assert fitted.treeWeights == [1.0, 0.6, 0.6, 0.6] and list(by_spark.treeWeights) == [1.0, 0.3, 0.3, 0.3]
+    got, want = ([r["prediction"] for r in m.transform(table).orderBy("_row").collect()] for m in (fitted, by_spark))
+    assert got == pytest.approx(want)
+    monkeypatch.setattr(boosting, "HELD_NUMBERS", 100)
+    assert type(models.fit_boosted({"t": table}, {"k": ("t", params)}, 1)["k"]) is type(by_spark)
+
+
+def test_boosting_in_tasks_draws_rows_and_features(table):
+    params = {"n_estimators": 2, "max_depth": 3}
+    drawn = {"subsample": {"subsample": 0.5}, "share": {"colsample_bytree": 0.3}, "both": {"subsample": 0.5, "colsample_bytree": 0.3}}
+    settings = {k: ("t", {**params, **p}) for k, p in {"none": {}, **drawn}.items()}
+    first, again = (models.fit_boosted({"t": table}, settings, 1) for _ in range(2))
+    assert len({str(m.trees) for m in first.values()}) == 4
+    assert all(first[k].trees == again[k].trees for k in settings)
+
+
+def test_splits_that_part_alike_go_to_the_first_feature():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=500)
+    y = np.where(x > 0.3, 1.0, 0.0) + draw.normal(size=500) + 1e6
+    table = growing.Table(y, np.stack([x, -x, 2 * x], axis=1), np.zeros(500, dtype=np.uint64), None)
+    made, _ = growing.grow(PenalisedTrees(max_depth=3), table.without(), float(y.mean()), [], 5)
+    assert {f.feature for t in made for f in boosting.forks(t)} == {0}
