@@ -162,3 +162,22 @@ def test_splits_that_part_alike_go_to_the_first_feature():
     table = growing.Table(y, np.stack([x, -x, 2 * x], axis=1), np.zeros(500, dtype=np.uint64), None)
     made, _ = growing.grow(PenalisedTrees(max_depth=3), table.without(), float(y.mean()), [], 5)
     assert {f.feature for t in made for f in boosting.forks(t)} == {0}
+
+
+def test_specialised_models_have_all_their_trees(spark, monkeypatch):
+    """They had 5 of 1,000 trees."""
+    rows = spark.range(200).selectExpr(
+        "id % 20 site", "id % 7 * 1.0 swir22", "id % 11 * 1.0 NDVI", "id % 5 * 1.0 NDTI", "id * 1.0 ta", "id * 2.0 ec", "id % 3 * 1.0 drp"
+    )
+    asked, fit = {}, models.fit_boosted
+
+    def fewer(tables, settings, at_a_time):
+        asked.update(settings)
+        return fit(tables, {k: (t, {**p, "n_estimators": 2}) for k, (t, p) in settings.items()}, at_a_time)
+
+    monkeypatch.setattr(models, "fit_boosted", fewer)
+    made = load()["m9_specialised"].run(SimpleNamespace(spark=spark, once=lambda *_: rows)).collect()
+    assert [r["target"] for r in made] == list(models.SPECIALISED) and all(r["n"] for r in made)
+    assert {k: (t, p["n_estimators"], p["max_depth"], p["subsample"]) for k, (t, p) in asked.items()} == {
+        t: (t, 1000, 7, 0.8) for t in jobs.TARGETS
+    }
