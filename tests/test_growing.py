@@ -75,6 +75,26 @@ def test_a_search_over_a_large_table_grows_by_jobs(table, monkeypatch):
         assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1])
 
 
+@pytest.mark.parametrize("held", [boosting.HELD_NUMBERS, 100])
+def test_a_fit_inside_a_task_is_that_of_jobs(table, monkeypatch, held):
+    monkeypatch.setattr(boosting, "HELD_NUMBERS", held)
+    settings = PenalisedTrees(n_estimators=3, gamma=5.0, reg_alpha=2.0)
+    got, want = settings.fit_in_task(table), settings.fit(table)
+    assert got.base == pytest.approx(want.base) and len(got.trees) == 3
+    a, b = ([r["prediction"] for r in m.transform(table).orderBy("_row").collect()] for m in (got, want))
+    assert a == pytest.approx(b)
+
+
+def test_a_surface_may_grow_inside_tasks(table):
+    matrix = models.Matrix(table.withColumn("split", F.expr("if(fold = 1, 'test', 'train')")), ["a", "b", "c"])
+    params = {"n_estimators": 3, "min_child_weight": 10}
+    in_tasks, by_spark = (
+        {(r["depth"], r["trees"], r["split"]): r["r2"] for r in models.validation_surface(matrix, [1, 3], in_tasks=x, **params).collect()}
+        for x in (True, False)
+    )
+    assert len(in_tasks) == 12 and in_tasks == pytest.approx(by_spark)
+
+
 def test_written_predictions_do_not_pile_up(spark, table, monkeypatch, tmp_path):
     from rillspark import session
 
@@ -131,7 +151,7 @@ def test_the_curve_has_a_hundred_trees_for_every_depth_and_target(searched, spar
     monkeypatch.setattr(models, "validation_curve", lambda m, depths, **params: asked.append((depths, params)) or made)
     targets, _, rows = searched("m6_validation_curve")
     assert targets == list(jobs.TARGETS) and len(rows) == 3
-    assert asked == [(list(range(2, 11)), {"n_estimators": 100, "learning_rate": 0.07})] * 3
+    assert asked == [(list(range(2, 11)), {"in_tasks": True, "n_estimators": 100, "learning_rate": 0.07})] * 3
 
 
 def test_boosting_in_tasks_is_that_of_spark(table, monkeypatch):
